@@ -49,9 +49,12 @@ for _c, _latin in _CLASS.items():
 for _v in _MEMBERS.values():
     _v.sort()
 
-_IGNORED = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]+")
+_IGNORED = re.compile(
+    "[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0\\ufff0-\\ufffb"
+    "\\U0001bca0-\\U0001bca3\\U0001d173-\\U0001d17a\\U000e0000-\\U000e0fff]+"
+)
 _SPACE = re.compile(r"[^\S\n]+")
-_RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+_RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 _TURNS = re.compile(r" *\n *")
 
 
@@ -89,7 +92,7 @@ def count_bigrams(texts: Iterable[str], counts: Counter) -> None:
     """Adds the bigrams of the tokens that hold a letter of their own script alone, and no letter of another."""
     for text in texts:
         for token, n in Counter(_RUN.findall(plain_form(text))).items():
-            letters = [c for c in token if not "̀" <= c <= "ͯ"]
+            letters = [c for c in token if not "\u0300" <= c <= "\u036f"]
             scripts = {script_of(c) for c in letters}
             if len(scripts) == 1 and any(c not in _CLASS for c in letters):
                 before = "^"
@@ -129,7 +132,7 @@ class Forms:
             return form
         paths: list[tuple[float, str, str, str]] = [(0.0, "^", "", "")]  # score, last symbol, script, text
         for c in token:
-            if "̀" <= c <= "ͯ":
+            if "\u0300" <= c <= "\u036f":
                 paths = [(s, a, script, t + c) for s, a, script, t in paths]
                 continue
             choices = _MEMBERS[_CLASS[c]] if c in _CLASS else [(script_of(c), c)]

@@ -6,15 +6,15 @@ word) and by how far the piece is from an even size; the cheapest sequence of cu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TOKENIZERS, library_encoding, words_of
+from .tokens import TOKENIZERS, library_encoding
 
 #: Penalties of a cut by the kind of boundary, and the weight of an uneven size.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD_GAP, INSIDE = 0.0, 0.3, 1.0, 4.0, 10.0, 60.0
@@ -23,126 +23,165 @@ UNEVEN = 4.0
 #: Rows of targets in piece_limits at most: the bound of what is broadcast.
 MOST_SOURCES = 100_000
 
-_SENTENCE = regex.compile(r"[.!?…。！？｡]+[\p{Pe}\p{Pf}\"'»]*\s*$")
-_CLAUSE = regex.compile(r"[,;:、，；：·)\]–—]\s*$")
-_CLOSED = regex.compile(r"[。！？｡、，]$")
+# All boundaries lie where a word of the tokenizer begins and none that ends could go on, so a piece's tokens are exactly those of its
+# part of the text: before white space that follows something else, or between a closing mark of a script without blanks and a letter.
+_BLANK = " \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_NATURAL = re.compile(rf"""[.!?…]["'»”’)\]]*(?=[{_BLANK}])|\n[{_BLANK}]*|[。！？｡](?=[^\W_])""")
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_BLANK}]", c))
+_GAP = re.compile(rf"(?<=[^{_BLANK}])(?=[{_BLANK}])|(?<=[。！？｡、，；：])(?=[^\W_])")
+_CLAUSE = ",;:、，；：)]–—"
+
+#: Words whose token counts a worker keeps.
+KEPT_WORDS = 300_000
 
 
 class Splitter:
     def __init__(self, path: str) -> None:
-        self.encoding = library_encoding(path)
+        self.encode = library_encoding(path).encode_ordinary
         self.sizes: dict[str, int] = {}
 
     def size(self, word: str) -> int:
         n = self.sizes.get(word)
         if n is None:
-            n = len(self.encoding.encode_ordinary(word))
+            n = len(self.encode(word))
             if len(word) <= 40:
-                if len(self.sizes) > 300_000:
+                if len(self.sizes) > KEPT_WORDS:
                     self.sizes.clear()
                 self.sizes[word] = n
         return n
 
-    def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
-
-    def units(self, text: str, most: int) -> tuple[list[int], list[int], list[float]]:
-        """Character offsets 0..len, the tokens before each, and the penalty of a cut there. A unit is a word, or a part of one that
-        alone has over ``most`` tokens: parts of so few characters that no text of their length has more tokens."""
-        at, n = 0, 0
-        offsets, before, cost = [0], [0], [0.0]
-        words = words_of(text)
-        for k, word in enumerate(words):
-            size = self.size(word)
-            if size > most:
-                step = max(1, most // 4)  # a character has four bytes at most and a byte is a token at most
-                for j in range(0, len(word), step):
-                    part = word[j : j + step]
-                    at += len(part)
-                    n += self.size(part)
-                    offsets.append(at)
-                    before.append(n)
-                    cost.append(INSIDE if j + step < len(word) else WORD_GAP)
+    def boundaries(self, text: str, most: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets from 0 to the text's length, tokens before each, penalty of a cut at each. Sentence ends and better are always
+        there; a stretch of over half a piece between two of them has the gaps between words too, and a word that is so long cuts
+        inside it. Nothing for a text of ``most`` tokens at most."""
+        at, cost = [0], [0.0]
+        for m in _NATURAL.finditer(text):
+            i, j = m.span()
+            if text[i] == "\n":
+                kind = PARAGRAPH if text.count("\n", i, j) > 1 else LINE
+                while i and text[i - 1] in _BLANKS:
+                    i -= 1
+                if i == at[-1]:
+                    cost[-1] = kind
+                elif i > at[-1]:
+                    at.append(i)
+                    cost.append(kind)
+            else:
+                at.append(j)
+                cost.append(SENTENCE)
+        if at[-1] != len(text):
+            at.append(len(text))
+            cost.append(0.0)
+        size = [len(self.encode(text[i:j])) for i, j in zip(at, at[1:])]
+        if sum(size) <= most:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        if max(size) * 2 > room:
+            fine_at, fine_cost, fine_size = [0], [0.0], []
+            for k, n in enumerate(size):
+                if n * 2 > room:
+                    for i, c, m in self.gaps(text, at[k], at[k + 1], room):
+                        fine_at.append(i)
+                        fine_cost.append(c)
+                        fine_size.append(m)
+                    fine_cost[-1] = cost[k + 1]
+                else:
+                    fine_at.append(at[k + 1])
+                    fine_cost.append(cost[k + 1])
+                    fine_size.append(n)
+            at, cost, size = fine_at, fine_cost, fine_size
+        return np.array(at), np.concatenate(([0], np.cumsum(size))), np.array(cost)
+
+    def gaps(self, text: str, start: int, end: int, room: int) -> Iterator[tuple[int, float, int]]:
+        """(end, penalty, tokens) of the words of a stretch; of one over half a piece its parts, of so few characters that none can
+        have more tokens than a quarter of a piece (a character has four bytes at most, and a token a byte at least)."""
+        points = [m.start() for m in _GAP.finditer(text, start, end) if m.start() > start]
+        for i, j in zip([start, *points], [*points, end]):
+            n = self.size(text[i:j])
+            if n * 2 <= room:
+                yield j, CLAUSE if text[j - 1] in _CLAUSE else WORD_GAP, n
             else:
-                at += len(word)
-                n += size
-                offsets.append(at)
-                before.append(n)
-                cost.append(WORD_GAP)
-            if k + 1 < len(words):
-                following = words[k + 1]
-                gap = word if word.isspace() else ""
-                if word.isspace() and following.isspace():
-                    cost[-1] = PARAGRAPH if "\n\n" in (two := (word + following).replace("\r", "")) else LINE if "\n" in two else WORD_GAP
-                elif k and gap and words[k - 1].isspace():
-                    cost[-1] = np.inf  # the two white spaces would be one word of other tokens at a piece's end
-                elif "\n" in gap:
-                    cost[-1] = PARAGRAPH if gap.replace("\r", "").count("\n") > 1 else LINE
-                elif gap or following[:1].isspace():
-                    tail = text[max(0, offsets[-1] - 12) : offsets[-1]]
-                    cost[-1] = SENTENCE if _SENTENCE.search(tail) else CLAUSE if _CLAUSE.search(tail) else WORD_GAP
-                elif _CLOSED.search(word):
-                    cost[-1] = CLAUSE if word[-1] in "、，" else SENTENCE
-        return offsets, before, cost
-
-    def cuts(self, before: np.ndarray, cost: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
-        """(first unit, unit after the last) of each piece."""
+                step = max(1, room // 16)
+                for k in range(i, j, step):
+                    yield min(k + step, j), INSIDE if k + step < j else WORD_GAP, self.size(text[k : min(k + step, j)])
+
+    @staticmethod
+    def cuts(before: np.ndarray, cost: np.ndarray, most: int, overlap: int) -> list[int]:
+        """The boundaries at which the pieces end, by dynamic programming; nothing if no sequence keeps within the limit."""
         last = len(before) - 1
-        # Sentence ends and better are always candidates. Where two of them lie over half a piece apart, the boundaries between them
-        # of the next kind are too, and so on down to those inside a word.
-        room = max(1, most - overlap)
-        chosen = np.flatnonzero(cost <= SENTENCE)
-        chosen = np.union1d(chosen, [0, last])
-        for kind in (CLAUSE, WORD_GAP, INSIDE):
-            wide = np.flatnonzero(np.diff(before[chosen]) * 2 > room)
-            extra = [np.flatnonzero(cost[chosen[i] + 1 : chosen[i + 1]] <= kind) + chosen[i] + 1 for i in wide]
-            if extra:
-                chosen = np.union1d(chosen, np.concatenate(extra))
-        # Where a piece that ends with a cut begins again: at the first boundary with at most ``overlap`` tokens up to the cut.
-        ok = np.flatnonzero(np.isfinite(cost))
-        start = ok[np.minimum(np.searchsorted(before[ok], before[chosen] - overlap), len(ok) - 1)]
-        start = np.minimum(start, chosen)
-        start[0] = 0
-        tokens, begin = before[chosen], before[start]
-        pieces = max(1, int(np.ceil((before[last] - overlap) / room)))
-        even = (before[last] + (pieces - 1) * overlap) / pieces
-        best = np.full(len(chosen), np.inf)
-        back = np.full(len(chosen), -1)
+        begin = before - overlap
+        begin[0] = 0
+        pieces = max(1, -(-(int(before[last]) - overlap) // max(1, most - overlap)))
+        even = (int(before[last]) + (pieces - 1) * overlap) / pieces
+        best = np.full(last + 1, np.inf)
+        back = np.full(last + 1, -1)
         best[0] = 0
-        lo = np.searchsorted(begin, tokens - most)  # begin never falls
-        for j in range(1, len(chosen)):
+        lo = np.maximum(np.searchsorted(begin, before - most), 0)
+        scale = UNEVEN / most**2
+        penalty = cost + 0.01
+        penalty[last] = 0.0
+        for j in range(1, last + 1):
             a = lo[j]
-            if a >= j:
-                continue
-            here = best[a:j] + UNEVEN * ((tokens[j] - begin[a:j] - even) / most) ** 2
-            i = int(np.argmin(here))
-            best[j] = here[i] + (cost[chosen[j]] if j + 1 < len(chosen) else 0.0) + 0.01
-            back[j] = a + i
-        if not np.isfinite(best[-1]):  # the limit is under a single character's tokens
+            if a < j:
+                off = (before[j] - even) - begin[a:j]
+                here = best[a:j] + scale * off * off
+                i = int(here.argmin())
+                best[j] = here[i] + penalty[j]
+                back[j] = a + i
+        if not np.isfinite(best[last]):
             return []
-        out, j = [], len(chosen) - 1
+        out, j = [], last
         while j > 0:
-            i = back[j]
-            out.append((int(start[i]), int(chosen[j])))
-            j = i
+            out.append(j)
+            j = int(back[j])
         return out[::-1]
 
+    def overlapped(self, text: str, end: int, floor: int, overlap: int) -> tuple[int, int]:
+        """Where a piece after a cut at ``end`` begins, and the tokens from there to the cut: the first place from ``floor`` on with at most ``overlap`` tokens up to the
+        cut, at a gap between words, or inside a word (then -1 tokens, not counted) where there is no gap."""
+        if overlap <= 0:
+            return end, 0
+        lo = max(floor, end - overlap * 12)
+        start, n, right = end, 0, end
+        for i in reversed([m.start() for m in _GAP.finditer(text, lo, end)]):
+            if i <= floor or i == end:
+                continue
+            more = self.size(text[i:right])
+            if n + more > overlap:
+                break
+            n += more
+            start = right = i
+        if start == end:
+            k = min(overlap, end - floor - 1)
+            while k > 0 and len(self.encode(text[end - k : end])) > overlap:
+                k -= 1
+            start, n = end - k, -1
+        return start, n
+
     def split(self, text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
         """(start, end, tokens) in characters of each piece of a text that has over ``most`` tokens; nothing for another."""
-        if most < 1 or len(text.encode("utf-8", "surrogatepass")) <= most or self.count(text) <= most:
+        if most < 1:
             return []
         overlap = max(0, min(overlap, most - 1))
         limit = most
         while True:
-            offsets, before, cost = self.units(text, max(4, limit // 4))
-            found = self.cuts(np.array(before), np.array(cost), limit, min(overlap, limit - 1))
-            pieces = [(offsets[a], offsets[b], self.count(text[offsets[a] : offsets[b]])) for a, b in found]
-            if pieces and all(n <= most for _, _, n in pieces):
-                return pieces
-            # Only parts of cut words can count differently alone: try with a smaller limit, at last character by character.
+            at, before, cost = self.boundaries(text, most, max(1, limit - overlap))
+            if not len(at):
+                return []
+            ends = self.cuts(before, cost, limit, overlap)
+            counted, start, shared, done = [], 0, 0, 0
+            whole = not (cost == INSIDE).any()  # then the tokens of the parts add up
+            for j in ends:
+                end = int(at[j])
+                n = shared + int(before[j] - before[done]) if whole and shared >= 0 else len(self.encode(text[start:end]))
+                counted.append((start, end, n))
+                start, shared = self.overlapped(text, end, start, overlap)
+                done = j
+            if counted and all(n <= most for _, _, n in counted):
+                return counted
+            # Only parts of a cut word can count differently alone: again with a smaller limit, at last character by character.
             if limit <= 4:
-                return [(i, i + 1, self.count(text[i])) for i in range(len(text))]
-            limit = max(4, limit * 9 // 10)
+                return [(i, i + 1, len(self.encode(text[i]))) for i in range(len(text))]
+            limit, overlap = max(4, limit * 9 // 10), min(overlap, max(4, limit * 9 // 10) - 1)
 
 
 _SPLITTERS: dict[str, Splitter] = {}
