@@ -102,11 +102,23 @@ def script_line(line: str) -> bool:
 
 _MARKED = re.compile(r"[{\[<%@_$#]")
 
+#: Words of which a line must have one for a detector to look at it: each alternative of the patterns above needs one of them.
+HINTS = frozenset(
+    "error errors fehler erreur exception found forbidden unauthorized unauthorised denied permission gateway unavailable timeout time-out out reset refused requests request verweigert "
+    "refusé denegado introuvable gefunden existiert verfügbar vorhanden existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists "
+    "wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning notice traceback trace matched try maintenance wartungsarbeiten connection displayed loaded "
+    "reached available line http internal interno interner interne page seite javascript script scripts noscript skript skripte cookies browser human text texts texto texte content copy title "
+    "paragraph description heading blindtext platzhalter platzhaltertext lorem ipsum words undefined null none nan n nil tbd todo fixme object array ref name value follow soon here placeholder".split()
+)
+
 
-def residue_line(line: str) -> bool:
+def residue_line(line: str, tokens: tuple[str, ...] = ()) -> bool:
+    """Whether any detector finds a line. ``tokens`` are its words in lower case, if the caller has them."""
     if len(line) > 160:  # messages are short; a long line can only be filler
-        words = line.lower().split()
+        words = tokens or line.lower().split()
         return (len(set(words)) <= 0.5 * len(words) or sum(w in LATIN for w in words) > 0.3 * len(words)) and filler_line(line)
+    if tokens and len(tokens) > 1 and HINTS.isdisjoint(tokens) and 2 * len(set(tokens)) > len(tokens) and not _MARKED.search(line) and LATIN.isdisjoint(tokens):
+        return False
     return placeholder_line(line) or filler_line(line) or error_line(line) or script_line(line)
 
 
