@@ -1,2 +1,460 @@
-QUERIES = {}
-ORACLES = {}
+"""The queries of the engine over the driver's tables, and their oracles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from hashlib import sha1
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import oracle as O
+from .functions import text as tx
+from .functions.web import canonical_column, collapse_column, host_column, parsed_html, resolved_links
+from .operators import crawl, evaluation, lexicon, links, matching, ranking, snippets
+from .operators.index import Index, index_sizes, store_index, update_index
+from .plans.language import scoring_terms
+from .sources.corpus import json_field
+from .storage import shared_folder
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "title", F.col("text").alias("body"))
+
+
+def index_of(spark: SparkSession, d: str) -> Index:
+    """The stored index of a folder's documents: built by the session's first query that needs it, read by the others."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = store_index(corpus(spark, d), f"{shared_folder(spark)}/index-{sha1(d.encode()).hexdigest()[:12]}")
+    return _INDEXES[key]
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    both = corpus(spark, d).select(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("x"))
+    return both.select(F.explode(tx.pieces_column(F.col("x"))).alias("piece")).distinct()
+
+
+# Text analysis
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n\r\t\x0B\f]+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS position, unnest(l) AS token FROM t""")
+def tokenize_terms(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(tx.tokens_column(F.col("text"))).alias("position", "token"))
+    return rows
+
+
+@query(f"WITH {O.CORPUS}, {O.PIECES} SELECT piece, term FROM normal")
+def normalize_terms(spark, d):
+    return _words(spark, d).select("piece", tx.normalize_column(F.col("piece")).alias("term"))
+
+
+@query(f"WITH {O.CORPUS}, {O.PIECES} SELECT DISTINCT term, term IN ({O.STOP_LIST}) AS stopword FROM normal WHERE term <> ''")
+def stopword_filter(spark, d):
+    terms = _words(spark, d).select(tx.normalize_column(F.col("piece")).alias("term")).filter(F.col("term") != "").distinct()
+    return terms.select("term", tx.stopword_column(F.col("term")).alias("stopword"))
+
+
+@query(f"WITH {O.CORPUS}, {O.PIECES}, {O.STEMS} SELECT term, stem FROM stems")
+def stem_vocabulary(spark, d):
+    terms = _words(spark, d).select(tx.normalize_column(F.col("piece")).alias("term")).filter(F.col("term") != "").distinct()
+    return terms.select("term", tx.stem_column(F.col("term")).alias("stem"))
+
+
+@query(f"{O.INDEX} SELECT doc_id, position::INTEGER AS position, term FROM tokens")
+def analyze_positions(spark, d):
+    rows = tx.analyzed(corpus(spark, d)).select("doc_id", F.explode("terms").alias("t"))
+    return rows.select("doc_id", F.explode("t.positions").alias("position"), "t.term")
+
+
+# Index
+
+
+@query(f"{O.INDEX} SELECT (SELECT count(*) FROM docs_) AS documents, (SELECT count(*) FROM df_) AS terms, (SELECT count(*) FROM postings_) AS postings")
+def index_stats(spark, d):
+    return index_of(spark, d).counts()
+
+
+@query(f"{O.INDEX} SELECT term, df FROM df_")
+def index_terms_df(spark, d):
+    return index_of(spark, d).terms
+
+
+@query(f"{O.INDEX} SELECT doc_id, tf::INTEGER AS tf FROM postings_ WHERE term = 'river'")
+def postings_tf(spark, d):
+    return index_of(spark, d).postings_of("Rivers").select("doc_id", "tf")
+
+
+@query(f"{O.INDEX} SELECT doc_id, unnest(positions)::INTEGER AS position FROM postings_ WHERE term = 'lantern'")
+def positions_of_term(spark, d):
+    return index_of(spark, d).postings_of("lantern").select("doc_id", F.explode("positions").alias("position"))
+
+
+@query(f"{O.INDEX} SELECT doc_id, length FROM docs_")
+def document_lengths(spark, d):
+    return index_of(spark, d).docs.select("doc_id", "length")
+
+
+@query(f"{O.INDEX} SELECT round(av, 6) AS average_length, round(avt, 6) AS average_title FROM stats_")
+def corpus_averages(spark, d):
+    return index_of(spark, d).averages().select(F.round("average_length", 6).alias("average_length"), F.round("average_title", 6).alias("average_title"))
+
+
+@query(f"{O.INDEX} SELECT doc_id, title_span::INTEGER AS title_span, title_terms FROM docs_")
+def title_fields(spark, d):
+    return index_of(spark, d).docs.select("doc_id", "title_span", "title_terms")
+
+
+@query(f"{O.INDEX} SELECT position::INTEGER AS position, term FROM tokens WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def document_term_stream(spark, d):
+    last = table(spark, d, "documents").agg(F.max("doc_id").alias("m")).scalar()
+    return index_of(spark, d).document_terms(last)
+
+
+def _bytes(x: str) -> str:
+    return f"greatest(1, ceil(length(bin({x})) / 7))::BIGINT"
+
+
+@query(f"""{O.INDEX},
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM docs_),
+    gaps AS (SELECT tf, ord - coalesce(lag(ord) OVER (PARTITION BY term ORDER BY ord), 0) AS g FROM postings_ JOIN ranked USING (doc_id)),
+    steps AS (SELECT position - coalesce(lag(position) OVER (PARTITION BY doc_id, term ORDER BY position), 0) AS s FROM tokens),
+    a AS (SELECT count(*) * 8 AS pd, count(*) * 8 AS pf, sum(tf) * 8 AS pp, sum({_bytes("g")}) AS cd, sum({_bytes("tf")}) AS cf FROM gaps),
+    b AS (SELECT sum({_bytes("s")}) AS cp FROM steps)
+    SELECT 'plain' AS encoding, 'documents' AS section, pd::BIGINT AS bytes FROM a UNION ALL SELECT 'plain', 'frequencies', pf::BIGINT FROM a UNION ALL SELECT 'plain', 'positions', pp::BIGINT FROM a
+    UNION ALL SELECT 'varbyte', 'documents', cd::BIGINT FROM a UNION ALL SELECT 'varbyte', 'frequencies', cf::BIGINT FROM a UNION ALL SELECT 'varbyte', 'positions', cp::BIGINT FROM b""")
+def index_size_model(spark, d):
+    return index_sizes(index_of(spark, d))
+
+
+@query("""WITH a AS (SELECT doc_id, coalesce(title, '') AS t, CASE WHEN source = 'forum' THEN '' ELSE coalesce(text, '') END AS b FROM documents WHERE published_at < TIMESTAMP '2023-01-01'),
+    b AS (SELECT doc_id, coalesce(title, '') AS t, coalesce(text, '') AS b FROM documents WHERE coalesce(source, '') <> 'glossary')
+    SELECT count(*) FILTER (a.doc_id IS NULL) AS added, count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND (a.t <> b.t OR a.b <> b.b)) AS updated,
+           count(*) FILTER (b.doc_id IS NULL) AS removed, count(*) FILTER (a.t = b.t AND a.b = b.b) AS unchanged FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def incremental_diff(spark, d):
+    from .operators.index import build_index
+
+    rows = table(spark, d, "documents")
+    before = rows.filter("published_at < TIMESTAMP '2023-01-01'").select("doc_id", "title", F.when(F.col("source") == "forum", "").otherwise(F.col("text")).alias("body"))
+    after = rows.filter("coalesce(source, '') <> 'glossary'").select("doc_id", "title", F.col("text").alias("body"))
+    return update_index(build_index(before), after)[1]
+
+
+# Boolean and phrase queries
+
+
+def _docs_with(*terms: str) -> str:
+    return ", ".join(f"t{i} AS (SELECT doc_id FROM postings_ WHERE term = '{t}')" for i, t in enumerate(terms))
+
+
+def _matching(name: str, text: str, sql: str) -> None:
+    def run(spark, d):
+        return matching.matches(index_of(spark, d), text)
+
+    run.__name__ = name
+    query(f"{O.INDEX}, {sql}")(run)
+
+
+_matching("match_and", "river AND lantern", _docs_with("river", "lantern") + " SELECT * FROM t0 INTERSECT SELECT * FROM t1")
+_matching("match_or", "glacier OR violin", _docs_with("glacier", "violin") + " SELECT * FROM t0 UNION SELECT * FROM t1")
+_matching("match_not", "NOT index", _docs_with("index") + " SELECT doc_id FROM docs_ EXCEPT SELECT * FROM t0")
+_matching("match_nested", "river AND (bridge OR NOT temple)", _docs_with("river", "bridg", "templ") + " SELECT * FROM t0 INTERSECT (SELECT * FROM t1 UNION (SELECT doc_id FROM docs_ EXCEPT SELECT * FROM t2))")
+_matching("match_stopword", "the river", _docs_with("river") + " SELECT * FROM t0")
+_matching("match_phrase", '"older sources disagree"', "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 2 WHERE a.term = 'older' AND b.term = 'sourc' AND c.term = 'disagre') SELECT DISTINCT doc_id FROM x")
+_matching("match_phrase_gap", '"one names the river"', "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 3 WHERE a.term = 'on' AND b.term = 'name' AND c.term = 'river' UNION SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 3 WHERE a.term = 'one' AND b.term = 'name' AND c.term = 'river') SELECT DISTINCT doc_id FROM x")
+_matching("match_compound_word", "world-index/river", "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 2 WHERE a.term = 'world' AND b.term = 'index' AND c.term = 'river') SELECT DISTINCT doc_id FROM x")
+
+
+@query(f"{O.INDEX}, {_docs_with('river', 'index', 'crawler')} SELECT * FROM t0 INTERSECT SELECT * FROM t1 INTERSECT SELECT * FROM t2")
+def set_and(spark, d):
+    return matching.intersect(index_of(spark, d), ["river", "index", "crawler"])
+
+
+@query(f"{O.INDEX}, {_docs_with('glacier', 'violin')} SELECT * FROM t0 UNION SELECT * FROM t1")
+def set_or(spark, d):
+    return matching.unite(index_of(spark, d), ["glacier", "violin"])
+
+
+@query(f"{O.INDEX}, {_docs_with('river', 'index')} SELECT * FROM t0 EXCEPT SELECT * FROM t1")
+def set_andnot(spark, d):
+    return matching.subtract(index_of(spark, d), "river", "index")
+
+
+# Ranking
+
+
+def _ranking(name: str, words: list[str], scorer: str, sql: str) -> None:
+    def run(spark, d):
+        return ranking.scored(index_of(spark, d), ranking.query_terms(words), scorer).select("doc_id", F.round("score", 4).alias("score"))
+
+    run.__name__ = name
+    query(f"{O.INDEX} SELECT doc_id, round(sum(w), 4) AS score FROM ({sql}) GROUP BY doc_id")(run)
+
+
+_ranking("rank_tfidf", ["river", "lantern"], "tfidf", O.tfidf("p.term IN ('river', 'lantern')"))
+_ranking("rank_bm25", ["river", "lantern"], "bm25", O.bm25("p.term IN ('river', 'lantern')"))
+_ranking("rank_bm25f", ["river", "lantern"], "bm25f", O.bm25f("p.term IN ('river', 'lantern')"))
+_ranking("rank_bm25_repeated_term", ["river", "river"], "bm25", f"SELECT * FROM ({O.bm25(chr(39) + 'river' + chr(39) + ' = p.term')}), (VALUES (1), (2))")
+
+_BEST = "SELECT doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS nth FROM ({})) WHERE nth <= {}"
+
+
+@query(f"{O.INDEX} " + _BEST.format(f"SELECT doc_id, sum(w) AS score FROM ({O.bm25('p.term IN (' + chr(39) + 'glacier' + chr(39) + ', ' + chr(39) + 'violin' + chr(39) + ')')}) GROUP BY doc_id", 10))
+def topk_bm25(spark, d):
+    rows = ranking.scored(index_of(spark, d), ["glacier", "violin"]).withColumn("score", F.round("score", 9))
+    return ranking.top_k(rows, 10).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""{O.INDEX}, {_docs_with('river', 'bridg', 'templ')}, m AS (SELECT * FROM t0 INTERSECT (SELECT * FROM t1 UNION (SELECT doc_id FROM docs_ EXCEPT SELECT * FROM t2))),
+    s AS (SELECT doc_id, sum(w) AS score FROM ({O.bm25("p.term IN ('river', 'bridg', 'templ')")}) GROUP BY doc_id)
+    SELECT m.doc_id, round(coalesce(score, 0), 4) AS score FROM m LEFT JOIN s ON s.doc_id = m.doc_id""")
+def query_boolean_ranked(spark, d):
+    rows = ranking.run_query(index_of(spark, d), "river AND (bridge OR NOT temple)", limit=1_000_000)
+    return rows.select("doc_id", F.round("score", 4).alias("score"))
+
+
+_QUERY_WORDS = rf"""q_ AS (SELECT DISTINCT query_id, text FROM judged_queries WHERE text IS NOT NULL),
+    qp_ AS (SELECT query_id, list_filter(regexp_split_to_array(translate(regexp_replace(text, '["()]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {O._SPLIT}), lambda x: x <> '') AS p FROM q_),
+    qw_ AS (SELECT query_id, unnest(p) AS piece FROM qp_),
+    qn_ AS (SELECT query_id, {O._normal("piece")} AS term FROM qw_)"""
+
+
+def _query_stems() -> str:
+    chain = "SELECT term, CASE WHEN left(term, 1) = 'y' THEN 'Y' || substr(term, 2) ELSE term END AS w FROM (SELECT DISTINCT term FROM qn_ WHERE term <> '')"
+    for step in O._STEPS:
+        chain = f"SELECT term, {step} AS w FROM ({chain})"
+    return f"qs_ AS (SELECT term, CASE WHEN strlen(term) <= 2 THEN term WHEN left(w, 1) = 'Y' THEN 'y' || substr(w, 2) ELSE w END AS stem FROM ({chain}))"
+
+
+@query(f"""{O.INDEX}, {_QUERY_WORDS}, {_query_stems()},
+    qt_ AS (SELECT query_id, stem AS term FROM qn_ JOIN qs_ USING (term) WHERE term NOT IN ({O.STOP_LIST})),
+    w_ AS ({O.bm25("p.term IN (SELECT term FROM qt_)")}),
+    s_ AS (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM qt_ JOIN w_ USING (term) GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, round(score, 3) AS score, nth::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM s_) WHERE nth <= 10""")
+def batch_topk_bm25(spark, d):
+    log = table(spark, d, "judged_queries").filter("text IS NOT NULL").dropDuplicates(["query_id", "text"])
+    scores = ranking.batch_scores(index_of(spark, d), evaluation.bags(log)).withColumn("score", F.round("score", 6))
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    return scores.withColumn("rank", F.row_number().over(window)).filter("rank <= 10").withColumn("score", F.round("score", 3))
+
+
+@query()
+def batch_boolean_search(spark, d):
+    log = table(spark, d, "judged_queries").dropDuplicates(["query_id", "text"])
+    return ranking.batch_search(index_of(spark, d), log).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
+
+
+@query()
+def parse_query_log(spark, d):
+    return ranking.parsed_queries(table(spark, d, "judged_queries").dropDuplicates(["query_id", "text"])).select("query_id", "plan", "terms", "open", "error")
+
+
+# Links: a graph of keys, as in the oracle
+
+
+def _edges(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
+_EDGES = "SELECT 'p' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem"
+
+
+def _urls(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    url = F.concat(F.lit("http://h"), (k % 10).cast("string"), F.lit(".test/"), F.when(k >= 10, k.cast("string")).otherwise(""))
+    return table(spark, d, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("doc_id"), url.alias("url"), k.alias("ord"))
+
+
+_HOSTS = "h_ AS (SELECT 'p' || p_partkey AS doc_id, 'h' || (p_partkey % 10) || '.test' AS host, p_partkey < 10 AS home FROM part)"
+_ROUNDS = 5
+
+
+@query(f"WITH {O.pagerank(_EDGES, _ROUNDS)} SELECT page, round(score, 9) AS score FROM r{_ROUNDS}_")
+def pagerank_page(spark, d):
+    return links.pagerank(_edges(spark, d), _ROUNDS).select("page", F.round("score", 9).alias("score"))
+
+
+_SITE = f"""{_HOSTS}, se_ AS (SELECT DISTINCT a.host AS src, b.host AS dst FROM ({_EDGES}) e JOIN h_ a ON a.doc_id = e.src JOIN h_ b ON b.doc_id = e.dst WHERE a.host <> b.host),
+    {O.pagerank("SELECT * FROM se_", _ROUNDS)}"""
+
+
+@query(f"WITH {_SITE} SELECT doc_id AS page, round(score, 9) AS score FROM r{_ROUNDS}_ JOIN h_ ON host = page WHERE home")
+def site_pagerank(spark, d):
+    return links.site_pagerank(_edges(spark, d), _urls(spark, d), _ROUNDS).select("page", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_HOSTS} SELECT doc_id AS page, round(1.0 / (SELECT count(*) FROM h_ WHERE home), 9) AS score FROM h_ WHERE home")
+def home_page_prior(spark, d):
+    return links.home_page_ranking(_urls(spark, d)).select("page", F.round("score", 9).alias("score"))
+
+
+def _numbers(ranks: DataFrame) -> DataFrame:
+    """Page names as the documents' ids."""
+    return ranks.select(F.expr("try_cast(substring(page, 2) AS BIGINT)").alias("doc_id"), "score")
+
+
+_PRIOR = f"pr_ AS (SELECT substr(page, 2)::BIGINT AS doc_id, score FROM r{_ROUNDS}_), np_ AS (SELECT count(*) AS np FROM pr_)"
+
+
+@query(f"""{O.INDEX}, {O.pagerank(_EDGES, _ROUNDS)}, {_PRIOR}, s_ AS (SELECT doc_id, sum(w) AS score FROM ({O.bm25("p.term = 'river'")}) GROUP BY doc_id)
+    SELECT s_.doc_id, round(s_.score * (1 + 0.5 * ln(1 + np * coalesce(pr_.score, 0))), 4) AS score FROM s_ LEFT JOIN pr_ ON pr_.doc_id = s_.doc_id, np_""")
+def query_with_prior(spark, d):
+    prior = ranking.Prior(_numbers(links.pagerank(_edges(spark, d), _ROUNDS)))
+    return ranking.run_query(index_of(spark, d), "river", 1_000_000, prior=prior, strength=0.5).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""{O.INDEX}, {_docs_with('river', 'index', 'crawler')}, m AS (SELECT * FROM t0 INTERSECT SELECT * FROM t1 INTERSECT SELECT * FROM t2),
+    s_ AS (SELECT doc_id, sum(w) AS score FROM ({O.bm25("p.term IN ('river', 'index', 'crawler')")}) GROUP BY doc_id)
+    SELECT doc_id, round(score, 4) AS score FROM s_ WHERE doc_id IN (SELECT doc_id FROM m)""")
+def query_prior_short_only(spark, d):
+    prior = ranking.Prior(_numbers(links.home_page_ranking(_urls(spark, d))))
+    return ranking.run_query(index_of(spark, d), "river index crawler", 1_000_000, prior=prior, strength=1.0, max_words=2).select("doc_id", F.round("score", 4).alias("score"))
+
+
+# Dictionary
+
+
+@query(f"{O.INDEX} SELECT term, levenshtein(term, 'lanten')::INTEGER AS distance, df FROM df_ WHERE levenshtein(term, 'lanten') <= 2")
+def suggest_terms(spark, d):
+    return lexicon.near_terms(index_of(spark, d).terms, "lanten", 2)
+
+
+@query(f"{O.INDEX} SELECT term, df FROM df_ WHERE starts_with(term, 'la') ORDER BY df DESC, term LIMIT 10")
+def complete_prefix(spark, d):
+    return lexicon.complete(index_of(spark, d), "LÀ", 10)
+
+
+@query("SELECT p_partkey, levenshtein(coalesce(p_name, ''), coalesce(p_brand, ''))::INTEGER AS distance FROM part")
+def edit_distance_pairs(spark, d):
+    c = lambda n: F.coalesce(F.col(n), F.lit(""))
+    return table(spark, d, "part").select("p_partkey", lexicon.edit_distance_column(c("p_name"), c("p_brand")).alias("distance"))
+
+
+@query()
+def correct_queries(spark, d):
+    found = lexicon.correct_query(index_of(spark, d), "lanten AND rivr")
+    return spark.createDataFrame([("lanten AND rivr", found)], "query string, corrected string")
+
+
+@query()
+def query_with_snippets(spark, d):
+    ix = index_of(spark, d)
+    return snippets.with_snippets(ranking.run_query(ix, "river lantern"), ix.corpus, scoring_terms("river lantern")).withColumn("score", F.round("score", 4))
+
+
+# Web
+
+
+def _collapsed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[ \t\n\r\x0b\f]+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT page_id, coalesce(title, '') AS t, coalesce(text, '') AS x FROM html_pages)
+    SELECT page_id, {_collapsed("t")} AS title, {_collapsed("t || ' ' || x")} AS text FROM p""")
+def html_title_text(spark, d):
+    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = table(spark, d, "html_pages").select("page_id", "title", "text").distinct()
+    html = F.concat(F.lit("<html><head><TITLE>"), esc(F.col("title")), F.lit("</TITLE><script>if (a<b) {}</script></head><body><!-- x > y --><p>"), esc(F.col("text")), F.lit("</p></body></html>"))
+    return parsed_html(rows.select("page_id", html.alias("html"))).select("page_id", "title", "text")
+
+
+_CANON = r"""c_ AS (
+    SELECT page_id, url, lower(regexp_extract(url, '^([^:]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:]*://([^/?#:]+)', 1)) AS host,
+           regexp_extract(url, '^[^:]*://[^/?#:]+:([0-9]+)', 1) AS port, regexp_extract(url, '^[^:]*://[^/?#:]+(?::[0-9]+)?(/[^?#]*)', 1) AS path, regexp_extract(url, '^[^#?]*\?([^#]*)', 1) AS query
+    FROM (SELECT DISTINCT page_id, url FROM crawled_pages WHERE url IS NOT NULL)),
+    n_ AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s NOT IN ('', '.')) AS parts FROM c_ WHERE scheme IN ('http', 'https') AND host <> '')"""
+
+
+@query(f"""WITH {_CANON} SELECT page_id, scheme || '://' || host || CASE WHEN port = '' OR port = CASE scheme WHEN 'http' THEN '80' ELSE '443' END THEN '' ELSE ':' || port END
+    || '/' || array_to_string(parts, '/') || CASE WHEN len(parts) > 0 AND suffix(path, '/') THEN '/' ELSE '' END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM n_""")
+def url_normalize(spark, d):
+    rows = table(spark, d, "crawled_pages").select("page_id", "url").distinct()
+    return rows.select("page_id", canonical_column(F.col("url")).alias("canonical")).filter("canonical IS NOT NULL")
+
+
+@query(f"WITH {_CANON} SELECT host, count(*) AS pages FROM n_ GROUP BY host")
+def host_of_url(spark, d):
+    rows = table(spark, d, "crawled_pages").select("page_id", host_column(F.col("url")).alias("host")).distinct()
+    return rows.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("""WITH p AS (SELECT DISTINCT page_id, text FROM crawled_pages), f AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY page_id) AS nth FROM p)
+    SELECT page_id FROM f WHERE nth = 1 OR text IS NULL""")
+def content_dedup(spark, d):
+    return crawl.first_bodies(table(spark, d, "crawled_pages").select("page_id", "text").distinct()).select("page_id")
+
+
+@query()
+def html_link_graph(spark, d):
+    found = resolved_links(table(spark, d, "html_pages").dropDuplicates(["page_id"]))
+    return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x08]+', ' ', 'g'), ' ') AS text FROM documents")
+def collapse_whitespace(spark, d):
+    return table(spark, d, "documents").select("doc_id", collapse_column(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("SELECT event_id, event_type AS title, NULL::VARCHAR AS k FROM events")
+def json_string_field(spark, d):
+    line = F.expr("""concat(left(props, length(props) - 1), ', "title": "', event_type, '", "deep": {"title": "no"}}')""")
+    rows = table(spark, d, "events").select("event_id", line.alias("line"))
+    return rows.select("event_id", json_field(F.col("line"), "title").alias("title"), json_field(F.col("line"), "k").alias("k"))
+
+
+# Evaluation
+
+_JUDGED = """r AS (SELECT query_id, document_id AS doc_id, max(score) AS score FROM query_results WHERE query_id IS NOT NULL AND document_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r),
+    j AS (SELECT query_id, document_id AS doc_id, max(shard % 4) AS grade FROM query_results WHERE query_id IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL HAVING max(shard % 4) > 0),
+    h AS (SELECT query_id, sum(grade / log2(rank + 1)) FILTER (rank <= 10) AS dcg, count(*) FILTER (rank <= 10) AS top, count(*) FILTER (rank <= 100) AS found FROM k JOIN j USING (query_id, doc_id) GROUP BY query_id),
+    i AS (SELECT query_id, sum(grade / log2(n + 1)) FILTER (n <= 10) AS best, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS n FROM j) GROUP BY query_id)"""
+
+
+@query(f"WITH {_JUDGED} SELECT query_id, round(coalesce(dcg / best, 0), 6) AS ndcg_10, round(coalesce(top / 10.0, 0), 6) AS precision_10, round(coalesce(found / relevant, 0), 6) AS recall_100 FROM i LEFT JOIN h USING (query_id)")
+def eval_metrics(spark, d):
+    rows = table(spark, d, "query_results").filter("query_id IS NOT NULL AND document_id IS NOT NULL")
+    sane = rows.filter("score IS NOT NULL AND NOT isnan(score) AND abs(score) < double('infinity')")
+    best = sane.groupBy("query_id", F.col("document_id").alias("doc_id")).agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))))
+    qrels = rows.groupBy("query_id", F.col("document_id").alias("doc_id")).agg(F.max(F.col("shard") % 4).alias("grade"))
+    return evaluation.metrics(ranked, qrels).select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg_10", "precision_10", "recall_100")))
+
+
+@query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, count(value) AS n FROM events")
+def latency_percentiles(spark, d):
+    return evaluation.latencies(table(spark, d, "events"), "value").select(*(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean")), "n")
+
+
+@query("""WITH b AS (SELECT query_id, max(CASE WHEN isnan(score) OR isinf(score) THEN NULL ELSE score END) AS best FROM query_results GROUP BY query_id)
+    SELECT CASE WHEN best IS NULL THEN 'none' WHEN best < 1 THEN '0-1' WHEN best < 2 THEN '1-2' WHEN best < 5 THEN '2-5' WHEN best < 10 THEN '5-10' WHEN best < 20 THEN '10-20' ELSE '>=20' END AS bucket, count(*) AS queries FROM b GROUP BY 1""")
+def query_set_report(spark, d):
+    clean = F.when(F.isnan("score") | (F.abs("score") == float("inf")), None).otherwise(F.col("score"))
+    return evaluation.query_set_report(table(spark, d, "query_results").select("query_id", clean.alias("score")))
+
+
+@query("SELECT sum(i * i)::BIGINT AS total FROM range(100000) t(i)")
+def pool_sum(spark, d):
+    return evaluation.pool_sum(spark, 100_000)
