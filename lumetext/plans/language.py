@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 from ..functions.text import query_terms, terms_of
@@ -107,6 +108,7 @@ def parse(query: str) -> Node:
             return inner
         raise QueryError({"": "unexpected end of query", ")": "unexpected closing parenthesis"}.get(kind, "unexpected operator"))
 
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEPTH))  # some frames for each level
     root = either()
     if at < len(tokens):
         raise QueryError("unexpected token after end of query")
