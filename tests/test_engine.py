@@ -253,7 +253,7 @@ def test_snippets(spark, index):
     text = "One two three. Four (red) boats, five six seven eight."
     assert snippets.snippet(text, ["red", "boat"], 26) == "...three. Four ([red]) [boats],..."
     assert snippets.snippet(text, ["zebra"], 12) == "One two..."
-    assert snippets.snippet("", ["x"]) == "" and snippets.snippet("word", ["word"], 2) == "word"
+    assert snippets.snippet("", ["x"]) == "" and snippets.snippet("word", ["word"], 2) == "[word]" and snippets.snippet("word", ["word"], 9) == "[word]"
     assert snippets.snippet("café crème", ["creme"], 99) == "café [crème]"
     rows = snippets.with_snippets(ranking.run_query(index, "boat"), index.corpus, ["boat"], 40).collect()
     assert all("[" in r.snippet for r in rows)
