@@ -11,13 +11,13 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_per
+from .common import cut, one_per
 
 #: Letters that look like a Latin one, by script (fixed values; those that fonts draw alike).
 LOOKALIKE = {
@@ -54,7 +54,7 @@ _IGNORED = re.compile(
     "\\U0001bca0-\\U0001bca3\\U0001d173-\\U0001d17a\\U000e0000-\\U000e0fff]+"
 )
 _SPACE = re.compile(r"[^\S\n]+")
-_RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+_RUN = re.compile(r"([^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*)")
 _TURNS = re.compile(r" *\n *")
 
 
@@ -88,18 +88,17 @@ def _symbol(c: str) -> str:
     return c if c in _CLASS else script_of(c)
 
 
-def count_bigrams(texts: Iterable[str], counts: Counter) -> None:
+def count_bigrams(tokens: dict[str, int], counts: Counter) -> None:
     """Adds the bigrams of the tokens that hold a letter of their own script alone, and no letter of another."""
-    for text in texts:
-        for token, n in Counter(_RUN.findall(plain_form(text))).items():
-            letters = [c for c in token if not "\u0300" <= c <= "\u036f"]
-            scripts = {script_of(c) for c in letters}
-            if len(scripts) == 1 and any(c not in _CLASS for c in letters):
-                before = "^"
-                for c in letters:
-                    s = _symbol(c)
-                    counts[before + "\t" + s] += n
-                    before = s
+    for token, n in tokens.items():
+        letters = [c for c in token if not "\u0300" <= c <= "\u036f"]
+        scripts = {script_of(c) for c in letters}
+        if len(scripts) == 1 and any(c not in _CLASS for c in letters):
+            before = "^"
+            for c in letters:
+                s = _symbol(c)
+                counts[before + "\t" + s] += n
+                before = s
 
 
 class Forms:
@@ -157,7 +156,11 @@ class Forms:
     def text(self, text: str | None) -> str | None:
         if text is None:
             return None
-        return unicodedata.normalize("NFC", _RUN.sub(lambda m: self.token(m[0]), plain_form(text)))
+        parts = _RUN.split(plain_form(text))
+        known = self.known
+        parts[1::2] = [known[t] if t in known else self.token(t) for t in parts[1::2]]
+        form = "".join(parts)
+        return form if form.isascii() else unicodedata.normalize("NFC", form)
 
 
 def bigram_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -165,9 +168,16 @@ def bigram_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        tokens: Counter = Counter()
         for batch in batches:
             for column in batch.columns:
-                count_bigrams((t for t in column.to_pylist() if t), counts)
+                for text in column.to_pylist():
+                    if text:
+                        tokens.update(_RUN.findall(plain_form(text)))
+                if len(tokens) > KEPT:
+                    count_bigrams(tokens, counts)
+                    tokens.clear()
+        count_bigrams(tokens, counts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
 
     return docs.select(*columns).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -194,12 +204,12 @@ def one_form(docs: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 
 def lookalike_classes(docs: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body", latest: str = "imported_at") -> DataFrame:
     """(key, class_a, class_b, stored): each distinct record with a body once, two hashes of its one form and one of its stored form.
-    A null title counts as empty; null and empty bodies and null keys give no row."""
+    A null title counts as empty; null and empty bodies and null keys give no row. The hashes are stored: forms are made once."""
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(title), F.lit("")).alias("_title"), F.col(body).alias("_body"), F.col(latest).alias("_at"))
     own = one_per(rows, "_k", "_at").filter(F.length("_body") > 0)
     own = own.select("_k", F.xxhash64("_title", "_body").alias("stored"), "_title", "_body")
     forms = one_form(own, ["_title", "_body"], ["_k", "stored"])
-    return forms.select(F.col("_k").alias(key), F.xxhash64("_title", "_body").alias("class_a"), F.xxhash64(F.lit(7), "_body", "_title").alias("class_b"), "stored")
+    return cut(forms.select(F.col("_k").alias(key), F.xxhash64("_title", "_body").alias("class_a"), F.xxhash64(F.lit(7), "_body", "_title").alias("class_b"), "stored"))
 
 
 def lookalike_pairs(docs: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
