@@ -1,8 +1,8 @@
 """Problem 3: how characteristic a term is of its record.
 
 Method: parsimonious language model. Expectation-maximisation parts each record's term mass into what the background model (the
-term's share of all records) explains and what is the record's own; the converged probabilities rank its terms. Background
-probabilities come by a join whose hot terms are broadcast (at most 1,000 of them, see skew_safe_join).
+term's share of all records) explains and what is the record's own; the converged probabilities rank its terms. The background
+probabilities of the few hundred hottest terms, which most rows belong to, are broadcast; those of all others are joined.
 """
 
 from __future__ import annotations
@@ -15,55 +15,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM, one_per, skew_safe_join
+from .common import HOT, TERM, cut, one_per
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Terms that a task counts in memory before it hands its counts on.
+HELD_TERMS = 200_000
+
+
+def _terms(title: str | None, body: str | None) -> Counter:
+    return Counter(TERM.findall(f"{title or ''}\n{body or ''}".lower()))
+
+
+def _background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df, cf) of one task's records, handed on whenever many terms are held; the row of the empty term counts the records."""
+    df: Counter = Counter()
+    cf: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        cols = [pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[t] for t in df], pa.int64())]
+        df.clear()
+        cf.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["term", "df", "cf"])
+
     for batch in batches:
-        keys, terms, tfs = [], [], []
-        for key, title, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts = Counter(TERM.findall(f"{title or ''}\n{body or ''}".lower()))
-            keys += [key] * len(counts)
-            terms += counts
-            tfs += counts.values()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["_k", "term", "tf"])
+        for title, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            counts = _terms(title, body)
+            if counts:
+                cf.update(counts)
+                df.update(counts.keys())
+                df[""] += 1
+        if len(df) > HELD_TERMS:
+            yield out()
+    yield out()
+
 
+def _pairs(hot: dict[str, int]):
+    """(join, _k, tf, hot): a row for each record and term, but the record's hot terms together in one, whose join key is none: each
+    as its number among the hot terms and its tf, in the halves of a long."""
 
-def parsimonious(tf: np.ndarray, background: np.ndarray, record: np.ndarray, n: int, mix: float = 0.1, rounds: int = 60, tol: float = 1e-6) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            join, where, tfs, packed, ends = [], [], [], [], [0]
+            for i, (title, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                before = len(packed)
+                for term, n in _terms(title, body).items():
+                    if term in hot:
+                        packed.append(hot[term] << 32 | n)
+                    else:
+                        join.append(term)
+                        where.append(i)
+                        tfs.append(n)
+                        ends.append(before)
+                if len(packed) > before:
+                    join.append(f" {i} {len(packed)}")  # spread like terms; no term holds a blank
+                    where.append(i)
+                    tfs.append(0)
+                    ends.append(len(packed))
+            # the hot terms of a record lie behind its other rows, whose lists are empty
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(join, pa.string()), batch.column(0).take(pa.array(where, pa.int64())), pa.array(tfs, pa.int32()), lists], names=["join", "_k", "tf", "hot"])
+
+    return run
+
+
+def parsimonious(tf: np.ndarray, background: np.ndarray, record: np.ndarray, n: int, mix: float = 0.1, rounds: int = 100, tol: float = 1e-5) -> np.ndarray:
     """Converged P(term | record) of the flat arrays' (record, term) pairs.
 
     E: e = tf * mix * p / (mix * p + (1 - mix) * background); M: p = e / sum of e in the record. The start is tf / length. A record
     ends when no term of it moves by ``tol`` any more, so what it gets does not hang on the records that lie beside it.
     """
-    total = np.bincount(record, tf, n)
-    p = tf / total[record]
-    live = np.arange(len(tf))
+    if not len(tf):
+        return np.empty(0)
+    order = np.argsort(record, kind="stable")
+    r, t, q = record[order], tf[order], background[order]
+    first = np.flatnonzero(np.diff(r, prepend=-1))  # where each record's terms begin
+    size = np.diff(np.append(first, len(r)))
+    p = t / np.repeat(np.add.reduceat(t, first), size)
+    place, end = np.arange(len(r)), p.copy()
     for _ in range(rounds):
-        r = record[live]
-        e = tf[live] * mix * p[live] / (mix * p[live] + (1 - mix) * background[live])
-        s = np.bincount(r, e, n)
-        new = np.divide(e, s[r], out=p[live].copy(), where=s[r] > 0)
-        moved = np.zeros(n)
-        np.maximum.at(moved, r, np.abs(new - p[live]))
-        p[live] = new
-        live = live[moved[r] >= tol]
-        if not len(live):
-            break
-    return p
-
-
-def _rank(mix: float, top: str | None):
+        own = mix * p
+        e = t * own / (own + (1 - mix) * q)
+        new = e / np.repeat(np.add.reduceat(e, first), size)
+        moved = np.maximum.reduceat(np.abs(new - p), first) >= tol
+        p = new
+        if not moved.all():
+            end[place] = p
+            live = np.repeat(moved, size)
+            t, q, p, place = t[live], q[live], p[live], place[live]
+            size = size[moved]
+            if not len(size):
+                break
+            first = np.cumsum(size) - size
+    end[place] = p
+    out = np.empty(len(record))
+    out[order] = end
+    return out
+
+
+def _rank(mix: float, top: str | None, n: int, mass: int, hot: list[tuple[str, int, int]]):
+    names = pa.array([t for t, _, _ in hot], pa.string())
+    hot_df, hot_cf = (np.array([h[i] for h in hot], float) for i in (1, 2))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, lists, n_docs, mass = batch.columns
-            term, tf, df, cf = lists.flatten().flatten()
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            record = np.repeat(np.arange(len(key)), size)
-            tf, df, cf = (x.to_numpy(zero_copy_only=False).astype(float) for x in (tf, df, cf))
-            n = n_docs.to_numpy(zero_copy_only=False).astype(float)
-            all_mass = mass.to_numpy(zero_copy_only=False).astype(float)
-            p = parsimonious(tf, cf / all_mass[record], record, len(key), mix)
-            weight = (1 + np.log(tf)) * np.log(n[record] / df)
+            key, lists = batch.columns
+            term, tf, df, cf, common = lists.flatten().flatten()
+            per_row = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(key)), per_row)
+            tf, df, cf = (x.fill_null(0).to_numpy(zero_copy_only=False).astype(float) for x in (tf, df, cf))
+            single = tf > 0  # the others carry a record's hot terms
+            hot_row = np.repeat(row, common.value_lengths().to_numpy(zero_copy_only=False))
+            packed = common.flatten().to_numpy(zero_copy_only=False)
+            which = packed >> 32
+            term = pa.concat_arrays([term.filter(pa.array(single)), names.take(pa.array(which))])
+            record = np.concatenate([row[single], hot_row])
+            tf = np.concatenate([tf[single], (packed & 0xFFFFFFFF).astype(float)])
+            df = np.concatenate([df[single], hot_df[which]])
+            cf = np.concatenate([cf[single], hot_cf[which]])
+            p = parsimonious(tf, cf / mass, record, len(key), mix)
+            weight = (1 + np.log(tf)) * np.log(n / df)
             out = {"_k": key.take(pa.array(record)), "term": term, "tf": pa.array(tf.astype("int32")), "documents": pa.array(df.astype("int64")), "probability": pa.array(p), "weight": pa.array(weight)}
             if top:
                 value = p if top == "probability" else weight
@@ -72,7 +142,8 @@ def _rank(mix: float, top: str | None):
                 best: dict[int, tuple[bytes, int]] = {}
                 for i in np.flatnonzero(value == most[record]):
                     mine = (term[int(i)].as_py().encode("utf-8", "surrogatepass"), int(i))
-                    if mine < best.get(r := int(record[i]), (b"\xff" * 9, 0)):
+                    r = int(record[i])
+                    if r not in best or mine < best[r]:
                         best[r] = mine
                 chosen = pa.array([i for _, i in best.values()], pa.int64())
                 out = {k: v.take(chosen) for k, v in out.items()}
@@ -93,14 +164,16 @@ def term_weights(docs: DataFrame, key: str = "doc_id", title: str = "title", bod
     rows = docs.select(F.col(key).alias("_k"), F.col(title).alias("_title"), F.col(body).alias("_body"), *([F.col(latest).alias("_at")] if latest else []))
     texts = one_per(rows, "_k", "_at" if latest else None).select("_k", "_title", "_body")
     kind = rows.schema["_k"].dataType.simpleString()
-    pairs = texts.mapInArrow(_tokenize, f"_k {kind}, term string, tf int")
-    known = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    total = known.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).scalar()
-    joined = skew_safe_join(pairs, known, ["term"], "df", total)
-    lists = joined.groupBy("_k").agg(F.collect_list(F.struct("term", "tf", "df", "cf")).alias("terms"))
-    n_docs = texts.filter(F.concat_ws("\n", "_title", "_body").rlike(r"[\p{L}\p{N}]")).agg(F.count(F.lit(1)).alias("n")).scalar()
-    mass = known.agg(F.sum("cf").alias("n")).scalar()
-    ranked = lists.select("_k", "terms", n_docs.alias("n"), mass.alias("mass")).mapInArrow(_rank(mix, top), f"_k {kind}, term string, tf int, documents long, probability double, weight double")
+    known = cut(texts.mapInArrow(_background, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
+    sums = known.agg(F.sum(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.sum(F.when(F.col("term") != "", F.col("df"))).alias("pairs"), F.sum("cf").alias("mass")).first()
+    n, pairs, mass = (x or 0 for x in sums)
+    # A term in a HOT-th of all pairs: HOT of them at most.
+    hot = sorted((r.term, r.df, r.cf) for r in known.filter((F.col("term") != "") & (F.col("df") * HOT >= pairs)).collect())
+    numbers = {term: i for i, (term, _, _) in enumerate(hot)}
+    loose = texts.mapInArrow(_pairs(numbers), f"join string, _k {kind}, tf int, hot array<long>")
+    joined = loose.join(known.withColumnRenamed("term", "join").hint("shuffle_merge"), "join", "left")
+    lists = joined.groupBy("_k").agg(F.collect_list(F.struct(F.col("join").alias("term"), "tf", "df", "cf", "hot")).alias("terms"))
+    ranked = lists.mapInArrow(_rank(mix, top, n, mass, hot), f"_k {kind}, term string, tf int, documents long, probability double, weight double")
     return ranked.withColumnRenamed("_k", key)
 
 
