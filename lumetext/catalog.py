@@ -141,10 +141,14 @@ def _bytes(x: str) -> str:
     ranked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM docs_),
     gaps AS (SELECT tf, ord - coalesce(lag(ord) OVER (PARTITION BY term ORDER BY ord), 0) AS g FROM postings_ JOIN ranked USING (doc_id)),
     steps AS (SELECT position - coalesce(lag(position) OVER (PARTITION BY doc_id, term ORDER BY position), 0) AS s FROM tokens),
-    a AS (SELECT count(*) * 8 AS pd, count(*) * 8 AS pf, sum(tf) * 8 AS pp, sum({_bytes("g")}) AS cd, sum({_bytes("tf")}) AS cf FROM gaps),
-    b AS (SELECT sum({_bytes("s")}) AS cp FROM steps)
-    SELECT 'plain' AS encoding, 'documents' AS section, pd::BIGINT AS bytes FROM a UNION ALL SELECT 'plain', 'frequencies', pf::BIGINT FROM a UNION ALL SELECT 'plain', 'positions', pp::BIGINT FROM a
-    UNION ALL SELECT 'varbyte', 'documents', cd::BIGINT FROM a UNION ALL SELECT 'varbyte', 'frequencies', cf::BIGINT FROM a UNION ALL SELECT 'varbyte', 'positions', cp::BIGINT FROM b""")
+    a AS (SELECT count(*) * 24 AS p, sum(tf) * 8 AS pp, sum({_bytes("g")} + 2 * {_bytes("tf")}) AS c FROM gaps),
+    b AS (SELECT sum({_bytes("s")}) AS cp FROM steps),
+    w AS (SELECT sum(strlen(term) + 16) AS w, sum(strlen(term) + {_bytes("strlen(term)")} + {_bytes("df")}) AS cw FROM df_),
+    d AS (SELECT sum(strlen(doc_id::VARCHAR) + 32) + 8 AS d FROM docs_),
+    x AS (SELECT unnest([['plain', 'header', '73'], ['plain', 'documents', d::VARCHAR], ['plain', 'dictionary', w::VARCHAR], ['plain', 'postings', p::VARCHAR], ['plain', 'positions', pp::VARCHAR],
+        ['delta', 'header', '73'], ['delta', 'documents', d::VARCHAR], ['delta', 'dictionary', w::VARCHAR], ['delta', 'postings', p::VARCHAR], ['delta', 'positions', pp::VARCHAR],
+        ['varbyte', 'header', '73'], ['varbyte', 'documents', d::VARCHAR], ['varbyte', 'dictionary', cw::VARCHAR], ['varbyte', 'postings', c::VARCHAR], ['varbyte', 'positions', cp::VARCHAR]]) AS r FROM a, b, w, d)
+    SELECT r[1] AS encoding, r[2] AS section, r[3]::BIGINT AS bytes FROM x""")
 def index_size_model(spark, d):
     return index_sizes(index_of(spark, d))
 

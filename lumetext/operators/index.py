@@ -152,9 +152,13 @@ def varbyte(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("long")
 
 
+#: Bytes of a stored index beside its rows: the header, and each document's four numbers (fixed values of the format).
+HEADER_BYTES, DOCUMENT_BYTES = 73, 32
+
+
 def index_sizes(index: Index) -> DataFrame:
-    """(encoding, section, bytes): what the postings' document numbers, frequencies and positions take as plain 8-byte numbers, as
-    deltas, and as variable-byte deltas. Document numbers are the dense ranks of the ids."""
+    """(encoding, section, bytes): what a stored index takes with plain 8-byte numbers, with deltas of the same width, and with
+    variable-byte deltas. A posting is a document gap, a frequency and a number of positions; document numbers are ranks of the ids."""
     from pyspark.sql import Window
 
     ranked = dense_ranks(index.docs.select("doc_id"), "doc_id", "ord")
@@ -162,12 +166,16 @@ def index_sizes(index: Index) -> DataFrame:
     step = F.col("ord") - F.coalesce(F.lag("ord").over(Window.partitionBy("term").orderBy("ord")), F.lit(0))
     gaps = F.transform(F.sequence(F.lit(1), F.size("positions")), lambda i: F.col("positions")[i - 1] - F.when(i > 1, F.col("positions")[F.greatest(i - 2, F.lit(0))]).otherwise(0))
     sized = rows.select("tf", step.alias("d"), F.aggregate(F.transform(gaps, lambda g: varbyte(g.cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x).alias("p"))
-    one = sized.agg(
-        F.sum(F.lit(8)).alias("plain_docs"), F.sum(F.lit(8)).alias("plain_frequencies"), F.sum(F.col("tf") * 8).alias("plain_positions"), F.sum(varbyte(F.col("d"))).alias("coded_docs"), F.sum(varbyte(F.col("tf").cast("long"))).alias("coded_frequencies"), F.sum("p").alias("coded_positions")
-    )
-    parts = [("plain", "documents", "plain_docs"), ("plain", "frequencies", "plain_frequencies"), ("plain", "positions", "plain_positions"), ("varbyte", "documents", "coded_docs"), ("varbyte", "frequencies", "coded_frequencies"), ("varbyte", "positions", "coded_positions")]
-    stacked = F.array(*(F.struct(F.lit(e).alias("encoding"), F.lit(s).alias("section"), F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("bytes")) for e, s, c in parts))
-    return one.select(F.inline(stacked))
+    lists = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf"), F.sum(varbyte(F.col("d")) + 2 * varbyte(F.col("tf").cast("long"))).alias("coded"), F.sum("p").alias("coded_positions"))
+    length = F.octet_length("term").cast("long")
+    words = index.terms.agg(F.sum(length + 16).alias("words"), F.sum(length + varbyte(length) + varbyte(F.col("df"))).alias("coded_words"))
+    docs = index.docs.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + DOCUMENT_BYTES).alias("docs"))
+    zero = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    plain = {"header": F.lit(HEADER_BYTES), "documents": zero(F.col("docs")) + 8, "dictionary": F.col("words"), "postings": F.col("n") * 24, "positions": F.col("tf") * 8}
+    coded = plain | {"dictionary": F.col("coded_words"), "postings": F.col("coded"), "positions": F.col("coded_positions")}
+    cells = [F.struct(F.lit(e).alias("encoding"), F.lit(name).alias("section"), zero(c).alias("bytes")) for e, parts in (("plain", plain), ("delta", plain), ("varbyte", coded)) for name, c in parts.items()]
+    one = lists.join(F.broadcast(words), how="left").join(F.broadcast(docs), how="left")  # one row each
+    return one.select(F.inline(F.array(*cells)))
 
 
 def dense_ranks(df: DataFrame, key: str, name: str) -> DataFrame:

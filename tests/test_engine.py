@@ -128,8 +128,10 @@ def test_update_equals_full_build(spark, index):
 
 def test_sizes_and_ranks(spark, index):
     rows = {(r.encoding, r.section): r.bytes for r in index_sizes(index).collect()}
-    n = index.postings.count()
-    assert rows["plain", "documents"] == 8 * n and rows["varbyte", "documents"] == n  # five documents fit one byte
+    n, terms = index.postings.count(), [r.term for r in index.terms.collect()]
+    assert rows["plain", "postings"] == 24 * n and rows["varbyte", "postings"] == 3 * n  # every number here fits one byte
+    assert rows["plain", "documents"] == 8 + 5 * 33 and rows["plain", "header"] == 73
+    assert rows["varbyte", "dictionary"] == sum(len(t) + 2 for t in terms) == rows["plain", "dictionary"] - 14 * len(terms)
     ranks = dense_ranks(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), "k", "nth").collect()
     assert all(r.k == r.nth for r in ranks) and len(ranks) == 1000
 
