@@ -166,6 +166,15 @@ def incremental_diff(spark, d):
     return update_index(build_index(before), after)[1]
 
 
+@query(f"{O.INDEX} SELECT term, df FROM df_")
+def index_merge(spark, d):
+    from .operators.index import build_index, merge_indexes
+
+    rows = table(spark, d, "documents").withColumnRenamed("text", "body")
+    encyclopedia = F.coalesce(F.col("source"), F.lit("")) == "wiki_dump"
+    return merge_indexes(build_index(rows.filter(encyclopedia)), build_index(rows.filter(~encyclopedia))).terms
+
+
 # Boolean and phrase queries
 
 

@@ -147,6 +147,15 @@ def update_index(old: Index, corpus: DataFrame) -> tuple[Index, DataFrame]:
     return Index(docs, postings, new.drop("fingerprint")), tally
 
 
+def merge_indexes(a: Index, b: Index) -> Index:
+    """One index of two with different documents: rows side by side, nothing is analyzed or shuffled. An id in both is an error."""
+    both = a.docs.select("doc_id").join(b.docs.select("doc_id"), "doc_id", "left_semi")
+    if not both.isEmpty():
+        raise ValueError("a document is in both indexes")
+    corpus = None if a.corpus is None or b.corpus is None else a.corpus.unionByName(b.corpus)
+    return Index(a.docs.unionByName(b.docs), a.postings.unionByName(b.postings), corpus)
+
+
 def varbyte(n: Column) -> Column:
     """Bytes of a number at seven bits each."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("long")

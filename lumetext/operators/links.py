@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.web import canonical_column, host_column
@@ -20,9 +20,10 @@ def pagerank(links: DataFrame, iterations: int = 30, damping: float = 0.85) -> D
     if iterations < 0 or not 0 <= damping <= 1:
         raise ValueError("iterations must not be negative, and damping must lie in 0..1")
     edges = links.select("src", "dst").dropna().distinct()
-    out = Window.partitionBy("src")
-    edges = cut(edges.withColumn("share", 1.0 / F.count(F.lit(1)).over(out)))
-    nodes = cut(edges.select(F.col("src").alias("page")).union(edges.select("dst")).distinct().join(edges.select(F.col("src").alias("page")).distinct().withColumn("linking", F.lit(True)), "page", "left"))
+    degrees = edges.groupBy("src").agg((1.0 / F.count(F.lit(1))).alias("share"))
+    edges = cut(edges.join(degrees, "src"))
+    ends = edges.select(F.col("src").alias("page"), F.lit(True).alias("linking")).union(edges.select("dst", F.lit(False)))
+    nodes = cut(ends.groupBy("page").agg(F.max(F.when(F.col("linking"), True)).alias("linking")))
     n = nodes.count()
     ranks = nodes.withColumn("score", F.lit(1.0 / n if n else 0.0))
     for _ in range(iterations if n else 0):

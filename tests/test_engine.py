@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumetext.operators import evaluation, lexicon, links, matching, ranking, snippets
-from lumetext.operators.index import build_index, dense_ranks, index_sizes, load_index, store_index, update_index
+from lumetext.operators.index import build_index, dense_ranks, index_sizes, load_index, merge_indexes, store_index, update_index
 from lumetext.plans import language as lang
 
 DOCS = [
@@ -126,6 +126,15 @@ def test_update_equals_full_build(spark, index):
     assert sorted(map(str, updated.docs.select(*full.docs.columns).collect())) == sorted(map(str, full.docs.collect()))
 
 
+def test_merge_equals_full_build(spark, index):
+    df = spark.createDataFrame(DOCS, "doc_id string, title string, body string")
+    merged = merge_indexes(build_index(df.filter("doc_id < 'c'")), build_index(df.filter("doc_id >= 'c'")))
+    key = lambda ix: sorted(map(str, ix.postings.select("term", "doc_id", "tf", "positions").collect()))
+    assert key(merged) == key(index) and merged.corpus.count() == 5
+    with pytest.raises(ValueError):
+        merge_indexes(index, index)
+
+
 def test_sizes_and_ranks(spark, index):
     rows = {(r.encoding, r.section): r.bytes for r in index_sizes(index).collect()}
     n, terms = index.postings.count(), [r.term for r in index.terms.collect()]
