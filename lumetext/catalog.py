@@ -12,9 +12,9 @@ from . import oracle as O
 from .functions import text as tx
 from .functions.web import canonical_column, collapse_column, host_column, parsed_html, resolved_links
 from .operators import crawl, evaluation, lexicon, links, matching, ranking, snippets
-from .operators.index import Index, index_sizes, store_index, update_index
+from .operators.index import Index, index_sizes, store_index, update_index, violations
 from .plans.language import scoring_terms
-from .sources.corpus import json_field
+from .sources.corpus import json_field, result_lines
 from .storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,11 @@ def index_merge(spark, d):
     return merge_indexes(build_index(rows.filter(encyclopedia)), build_index(rows.filter(~encyclopedia))).terms
 
 
+@query("SELECT NULL::VARCHAR AS rule, NULL::BIGINT AS rows WHERE false")
+def index_violations(spark, d):
+    return violations(index_of(spark, d))
+
+
 # Boolean and phrase queries
 
 
@@ -240,6 +245,11 @@ def topk_bm25(spark, d):
     return ranking.top_k(rows, 10).select("doc_id", F.round("score", 4).alias("score"))
 
 
+@query(f"{O.INDEX} SELECT doc_id || chr(9) || format('{{:.4f}}', score) AS line FROM (SELECT doc_id, sum(w) AS score FROM ({O.tfidf('p.term = ' + chr(39) + 'violin' + chr(39))}) GROUP BY doc_id)")
+def result_lines_tsv(spark, d):
+    return result_lines(ranking.scored(index_of(spark, d), ["violin"], "tfidf"), tsv=True)
+
+
 @query(f"""{O.INDEX}, {_docs_with('river', 'bridg', 'templ')}, m AS (SELECT * FROM t0 INTERSECT (SELECT * FROM t1 UNION (SELECT doc_id FROM docs_ EXCEPT SELECT * FROM t2))),
     s AS (SELECT doc_id, sum(w) AS score FROM ({O.bm25("p.term IN ('river', 'bridg', 'templ')")}) GROUP BY doc_id)
     SELECT m.doc_id, round(coalesce(score, 0), 4) AS score FROM m LEFT JOIN s ON s.doc_id = m.doc_id""")
@@ -318,6 +328,22 @@ def site_pagerank(spark, d):
     return links.site_pagerank(_edges(spark, d), _urls(spark, d), _ROUNDS).select("page", F.round("score", 9).alias("score"))
 
 
+@query(f"""WITH e AS (SELECT DISTINCT src, dst FROM ({_EDGES})), l0 AS (SELECT 'p1' AS url), l1 AS (SELECT DISTINCT dst AS url FROM e JOIN l0 ON src = url WHERE dst NOT IN (SELECT url FROM l0)),
+    l2 AS (SELECT DISTINCT dst AS url FROM e JOIN l1 ON src = url WHERE dst NOT IN (SELECT url FROM l0 UNION SELECT url FROM l1))
+    SELECT url, 0 AS depth FROM l0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2""")
+def crawl_levels(spark, d):
+    return crawl.frontier_levels(spark.createDataFrame([("p1",)], "url string"), _edges(spark, d), 2)
+
+
+@query(f"""WITH {_HOSTS} SELECT page_id, host FROM (SELECT 'p' || p_partkey AS page_id, 'h' || (p_partkey % 10) || '.test' AS host, CASE WHEN p_partkey < 10 THEN '/' ELSE '/' || p_partkey END AS path FROM part)
+    WHERE NOT (host = 'h3.test' AND path LIKE '/1%') AND NOT (host = 'h4.test' AND path <> '/')""")
+def robots_allowed(spark, d):
+    rules = [("h3.test", "User-agent: *\nDisallow: /1\nCrawl-delay: 2"), ("h4.test", "User-agent: *\nDisallow: /\n\nUser-agent: lume\nDisallow: /*\nAllow: /$\nAllow: /$"), ("h5.test", "User-agent: other\nDisallow: /")]
+    pages = _urls(spark, d).select(F.col("doc_id").alias("page_id"), "url")
+    kept = crawl.allowed_pages(pages, spark.createDataFrame(rules, "host string, text string"), "lumetext")
+    return kept.select("page_id", host_column(F.col("url")).alias("host"))
+
+
 @query(f"WITH {_HOSTS} SELECT doc_id AS page, round(1.0 / (SELECT count(*) FROM h_ WHERE home), 9) AS score FROM h_ WHERE home")
 def home_page_prior(spark, d):
     return links.home_page_ranking(_urls(spark, d)).select("page", F.round("score", 9).alias("score"))

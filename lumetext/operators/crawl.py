@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.web import Robots, Url, parse_html, parse_robots, resolve_url
+from ..functions.web import Robots, Url, canonical_column, host_column, parse_html, parse_robots, parse_url, resolve_url
 
 
 @dataclass
@@ -122,6 +123,27 @@ def crawl_corpus(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("doc_id").isNotNull()).select("doc_id", F.when(F.coalesce("title", F.lit("")) == "", F.col("url")).otherwise(F.col("title")).alias("title"), F.col("text").alias("body"))
 
 
+def allowed_pages(pages: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
+    """The pages that their host's rules allow an agent to fetch; ``robots`` is (host, text). Pages of hosts without rules stay, those
+    whose address is none go. A host's rules are parsed once for each batch that holds its pages."""
+    kept = pages.columns
+    hosts = robots.select(F.col("host").alias("_host"), F.col("text").alias("_rules"))
+    joined = pages.withColumn("_url", canonical_column(F.col(url))).filter(F.col("_url").isNotNull()).withColumn("_host", host_column(F.col("_url"))).join(hosts, "_host", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, Robots] = {}
+            keep = []
+            for address, text in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
+                if text is not None and text not in known:
+                    known[text] = parse_robots(text, agent)
+                keep.append(text is None or known[text].allows(parse_url(address).path))
+            yield batch.select(kept).filter(pa.array(keep, pa.bool_()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return joined.select(*kept, "_url", "_rules").mapInArrow(run, schema)
+
+
 def first_bodies(pages: DataFrame, body: str = "text", order: str = "page_id") -> DataFrame:
     """Pages whose body no page before them had, by a hash and the length; nulls stay apart. One body may be a third of all rows, so
     the first of each is found by an aggregation, not in a window over the group."""

@@ -156,6 +156,26 @@ def merge_indexes(a: Index, b: Index) -> Index:
     return Index(a.docs.unionByName(b.docs), a.postings.unionByName(b.postings), corpus)
 
 
+def violations(index: Index) -> DataFrame:
+    """(rule, rows) of what no index may have: postings that don't agree with their positions, positions that don't ascend, repeated
+    postings, postings of unknown documents, lengths that aren't those of the postings. A sound index gives no row."""
+    p = index.postings
+    falling = F.exists(F.sequence(F.lit(1), F.greatest(F.size("positions") - 1, F.lit(1))), lambda i: F.coalesce(F.get("positions", i) <= F.get("positions", i - 1), F.lit(False)))
+    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("_sum"))
+    rules = {
+        "frequency": p.filter((F.size("positions") != F.col("tf")) | (F.col("tf") < 1)),
+        "ascent": p.filter(falling | (F.get("positions", F.lit(0)) < 0)),
+        "repeated": p.groupBy("term", "doc_id").count().filter("count > 1"),
+        "unknown": p.join(index.docs, "doc_id", "left_anti"),
+        "length": index.docs.join(lengths, "doc_id", "left").filter(F.coalesce("_sum", F.lit(0)) != F.col("length")),
+    }
+    out = None
+    for rule, rows in rules.items():
+        one = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(rule).alias("rule"), "rows").filter("rows > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def varbyte(n: Column) -> Column:
     """Bytes of a number at seven bits each."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("long")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumetext.operators import evaluation, lexicon, links, matching, ranking, snippets
-from lumetext.operators.index import build_index, dense_ranks, index_sizes, load_index, merge_indexes, store_index, update_index
+from lumetext.operators.index import Index, build_index, dense_ranks, index_sizes, load_index, merge_indexes, store_index, update_index, violations
 from lumetext.plans import language as lang
 
 DOCS = [
@@ -135,6 +135,12 @@ def test_merge_equals_full_build(spark, index):
         merge_indexes(index, index)
 
 
+def test_violations(spark, index):
+    assert violations(index).count() == 0
+    bad = spark.createDataFrame([("boat", "a", 3, [3, 2]), ("x", "zz", 1, [0]), ("x", "zz", 1, [-1])], index.postings.schema)
+    assert {r.rule for r in violations(Index(index.docs, index.postings.unionByName(bad))).collect()} == {"frequency", "ascent", "repeated", "unknown", "length"}
+
+
 def test_sizes_and_ranks(spark, index):
     rows = {(r.encoding, r.section): r.bytes for r in index_sizes(index).collect()}
     n, terms = index.postings.count(), [r.term for r in index.terms.collect()]
