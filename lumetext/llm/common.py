@@ -49,15 +49,33 @@ def host_text(url: str | None) -> str | None:
     return re.sub(r"^.*@|:\d*\s*$", "", re.match(r"[^/?#\\]*", rest)[0]).lower()
 
 
-def one_per(df: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+#: Repeated keys up to which one_per broadcasts them.
+REPEATED_KEYS = 200_000
+
+
+def one_per(df: DataFrame, key: str, latest: str | None = None, broadcast_keys: int = REPEATED_KEYS) -> DataFrame:
     """One row for each non-null key; of rows that differ, the one that sorts last by ``latest`` and then by all columns.
 
-    One shuffle on the key. A repeated row has a key of its own record only, so no key is hot.
+    Keys that come once, which is nearly all, stay where they are: only the keys are shuffled to find the repeated ones, and only the
+    rows of those meet. Where more than ``broadcast_keys`` keys are repeated, all rows meet by their key. A key is that of one record,
+    so none is hot.
     """
     rest = [c for c in df.columns if c != key]
     order = [*([latest] if latest else []), *(c for c in rest if c != latest)]
-    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("_row"))
-    return best.select(key, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    rows = df.filter(F.col(key).isNotNull())
+
+    def last(some: DataFrame) -> DataFrame:
+        best = some.groupBy(key).agg(F.max(F.struct(*order)).alias("_row"))
+        return best.select(key, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key)
+    found = repeated.limit(broadcast_keys + 1).count()
+    if not found:
+        return rows.select(key, *rest)
+    if found > broadcast_keys:
+        return last(rows)
+    keys = F.broadcast(repeated)
+    return rows.join(keys, key, "left_anti").select(key, *rest).unionByName(last(rows.join(keys, key, "left_semi")))
 
 
 def skew_safe_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: Column, how: str = "inner") -> DataFrame:

@@ -113,7 +113,7 @@ ORACLES: dict[str, str] = {
             FROM crawled_pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND text IS NOT NULL GROUP BY page_id),
         s AS (SELECT page_id, host, string_split(text, chr(10)) AS lines FROM p),
         l AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM s),
-        k AS (SELECT page_id, host, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS letters FROM l),
+        k AS (SELECT page_id, host, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS letters FROM l WHERE trim(host) <> ''),
         c AS (SELECT host, letters FROM k WHERE letters <> '' GROUP BY host, letters HAVING count(DISTINCT page_id) >= 8)
         SELECT page_id, line_no::INTEGER AS line_no FROM k SEMI JOIN c ON c.host = k.host AND c.letters = k.letters""",
 }

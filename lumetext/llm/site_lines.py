@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import host_of, one_per, skew_safe_join
+from .common import cut, host_of, one_per, skew_safe_join
 
 
 def line_hashes(text: Column) -> Column:
@@ -26,16 +26,17 @@ def repeated_lines(pages: DataFrame, key: str = "page_id", url: str = "url", tex
     """Lines that occur on at least ``least`` distinct pages of one host: (key, line_no from 1, host, pages of the host with it).
 
     Lines are the same if they have the same letters in the same order, ignoring case; one without a letter never counts, nor
-    does a page whose key, url or text is null. Rows of one key count once. The empty host of an odd address is a host.
+    does a page whose key, url or text is null or whose address has no host. Rows of one key count once.
 
-    The text never moves: a page is shuffled as one 64-bit hash for each line. A line that a third of all pages hold is a hot
+    Texts do not move, but for those of repeated pages: a page is stored and shuffled as one 64-bit hash for each line. A line that a third of all pages hold is a hot
     key of the last join, see skew_safe_join.
     """
-    shaped = pages.select(F.col(key).alias("_k"), host_of(F.col(url)).alias("_host"), line_hashes(F.col(text)).alias("_h"))
-    shaped = one_per(shaped.filter(F.col("_host").isNotNull() & F.col("_h").isNotNull()), "_k")
+    held = pages.select(F.col(key).alias("_k"), F.col(url).alias("_url"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull() & F.col("_url").isNotNull())
+    shaped = one_per(held, "_k").select("_k", host_of(F.col("_url")).alias("_host"), line_hashes(F.col("_text")).alias("_h"))
+    shaped = cut(shaped.filter(F.trim("_host") != ""))
     once = shaped.select("_host", F.explode(F.array_compact(F.array_distinct("_h"))).alias("_line"))
     counts = once.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("n_pages"))
-    often = counts.filter(F.col("n_pages") >= least)
+    often = cut(counts.filter(F.col("n_pages") >= least))
     lines = shaped.select("_k", "_host", F.posexplode("_h").alias("_no", "_line")).filter(F.col("_line").isNotNull())
     total = often.agg(F.coalesce(F.sum("n_pages"), F.lit(0)).alias("t")).scalar()
     found = skew_safe_join(lines, often, ["_host", "_line"], "n_pages", total)
