@@ -200,3 +200,13 @@ def test_mixture(spark):
     assert sorted(map(tuple, other.collect())) != sorted(map(tuple, out))
     empty, none = mixing.mixture(docs.limit(0), targets)
     assert empty.count() == 0 and none.filter("mixture_tokens > 0").count() == 0
+
+
+@pytest.mark.parametrize("keys", [0, 1, 100])
+def test_one_row_for_each_key(spark, keys):
+    at = [AT + datetime.timedelta(i) for i in range(3)]
+    rows = [("a", "x", at[0]), ("a", "y", at[1]), ("a", "z", at[0]), ("b", None, None), ("c", "p", at[2]), ("c", "q", at[2]), (None, "n", at[0]), ("d", "r", at[0]), ("d", "r", at[1])]
+    df = spark.createDataFrame(rows, "k string, v string, t timestamp")
+    assert sorted(map(tuple, common.one_per(df, "k", "t", keys).select("k", "v").collect())) == [("a", "y"), ("b", None), ("c", "q"), ("d", "r")]
+    assert common.one_per(df.limit(0), "k").count() == 0
+    assert common.one_per(df.filter("k IN ('b', 'c') AND v IS NOT NULL"), "k", "t", keys).count() == 1
