@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzed, terms_of
-from ..storage import exists
+from ..storage import exists, spread
 
 
 @dataclass
@@ -83,8 +83,8 @@ class Index:
         """Writes the tables and reads them back. Postings are ranges of terms, sorted inside each file: a term's rows lie in few
         row groups, which the footer statistics find, and their column encodings are what delta and varbyte coding would be."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        spread = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        spread.write.mode("overwrite").parquet(f"{path}/postings")
+        placed = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        placed.write.mode("overwrite").parquet(f"{path}/postings")
         if self.corpus is not None:
             self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         return load_index(self.docs.sparkSession, path)
@@ -104,7 +104,7 @@ def fingerprint(title: Column, body: Column) -> Column:
 def build_index(corpus: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body") -> Index:
     """The index of a corpus with one row for each document. Nothing is shuffled: a document's postings are made in its row."""
     own = corpus.select(F.col(key).alias("doc_id"), F.col(title).alias("title"), F.col(body).alias("body"))
-    rows = analyzed(own.withColumn("fingerprint", fingerprint(F.col("title"), F.col("body"))), keep=("fingerprint",))
+    rows = analyzed(spread(own).withColumn("fingerprint", fingerprint(F.col("title"), F.col("body"))), keep=("fingerprint",))
     return Index(rows.drop("terms"), postings_in(rows), own)
 
 
@@ -116,15 +116,16 @@ def postings_in(rows: DataFrame) -> DataFrame:
 
 def store_index(corpus: DataFrame, path: str, key: str = "doc_id", title: str = "title", body: str = "body", partitions: int | None = None) -> Index:
     """build_index written to ``path`` with one analysis of the texts: the analyzed rows are stored, and docs and postings are made of them."""
-    own = corpus.select(F.col(key).alias("doc_id"), F.col(title).alias("title"), F.col(body).alias("body"))
+    own = spread(corpus.select(F.col(key).alias("doc_id"), F.col(title).alias("title"), F.col(body).alias("body")))
     own.write.mode("overwrite").parquet(f"{path}/corpus")
     spark = corpus.sparkSession
+    own = spark.read.parquet(f"{path}/corpus")
     marked = own.withColumn("fingerprint", fingerprint(F.col("title"), F.col("body")))
     analyzed(marked, keep=("fingerprint",)).write.mode("overwrite").parquet(f"{path}/analyzed")
     rows = spark.read.parquet(f"{path}/analyzed")
     rows.drop("terms").write.mode("overwrite").parquet(f"{path}/docs")
-    spread = postings_in(rows).repartitionByRange(*([partitions] if partitions else []), "term", "doc_id").sortWithinPartitions("term", "doc_id")
-    spread.write.mode("overwrite").parquet(f"{path}/postings")
+    placed = postings_in(rows).repartitionByRange(*([partitions] if partitions else []), "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    placed.write.mode("overwrite").parquet(f"{path}/postings")
     return load_index(spark, path)
 
 
@@ -210,10 +211,10 @@ def index_sizes(index: Index) -> DataFrame:
 def dense_ranks(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` with the rank from 0 of its unique key, by ranges: rows are counted for each range, and the offsets of the ranges before
     it are added. The driver sees one count for each partition."""
-    spread = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    placed = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
     from pyspark.sql import Window
 
-    inside = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
+    inside = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     return inside.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_nth")).alias(name))

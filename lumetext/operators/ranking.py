@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
-from ..plans.language import QueryError, constrained, parse, scoring_terms, word_count
+from ..plans.language import Leaf, Plan, QueryError, constrained, parse, scoring_terms, word_count
+from ..storage import cut
 from .index import Index
 from .matching import matches
 
@@ -103,44 +104,63 @@ def run_query(index: Index, query: str, limit: int = 10, scorer: str = "bm25", p
 
 
 def parsed_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, plan, terms, open, error) of (query_id, text): parsed on the executors. ``open`` is a query that holds for documents
-    with none of its terms."""
+    """(query_id, plan, terms, open, shape, need, error) of (query_id, text): parsed on the executors. ``open`` is a query that holds for
+    documents with none of its terms; ``shape`` is any or all of ``need`` distinct words, or tree for everything else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tree(p):
             return {"t": p.leaf.terms, "o": p.leaf.offsets} if p.leaf else {"k": p.kind, "c": [tree(c) for c in p.children]}
 
+        def shape(p: Plan) -> tuple[str, int]:
+            parts = [p] if p.leaf else p.children
+            words = {x.leaf.terms[0] for x in parts if x.leaf and len(x.leaf.terms) == 1}
+            plain = p.kind in ("leaf", "and", "or") and all(x.leaf and len(x.leaf.terms) == 1 for x in parts)
+            return ("tree" if not plain else "any" if p.kind == "or" else "all"), len(words)
+
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 try:
                     plan = constrained(parse(text or ""))
-                    out.append((json.dumps(tree(plan)) if plan else None, scoring_terms(text), bool(plan and plan.holds(lambda leaf: False)), None))
+                    out.append((json.dumps(tree(plan)) if plan else None, scoring_terms(text), bool(plan and plan.holds(lambda leaf: False)), *(shape(plan) if plan else (None, None)), None))
                 except QueryError as e:
-                    out.append((None, [], False, str(e)))
-            plans, terms, opened, errors = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plans, pa.string()), pa.array(terms, pa.list_(pa.string())), pa.array(opened, pa.bool_()), pa.array(errors, pa.string())], names=["query_id", "plan", "terms", "open", "error"])
+                    out.append((None, [], False, None, None, str(e)))
+            cols = zip(*out, strict=True) if out else ((),) * 6
+            kinds = (pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["query_id", "plan", "terms", "open", "shape", "need", "error"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "text").mapInArrow(run, f"query_id {kind}, plan string, terms array<string>, open boolean, error string")
+    return queries.select("query_id", "text").mapInArrow(run, f"query_id {kind}, plan string, terms array<string>, open boolean, shape string, need int, error string")
 
 
-def batch_scores(index: Index, queries: DataFrame, scorer: str = "bm25") -> DataFrame:
-    """(query_id, doc_id, score) of a whole log in one job: each query as a bag of its terms.
+#: Contributions in a batch are whole multiples of this, so that their sum has the same bits in any order.
+UNIT = 2.0**-40
 
-    ``queries`` is (query_id, terms). Queries meet postings by term and contributions meet by query and document, so no task holds
-    a query's or a document's whole list; what is broadcast is nothing. Ordered sums as in ``scored``.
-    """
-    wanted = queries.select("query_id", F.posexplode("terms").alias("i", "term"))
-    used = wanted.select("term").distinct()
+
+def _contributions(index: Index, used: DataFrame, scorer: str) -> DataFrame:
+    """(term, doc_id, w): what each posting of the used terms adds to a score, in UNITs."""
     rows = index.postings.join(used, "term", "left_semi")
     found = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     docs = index.docs.select("doc_id", "length", "title_terms", "title_span")
     title_tf = F.size(F.filter("positions", lambda p: p < F.col("title_span"))) if scorer == "bm25f" else F.lit(0)
     sized = rows.join(found, "term").join(docs, "doc_id")
-    parts = sized.select("term", "doc_id", weight(scorer, index, F.col("tf"), F.col("df"), F.col("length"), F.col("title_terms"), title_tf).alias("w"))
-    lists = wanted.join(parts, "term").groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("parts"))
-    return lists.select("query_id", "doc_id", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x.w).alias("score"))
+    w = weight(scorer, index, F.col("tf"), F.col("df"), F.col("length"), F.col("title_terms"), title_tf)
+    return sized.select("term", "doc_id", F.round(w / UNIT).cast("long").alias("w"))
+
+
+def batch_scores(index: Index, queries: DataFrame, scorer: str = "bm25", within: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of a whole log in one job: each query as a bag of its terms, of ``queries`` (query_id, terms).
+
+    Queries meet postings by term, and contributions are pre-aggregated where they arise and meet by query and document, so no task
+    holds a query's or a document's whole list, and nothing is broadcast. ``within`` (query_id, doc_id) limits what is scored.
+    """
+    wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    parts = _contributions(index, wanted.select("term").distinct(), scorer)
+    if within is None:
+        met = wanted.join(parts, "term")
+    else:
+        met = within.join(wanted, "query_id").join(parts, ["term", "doc_id"])
+    return met.groupBy("query_id", "doc_id").agg((F.sum(F.col("w") * F.col("times")) * UNIT).alias("score"))
 
 
 def batch_top_k(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25") -> DataFrame:
@@ -149,23 +169,52 @@ def batch_top_k(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm
     return batch_scores(index, queries, scorer).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def _plan_of(x: dict) -> Plan:
+    return Plan("leaf", Leaf(tuple(x["t"]), tuple(x["o"]))) if "t" in x else Plan(x["k"], children=[_plan_of(c) for c in x["c"]])
+
+
+def cover(plan: Plan, df: dict[str, int]) -> list[str] | None:
+    """The fewest postings' terms of which every match has one at least, or None if there are none: a leaf's rarest term, an AND's
+    cheapest part, all parts of an OR."""
+    if plan.leaf:
+        return [min(plan.leaf.terms, key=lambda t: (df.get(t, 0), t))]
+    if plan.kind == "not":
+        return None
+    parts = [cover(c, df) for c in plan.children]
+    if plan.kind == "or":
+        return None if any(p is None for p in parts) else sorted({t for p in parts for t in p})
+    held = [p for p in parts if p is not None]
+    return min(held, key=lambda p: (sum(df.get(t, 0) for t in p), p)) if held else None
+
+
 def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
     """(query_id, doc_id) of every query of ``parsed_queries`` and document that it holds for, without the open queries, which match
-    documents that no posting names; run those one by one."""
-    from ..plans.language import Leaf, Plan
+    documents that no posting names; run those one by one.
 
-    closed = parsed.filter(F.col("plan").isNotNull() & ~F.col("open"))
+    Only documents with a term of a query's cover are looked at, so a conjunction costs its rarest word's list and not its longest. Words
+    that must all be there, or any, are only counted; other trees are decided with the positions of their phrases' terms.
+    """
+    closed = parsed.filter(F.col("plan").isNotNull() & ~F.col("open")).select("query_id", "plan", "shape", "need")
     kind = parsed.schema["query_id"].dataType.simpleString()
     doc_kind = index.postings.schema["doc_id"].dataType.simpleString()
 
-    def plan_of(x) -> Plan:
-        return Plan("leaf", Leaf(tuple(x["t"]), tuple(x["o"]))) if "t" in x else Plan(x["k"], children=[plan_of(c) for c in x["c"]])
-
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, terms = [], []
+            ids, terms, phrased = [], [], []
             for q, plan in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for t in {t for leaf in plan_of(json.loads(plan)).leaves() for t in leaf.terms}:
+                leaves = _plan_of(json.loads(plan)).leaves()
+                long = {t for leaf in leaves if len(leaf.terms) > 1 for t in leaf.terms}
+                for t in {t for leaf in leaves for t in leaf.terms}:
+                    ids.append(q)
+                    terms.append(t)
+                    phrased.append(t in long)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(phrased, pa.bool_())], names=["query_id", "term", "phrased"])
+
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms = [], []
+            for q, plan, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for t in cover(_plan_of(json.loads(plan)), {x["term"]: x["df"] for x in found}) or ():
                     ids.append(q)
                     terms.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string())], names=["query_id", "term"])
@@ -174,6 +223,8 @@ def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
         def has(leaf: Leaf, held: dict) -> bool:
             if any(t not in held for t in leaf.terms):
                 return False
+            if len(leaf.terms) == 1:
+                return True
             starts = set(held[leaf.terms[0]])
             for t, o in zip(leaf.terms[1:], leaf.offsets[1:], strict=True):
                 starts &= {p - o for p in held[t]}
@@ -186,21 +237,35 @@ def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
                 if plan not in plans:
                     if len(plans) > 10_000:
                         plans.clear()
-                    plans[plan] = plan_of(json.loads(plan))
+                    plans[plan] = _plan_of(json.loads(plan))
                 found = {x["term"]: x["positions"] for x in held}
                 keep.append(plans[plan].holds(lambda leaf, found=found: has(leaf, found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["query_id", "doc_id"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = closed.select("query_id", "plan").mapInArrow(needed, f"query_id {kind}, term string")
-    met = wanted.join(index.postings.select("term", "doc_id", "positions"), "term").groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("term", "positions")).alias("held"))
-    return met.join(closed.select("query_id", "plan"), "query_id").select("query_id", "doc_id", "plan", "held").mapInArrow(decide, f"query_id {kind}, doc_id {doc_kind}")
+    wanted = cut(closed.select("query_id", "plan").mapInArrow(needed, f"query_id {kind}, term string, phrased boolean"))
+    used = wanted.select("term").distinct()
+    rows = index.postings.join(used, "term", "left_semi")
+    known = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sized = wanted.join(known, "term", "left").groupBy("query_id").agg(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
+    first = closed.join(sized, "query_id").select("query_id", "plan", "found").mapInArrow(covers, f"query_id {kind}, term string")
+    met = first.join(rows.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+    candidates = cut(met.join(closed.select("query_id", "shape", "need"), "query_id"))  # three kinds of trees are decided from it
+    sure = (F.col("shape") == "any") | (F.col("shape") == "all") & (F.col("need") == 1)
+    easy = candidates.filter(sure).select("query_id", "doc_id")
+    rest = candidates.filter(~sure).join(wanted, "query_id")
+    counted = rest.filter(F.col("shape") == "all").join(rows.select("term", "doc_id"), ["term", "doc_id"]).groupBy("query_id", "doc_id", "need").agg(F.count(F.lit(1)).alias("_n"))
+    full = counted.filter(F.col("_n") == F.col("need")).select("query_id", "doc_id")
+    held = rest.filter(F.col("shape") == "tree").join(rows.select("term", "doc_id", "positions"), ["term", "doc_id"])
+    met = held.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("term", F.when(F.col("phrased"), F.col("positions")).alias("positions"))).alias("held"))
+    decided = met.join(closed.select("query_id", "plan"), "query_id").select("query_id", "doc_id", "plan", "held").mapInArrow(decide, f"query_id {kind}, doc_id {doc_kind}")
+    return easy.unionByName(full).unionByName(decided)
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25") -> DataFrame:
     """(query_id, doc_id, score, rank): run_query for a whole log of (query_id, text), but for open and broken queries."""
-    parsed = parsed_queries(queries)
-    found = batch_match(index, parsed)
-    scores = batch_scores(index, parsed.filter(F.col("plan").isNotNull()), scorer)
+    parsed = cut(parsed_queries(queries))
+    found = cut(batch_match(index, parsed))
+    scores = batch_scores(index, parsed.filter(F.col("plan").isNotNull()), scorer, within=found)
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     rows = found.join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)

@@ -26,3 +26,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system that the session knows is there."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is so small that the file scan gives fewer tasks than there are cores (a scan cuts at 4 MB at the
+    least); any larger input stays as it is. For scans before costly work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (4 << 20) else df

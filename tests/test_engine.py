@@ -209,11 +209,21 @@ def test_batches_equal_single_queries(spark, index):
         except lang.QueryError:
             single = []
         got = sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)
-        assert [(r.doc_id, r.score) for r in got] == [(r.doc_id, r.score) for r in single], text
+        assert [r.doc_id for r in got] == [r.doc_id for r in single], text
+        assert [r.score for r in got] == pytest.approx([r.score for r in single], abs=1e-9), text
     parsed = {r.query_id: r for r in ranking.parsed_queries(queries).collect()}
     assert parsed[5].error == "unexpected end of query" and parsed[4].plan is None
 
 
+def test_covers():
+    df = {"boat": 5, "hill": 2, "red": 9, "mill": 1}
+    cover = lambda q: ranking.cover(lang.constrained(lang.parse(q)), df)
+    assert cover("boat hill") == ["hill"] and cover("boat OR hill") == ["boat", "hill"]
+    assert cover("red AND (boat OR hill)") == ["boat", "hill"] and cover("red AND (boat OR red)") == ["red"]
+    assert cover('"red mill boat"') == ["mill"] and cover("NOT red") is None and cover("hill OR NOT red") is None
+    assert cover("hill AND NOT red") == ["hill"] and cover("zebra boat") == ["zebra"]
+
+
 # Links
 
 
