@@ -124,7 +124,8 @@ def test_union_free_alignment():
 def test_salted_hosts_give_the_same(spark, monkeypatch):
     rows, body, bad = site_pages()
     df = spark.createDataFrame(rows, "page_id long, url string, title string, text string")
-    monkeypatch.setattr(wrappers, "HOT", 4)  # the host is hot: eight parts of five pages
+    monkeypatch.setattr(wrappers, "HOT", 4)
+    monkeypatch.setattr(wrappers, "PART_PAGES", 5)  # the host is hot: eight parts of five pages
     assert {r.page_id for r in wrappers.residue_pages(df).collect()} == bad
     assert {(r.page_id, r.line_no) for r in wrappers.body_lines([df]).collect()} == body
 
