@@ -201,8 +201,8 @@ _matching("match_not", "NOT index", _docs_with("index") + " SELECT doc_id FROM d
 _matching("match_nested", "river AND (bridge OR NOT temple)", _docs_with("river", "bridg", "templ") + " SELECT * FROM t0 INTERSECT (SELECT * FROM t1 UNION (SELECT doc_id FROM docs_ EXCEPT SELECT * FROM t2))")
 _matching("match_stopword", "the river", _docs_with("river") + " SELECT * FROM t0")
 _matching("match_phrase", '"older sources disagree"', "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 2 WHERE a.term = 'older' AND b.term = 'sourc' AND c.term = 'disagre') SELECT DISTINCT doc_id FROM x")
-_matching("match_phrase_gap", '"one names the river"', "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 3 WHERE a.term = 'on' AND b.term = 'name' AND c.term = 'river' UNION SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 3 WHERE a.term = 'one' AND b.term = 'name' AND c.term = 'river') SELECT DISTINCT doc_id FROM x")
-_matching("match_compound_word", "world-index/river", "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 2 WHERE a.term = 'world' AND b.term = 'index' AND c.term = 'river') SELECT DISTINCT doc_id FROM x")
+_matching("match_phrase_gap", '"one names the river"', "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 3 WHERE a.term = 'on' AND b.term = 'name' AND c.term = 'river') SELECT DISTINCT doc_id FROM x")
+_matching("match_compound_word", "sources-disagree/one", "x AS (SELECT a.doc_id FROM tokens a JOIN tokens b ON b.doc_id = a.doc_id AND b.position = a.position + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.position = a.position + 2 WHERE a.term = 'sourc' AND b.term = 'disagre' AND c.term = 'on') SELECT DISTINCT doc_id FROM x")
 
 
 @query(f"{O.INDEX}, {_docs_with('river', 'index', 'crawler')} SELECT * FROM t0 INTERSECT SELECT * FROM t1 INTERSECT SELECT * FROM t2")
