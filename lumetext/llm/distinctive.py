@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def _pairs(hot: dict[str, int]):
     return run
 
 
-def parsimonious(tf: np.ndarray, background: np.ndarray, record: np.ndarray, n: int, mix: float = 0.1, rounds: int = 100, tol: float = 1e-5) -> np.ndarray:
+def parsimonious(tf: np.ndarray, background: np.ndarray, record: np.ndarray, mix: float = 0.1, rounds: int = 100, tol: float = 1e-5) -> np.ndarray:
     """Converged P(term | record) of the flat arrays' (record, term) pairs.
 
     E: e = tf * mix * p / (mix * p + (1 - mix) * background); M: p = e / sum of e in the record. The start is tf / length. A record
@@ -112,16 +113,40 @@ def parsimonious(tf: np.ndarray, background: np.ndarray, record: np.ndarray, n:
     return out
 
 
+def starts_of(keys: pa.Array) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    if not len(keys):
+        return np.empty(0, int)
+    other = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.flatnonzero(other) + 1))
+
+
+def whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew so that no record is in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = int(starts_of(batch.column(0))[-1])
+        if last or held and held[-1].column(0)[-1] != batch.column(0)[0]:
+            done = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+            yield from (b for b in done if len(b))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _rank(mix: float, top: str | None, n: int, mass: int, hot: list[tuple[str, int, int]]):
     names = pa.array([t for t, _, _ in hot], pa.string())
     hot_df, hot_cf = (np.array([h[i] for h in hot], float) for i in (1, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, lists = batch.columns
-            term, tf, df, cf, common = lists.flatten().flatten()
-            per_row = lists.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(key)), per_row)
+        for batch in whole_records(batches):
+            keys, term, tf, df, cf, common = batch.columns
+            first = starts_of(keys)
+            row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+            key = keys.take(pa.array(first))
             tf, df, cf = (x.fill_null(0).to_numpy(zero_copy_only=False).astype(float) for x in (tf, df, cf))
             single = tf > 0  # the others carry a record's hot terms
             hot_row = np.repeat(row, common.value_lengths().to_numpy(zero_copy_only=False))
@@ -132,7 +157,7 @@ def _rank(mix: float, top: str | None, n: int, mass: int, hot: list[tuple[str, i
             tf = np.concatenate([tf[single], (packed & 0xFFFFFFFF).astype(float)])
             df = np.concatenate([df[single], hot_df[which]])
             cf = np.concatenate([cf[single], hot_cf[which]])
-            p = parsimonious(tf, cf / mass, record, len(key), mix)
+            p = parsimonious(tf, cf / mass, record, mix)
             weight = (1 + np.log(tf)) * np.log(n / df)
             out = {"_k": key.take(pa.array(record)), "term": term, "tf": pa.array(tf.astype("int32")), "documents": pa.array(df.astype("int64")), "probability": pa.array(p), "weight": pa.array(weight)}
             if top:
@@ -171,9 +196,10 @@ def term_weights(docs: DataFrame, key: str = "doc_id", title: str = "title", bod
     hot = sorted((r.term, r.df, r.cf) for r in known.filter((F.col("term") != "") & (F.col("df") * HOT >= pairs)).collect())
     numbers = {term: i for i, (term, _, _) in enumerate(hot)}
     loose = texts.mapInArrow(_pairs(numbers), f"join string, _k {kind}, tf int, hot array<long>")
-    joined = loose.join(known.withColumnRenamed("term", "join").hint("shuffle_merge"), "join", "left")
-    lists = joined.groupBy("_k").agg(F.collect_list(F.struct(F.col("join").alias("term"), "tf", "df", "cf", "hot")).alias("terms"))
-    ranked = lists.mapInArrow(_rank(mix, top, n, mass, hot), f"_k {kind}, term string, tf int, documents long, probability double, weight double")
+    # A term is one row of the background, so its side is even; hashing it spares sorting all pairs.
+    joined = loose.join(known.withColumnRenamed("term", "join").hint("shuffle_hash"), "join", "left")
+    sorted_pairs = joined.select("_k", F.col("join").alias("term"), "tf", "df", "cf", "hot").repartition("_k").sortWithinPartitions("_k")
+    ranked = sorted_pairs.mapInArrow(_rank(mix, top, n, mass, hot), f"_k {kind}, term string, tf int, documents long, probability double, weight double")
     return ranked.withColumnRenamed("_k", key)
 
 
