@@ -120,8 +120,19 @@ def test_weights_equal_brute_force(spark):
     assert distinctive.top_term(docs_frame(spark, [("d", None, "..")]), by="probability").count() == 0
 
 
+def test_records_are_made_whole():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i:j]), "v": pa.array(range(i, j))}) for i, j in ((0, 1), (1, 1), (1, 4), (4, 6), (6, 7), (7, 9), (9, 10), (10, 11))]
+    out = list(distinctive.whole_records(iter(batches)))
+    assert [k for b in out for k in b.column(0).to_pylist()] == keys and [v for b in out for v in b.column(1).to_pylist()] == list(range(11))
+    assert all(set(a.column(0).to_pylist()).isdisjoint(b.column(0).to_pylist()) for i, a in enumerate(out) for b in out[:i])
+    assert list(distinctive.whole_records(iter([]))) == []
+
+
 def test_own_terms_beat_common_ones():
-    p = distinctive.parsimonious(np.array([10.0, 2.0, 5.0]), np.array([0.2, 0.0001, 0.3]), np.array([0, 0, 1]), 2)
+    p = distinctive.parsimonious(np.array([10.0, 2.0, 5.0]), np.array([0.2, 0.0001, 0.3]), np.array([0, 0, 1]))
     assert p[1] / p[0] > 4 * 2 / 10 and p[2] == pytest.approx(1.0)
 
 
