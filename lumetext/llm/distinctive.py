@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .common import HOT, TERM, cut, one_per
 
 
@@ -187,7 +188,7 @@ def term_weights(docs: DataFrame, key: str = "doc_id", title: str = "title", bod
     With ``top`` (weight or probability) only the record's first term by it comes out, see top_term.
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(title).alias("_title"), F.col(body).alias("_body"), *([F.col(latest).alias("_at")] if latest else []))
-    texts = one_per(rows, "_k", "_at" if latest else None).select("_k", "_title", "_body")
+    texts = one_per(spread(rows), "_k", "_at" if latest else None).select("_k", "_title", "_body")
     kind = rows.schema["_k"].dataType.simpleString()
     known = cut(texts.mapInArrow(_background, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
     sums = known.agg(F.sum(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.sum(F.when(F.col("term") != "", F.col("df"))).alias("pairs"), F.sum("cf").alias("mass")).first()

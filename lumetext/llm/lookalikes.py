@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .common import cut, one_per
 
 #: Letters that look like a Latin one, by script (fixed values; those that fonts draw alike).
@@ -206,7 +207,7 @@ def lookalike_classes(docs: DataFrame, key: str = "doc_id", title: str = "title"
     """(key, class_a, class_b, stored): each distinct record with a body once, two hashes of its one form and one of its stored form.
     A null title counts as empty; null and empty bodies and null keys give no row. The hashes are stored: forms are made once."""
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(title), F.lit("")).alias("_title"), F.col(body).alias("_body"), F.col(latest).alias("_at"))
-    own = one_per(rows, "_k", "_at").filter(F.length("_body") > 0)
+    own = one_per(spread(rows), "_k", "_at").filter(F.length("_body") > 0)
     own = own.select("_k", F.xxhash64("_title", "_body").alias("stored"), "_title", "_body")
     forms = one_form(own, ["_title", "_body"], ["_k", "stored"])
     return cut(forms.select(F.col("_k").alias(key), F.xxhash64("_title", "_body").alias("class_a"), F.xxhash64(F.lit(7), "_body", "_title").alias("class_b"), "stored"))

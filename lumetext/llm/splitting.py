@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .tokens import TOKENIZERS, library_encoding
 
 #: Penalties of a cut by the kind of boundary, and the weight of an uneven size.
@@ -215,7 +216,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", tex
     null overlap means 0, a null or non-positive max_tokens no limit. A single character with more tokens than the limit stays
     whole, the only piece that may be over it. Of repeated limits of one source the smallest counts.
 
-    Each text is cut alone: nothing is shuffled. The limits are broadcast, after a check that they are at most MOST_SOURCES rows.
+    Each text is cut alone: nothing is shuffled but a table too small to occupy all cores (see spread). The limits are broadcast, after a check that they are at most MOST_SOURCES rows.
     """
     from pyspark.sql import Window
 
@@ -223,7 +224,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", tex
     own = limits.filter(F.col("source").isNotNull() & (F.col("max_tokens") > 0)).groupBy("source").agg(F.min(F.struct("max_tokens", "overlap_tokens")).alias("l"))
     checked = own.limit(MOST_SOURCES + 1).withColumn("ok", F.assert_true(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) <= MOST_SOURCES)).filter(F.col("ok").isNull())
     bound = F.broadcast(checked.select(F.col("source").alias("_s"), F.col("l.max_tokens").alias("_most"), F.col("l.overlap_tokens").alias("_overlap")))
-    rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"))
+    rows = spread(docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t")))
     long = rows.join(bound, "_s").filter(F.octet_length("_t") > F.col("_most"))  # a token has a byte at least
     cut = long.select("_k", "_t", "_most", "_overlap").mapInArrow(_split(f"{folder}/{vocabulary}"), f"_k {kind}, piece_no int, start long, end long, n_tokens int, piece string")
     return cut.withColumnRenamed("_k", key)

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 #: Where the vocabulary files lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -161,10 +163,11 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     """(key, ids): each row's text as ids of a byte-level BPE vocabulary, without special tokens.
 
     An empty and a null text give an empty list; strings that look like special tokens are ordinary text. Every row comes out
-    once, repeated rows as often as they come. Nothing is shuffled, and a row's ids hang on its own text alone.
+    once, repeated rows as often as they come. Nothing is shuffled but a table too
+    small to occupy all cores (see spread), and a row's ids hang on its own text alone.
     """
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInArrow(_encode(f"{folder}/{vocabulary}"), f"_k {kind}, ids array<int>").withColumnRenamed("_k", key)
+    return spread(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))).mapInArrow(_encode(f"{folder}/{vocabulary}"), f"_k {kind}, ids array<int>").withColumnRenamed("_k", key)
 
 
 def token_texts(ids: DataFrame, key: str = "doc_id", column: str = "ids", vocabulary: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
@@ -219,4 +222,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
     """(the kept columns, n_tokens): each row's number of tokens, 0 for a null or empty text."""
     fields = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     own = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("_t"))
-    return own.mapInArrow(_count(f"{folder}/{vocabulary}"), f"{fields}, n_tokens long").toDF(*keep, "n_tokens")
+    return spread(own).mapInArrow(_count(f"{folder}/{vocabulary}"), f"{fields}, n_tokens long").toDF(*keep, "n_tokens")
