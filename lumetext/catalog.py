@@ -15,7 +15,7 @@ from .operators import crawl, evaluation, lexicon, links, matching, ranking, sni
 from .operators.index import Index, index_sizes, store_index, update_index, violations
 from .plans.language import scoring_terms
 from .sources.corpus import json_field, result_lines
-from .storage import shared_folder
+from .storage import shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +52,7 @@ def query(sql: str | None = None):
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    both = corpus(spark, d).select(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("x"))
+    both = spread(corpus(spark, d)).select(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("x"))
     return both.select(F.explode(tx.pieces_column(F.col("x"))).alias("piece")).distinct()
 
 
