@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,25 +94,8 @@ def skew_safe_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight:
     return first.unionByName(rest)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a state that each task makes for itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            out = step(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
-
-    return df.mapInArrow(run, schema)
-
-
 def scratch(prefix: str) -> tempfile.TemporaryDirectory:
     """Private spill folder of one task, gone when the task ends. It lies where Spark keeps its own shuffle spill and nothing else
     ever reads it: a task that is run again elsewhere fills a new one."""
-    import os
-
     local = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",")[0]
     return tempfile.TemporaryDirectory(prefix=prefix, dir=local if local and os.path.isdir(local) else None, ignore_cleanup_errors=True)
