@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_terms
 from ..plans.language import Leaf, Plan, QueryError, constrained, parse, scoring_terms, word_count
 from ..storage import cut
-from .index import Index
+from .index import Index, dense_ranks
 from .matching import matches
 
 #: Constants of the scorers (fixed values).
@@ -187,14 +187,27 @@ def cover(plan: Plan, df: dict[str, int]) -> list[str] | None:
     return min(held, key=lambda p: (sum(df.get(t, 0) for t in p), p)) if held else None
 
 
-def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of every query of ``parsed_queries`` and document that it holds for, without the open queries, which match
-    documents that no posting names; run those one by one.
+def _first_without(index: Index, asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id): for each query of ``asked`` (query_id) its first k documents in document order that are not among its
+    ``held`` (query_id, doc_id). They are cut from the gaps between the held ones, so nothing is made of queries times documents."""
+    placed = cut(dense_ranks(index.docs.select("doc_id"), "doc_id", "nth"))
+    window = Window.partitionBy("query_id").orderBy("nth")
+    ends = held.join(placed, "doc_id").select("query_id", "nth").unionByName(asked.crossJoin(placed.agg(F.count(F.lit(1)).alias("nth"))))
+    gaps = ends.select("query_id", "nth", (F.lag("nth", 1, -1).over(window) + 1).alias("start"), (F.row_number().over(window) - 1).alias("taken"))
+    gaps = gaps.withColumn("left", F.lit(k) - (F.col("start") - F.col("taken"))).filter((F.col("left") > 0) & (F.col("start") < F.col("nth")))
+    free = gaps.select("query_id", F.explode(F.sequence("start", F.least(F.col("nth"), F.col("start") + F.col("left")) - 1)).alias("nth"))
+    return free.join(placed, "nth").select("query_id", "doc_id")
 
-    Only documents with a term of a query's cover are looked at, so a conjunction costs its rarest word's list and not its longest. Words
-    that must all be there, or any, are only counted; other trees are decided with the positions of their phrases' terms.
+
+def batch_match(index: Index, parsed: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id) of every query of ``parsed_queries`` and document that it holds for. Of the documents with none of the terms
+    of an open query, which all match and have score 0, only the first k in document order are given: a ranking of k has no others.
+
+    Only documents with a term of a query's cover are looked at, so a conjunction costs its rarest word's list and not its longest; a
+    query without a cover is looked up by all its terms. Words that must all be there, or any, are only counted; other trees are decided
+    with the positions of their phrases' terms.
     """
-    closed = parsed.filter(F.col("plan").isNotNull() & ~F.col("open")).select("query_id", "plan", "shape", "need")
+    asked = parsed.filter(F.col("plan").isNotNull()).select("query_id", "plan", "open", "shape", "need")
     kind = parsed.schema["query_id"].dataType.simpleString()
     doc_kind = index.postings.schema["doc_id"].dataType.simpleString()
 
@@ -214,7 +227,8 @@ def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
         for batch in batches:
             ids, terms = [], []
             for q, plan, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for t in cover(_plan_of(json.loads(plan)), {x["term"]: x["df"] for x in found}) or ():
+                df = {x["term"]: x["df"] for x in found}
+                for t in cover(_plan_of(json.loads(plan)), df) or df:  # NOT has no cover
                     ids.append(q)
                     terms.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string())], names=["query_id", "term"])
@@ -242,14 +256,14 @@ def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
                 keep.append(plans[plan].holds(lambda leaf, found=found: has(leaf, found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["query_id", "doc_id"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = cut(closed.select("query_id", "plan").mapInArrow(needed, f"query_id {kind}, term string, phrased boolean"))
+    wanted = cut(asked.select("query_id", "plan").mapInArrow(needed, f"query_id {kind}, term string, phrased boolean"))
     used = wanted.select("term").distinct()
     rows = index.postings.join(used, "term", "left_semi")
     known = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sized = wanted.join(known, "term", "left").groupBy("query_id").agg(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
-    first = closed.join(sized, "query_id").select("query_id", "plan", "found").mapInArrow(covers, f"query_id {kind}, term string")
+    first = asked.join(sized, "query_id").select("query_id", "plan", "found").mapInArrow(covers, f"query_id {kind}, term string")
     met = first.join(rows.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
-    candidates = cut(met.join(closed.select("query_id", "shape", "need"), "query_id"))  # three kinds of trees are decided from it
+    candidates = cut(met.join(asked.select("query_id", "open", "shape", "need"), "query_id"))  # three kinds of trees are decided from it
     sure = (F.col("shape") == "any") | (F.col("shape") == "all") & (F.col("need") == 1)
     easy = candidates.filter(sure).select("query_id", "doc_id")
     rest = candidates.filter(~sure).join(wanted, "query_id")
@@ -257,14 +271,18 @@ def batch_match(index: Index, parsed: DataFrame) -> DataFrame:
     full = counted.filter(F.col("_n") == F.col("need")).select("query_id", "doc_id")
     held = rest.filter(F.col("shape") == "tree").join(rows.select("term", "doc_id", "positions"), ["term", "doc_id"])
     met = held.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("term", F.when(F.col("phrased"), F.col("positions")).alias("positions"))).alias("held"))
-    decided = met.join(closed.select("query_id", "plan"), "query_id").select("query_id", "doc_id", "plan", "held").mapInArrow(decide, f"query_id {kind}, doc_id {doc_kind}")
-    return easy.unionByName(full).unionByName(decided)
+    decided = met.join(asked.select("query_id", "plan"), "query_id").select("query_id", "doc_id", "plan", "held").mapInArrow(decide, f"query_id {kind}, doc_id {doc_kind}")
+    found = easy.unionByName(full).unionByName(decided)
+    unbound = asked.filter("open").select("query_id")
+    if unbound.isEmpty():
+        return found
+    return found.unionByName(_first_without(index, unbound, candidates.filter("open").select("query_id", "doc_id"), k))
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25") -> DataFrame:
-    """(query_id, doc_id, score, rank): run_query for a whole log of (query_id, text), but for open and broken queries."""
+    """(query_id, doc_id, score, rank): run_query for a whole log of (query_id, text), but for broken queries."""
     parsed = cut(parsed_queries(queries))
-    found = cut(batch_match(index, parsed))
+    found = cut(batch_match(index, parsed, k))
     scores = batch_scores(index, parsed.filter(F.col("plan").isNotNull()), scorer, within=found)
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     rows = found.join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])

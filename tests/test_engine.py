@@ -1,4 +1,6 @@
 import math
+import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +217,28 @@ def test_batches_equal_single_queries(spark, index):
     assert parsed[5].error == "unexpected end of query" and parsed[4].plan is None
 
 
+def test_batches_answer_open_queries(spark, index):
+    log = ["NOT boat", "hill OR NOT red", "NOT zebra", "NOT NOT boat", "NOT (NOT boat OR NOT red)", 'NOT "red boat"', "NOT boat AND NOT hill", "boat OR NOT boat", "hill OR NOT the"]
+    queries = spark.createDataFrame(list(enumerate(log)), "query_id int, text string")
+    for k in (2, 100):
+        rows = ranking.batch_search(index, queries, k).collect()
+        for i, text in enumerate(log):
+            single = ranking.run_query(index, text, k).collect()
+            got = sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)
+            assert single and [r.doc_id for r in got] == [r.doc_id for r in single], text
+            assert [r.score for r in got] == pytest.approx([r.score for r in single], abs=1e-9), text
+
+
+def test_first_documents_without(spark):
+    rng = random.Random(4)
+    docs = spark.range(200).selectExpr("id * 3 AS doc_id")
+    held = {q: set(rng.sample(range(0, 600, 3), n)) for q, n in enumerate((0, 1, 50, 195, 199, 200))} | {6: set(range(0, 300, 3))}
+    rows = spark.createDataFrame([(q, d) for q, x in held.items() for d in x], "query_id int, doc_id long")
+    found = ranking._first_without(SimpleNamespace(docs=docs), spark.createDataFrame([(q,) for q in held], "query_id int"), rows, 7).collect()
+    for q, x in held.items():
+        assert sorted(r.doc_id for r in found if r.query_id == q) == [d for d in range(0, 600, 3) if d not in x][:7]
+
+
 def test_covers():
     df = {"boat": 5, "hill": 2, "red": 9, "mill": 1}
     cover = lambda q: ranking.cover(lang.constrained(lang.parse(q)), df)
