@@ -94,16 +94,21 @@ class Splitter:
 
     def gaps(self, text: str, start: int, end: int, room: int) -> Iterator[tuple[int, float, int]]:
         """(end, penalty, tokens) of the words of a stretch; of one over half a piece its parts, of so few characters that none can
-        have more tokens than a quarter of a piece (a character has four bytes at most, and a token a byte at least)."""
+        have more tokens than a quarter of a piece (a character has four bytes at most, and a token a byte at least), or of more while
+        they stay within a sixteenth, as a run of one mark has many characters for a token."""
         points = [m.start() for m in _GAP.finditer(text, start, end) if m.start() > start]
         for i, j in zip([start, *points], [*points, end]):
             n = self.size(text[i:j])
             if n * 2 <= room:
                 yield j, CLAUSE if text[j - 1] in _CLAUSE else WORD_GAP, n
             else:
-                step = max(1, room // 16)
-                for k in range(i, j, step):
-                    yield min(k + step, j), INSIDE if k + step < j else WORD_GAP, self.size(text[k : min(k + step, j)])
+                while i < j:
+                    step = max(1, room // 16)
+                    while i + step < j and self.size(text[i : i + 2 * step]) * 16 <= room:
+                        step *= 2
+                    k = min(i + step, j)
+                    yield k, INSIDE if k < j else WORD_GAP, self.size(text[i:k])
+                    i = k
 
     @staticmethod
     def cuts(before: np.ndarray, cost: np.ndarray, most: int, overlap: int) -> list[int]:
@@ -137,26 +142,46 @@ class Splitter:
         return out[::-1]
 
     def overlapped(self, text: str, end: int, floor: int, overlap: int) -> tuple[int, int]:
-        """Where a piece after a cut at ``end`` begins, and the tokens from there to the cut: the first place from ``floor`` on with at most ``overlap`` tokens up to the
-        cut, at a gap between words, or inside a word (then -1 tokens, not counted) where there is no gap."""
+        """Where a piece after a cut at ``end`` begins, and the tokens from there to the cut: the first gap between words after ``floor`` with at most ``overlap`` tokens up to
+        the cut. Where the next word before it has over ``overlap`` tokens alone, or no gap is there, a place inside (then -1 tokens, not counted)."""
         if overlap <= 0:
             return end, 0
-        lo = max(floor, end - overlap * 12)
-        start, n, right = end, 0, end
-        for i in reversed([m.start() for m in _GAP.finditer(text, lo, end)]):
-            if i <= floor or i == end:
-                continue
-            more = self.size(text[i:right])
-            if n + more > overlap:
+        wide = overlap * 12
+        while True:
+            lo = max(floor, end - wide)
+            start, n = end, 0
+            for i in reversed([m.start() for m in _GAP.finditer(text, lo, end) if lo < m.start() < end]):
+                more = self.size(text[i:start])
+                if n + more > overlap:
+                    break
+                start, n = i, n + more
+            else:
+                more = self.size(text[lo:start])
+                if more <= overlap and lo > floor:  # the word goes on before
+                    wide *= 2
+                    continue
+            return (start, n) if start < end and more <= overlap else (self.inside(text, end, floor, overlap), -1)
+
+    def inside(self, text: str, end: int, floor: int, overlap: int) -> int:
+        """The place after ``floor`` from which ``overlap`` tokens lead to ``end``, or as few less as can be: by bisection, then among
+        the characters around, as a character more need not be a token more."""
+
+        def count(k: int) -> int:
+            return len(self.encode(text[k:end]))
+
+        near, far, step = end, floor, overlap
+        while near - step > floor:
+            if count(near - step) > overlap:
+                far = near - step
                 break
-            n += more
-            start = right = i
-        if start == end:
-            k = min(overlap, end - floor - 1)
-            while k > 0 and len(self.encode(text[end - k : end])) > overlap:
-                k -= 1
-            start, n = end - k, -1
-        return start, n
+            near -= step
+            step *= 2
+        while near - far > 1:
+            k = (near + far) // 2
+            near, far = (k, far) if count(k) <= overlap else (near, k)
+        if far > floor and count(near) < overlap:
+            near = max((k for k in range(max(floor + 1, near - 8), min(near + 8, end) + 1) if count(k) <= overlap), key=lambda k: (count(k), -k))
+        return near
 
     def split(self, text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
         """(start, end, tokens) in characters of each piece of a text that has over ``most`` tokens; nothing for another."""
@@ -211,7 +236,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, key: str = "doc_id", tex
     """(key, piece_no from 1, start, end, n_tokens, piece) of every text that has more tokens than its source's max_tokens.
 
     start and end are characters of the text; every piece encoded alone has at most max_tokens tokens, the pieces cover the text,
-    and each begins up to overlap_tokens tokens before the end of the one before it, as near to that as a boundary allows. A text
+    and each begins up to overlap_tokens tokens before the end of the one before it, as near to that as a boundary allows, or inside a
+    word that has more than overlap_tokens itself, then as near as a character allows. A text
     within its limit, a null or empty one, and one whose source is null or has no limit give no row; so does an empty table. A
     null overlap means 0, a null or non-positive max_tokens no limit. A single character with more tokens than the limit stays
     whole, the only piece that may be over it. Of repeated limits of one source the smallest counts.

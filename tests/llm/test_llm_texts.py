@@ -202,6 +202,20 @@ def test_cuts_fall_on_sentences_where_they_can():
     assert max(sizes) - min(sizes) <= 24
 
 
+def test_unbroken_texts_share_as_many_tokens():
+    s = splitting.Splitter(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    rng = random.Random(11)
+    letters, encoded = "".join(rng.choices("abcdefghijklmnop", k=3000)), "".join(rng.choices("ABCDEFghijklmn0123456789+/", k=3000))
+    texts = {"ha" * 3000: 16, "=" * 40000: 16, letters: 16, encoded: 16, "x" * 9000: 16, "internationalization" * 300: 16, "日本語文章" * 400: 13, "😀" * 900: 13, " ".join([letters[:1500], "end", letters[1500:]]): 16}
+    for text, least in texts.items():
+        for most, overlap in ((128, 16), (400, 64)):
+            pieces = s.split(text, most, overlap)
+            assert len(pieces) > 1 and "".join(text[b[1] if b else 0 : c[1]] for b, c in zip([None, *pieces], pieces)) == text
+            assert all(n == len(s.encode(text[a:b])) <= most for a, b, n in pieces)
+            for (_, end, _), (start, _, _) in zip(pieces, pieces[1:]):
+                assert overlap - 16 + least <= len(s.encode(text[start:end])) <= overlap, (text[:20], most, overlap)
+
+
 def test_dynamic_programme_is_optimal():
     import itertools
 
