@@ -254,7 +254,7 @@ def result_lines_tsv(spark, d):
     s AS (SELECT doc_id, sum(w) AS score FROM ({O.bm25("p.term IN ('river', 'bridg', 'templ')")}) GROUP BY doc_id)
     SELECT m.doc_id, round(coalesce(score, 0), 4) AS score FROM m LEFT JOIN s ON s.doc_id = m.doc_id""")
 def query_boolean_ranked(spark, d):
-    rows = ranking.run_query(index_of(spark, d), "river AND (bridge OR NOT temple)", limit=1_000_000)
+    rows = ranking.run_query(index_of(spark, d), "river AND (bridge OR NOT temple)", limit=None)
     return rows.select("doc_id", F.round("score", 4).alias("score"))
 
 
@@ -361,7 +361,7 @@ _PRIOR = f"pr_ AS (SELECT substr(page, 2)::BIGINT AS doc_id, score FROM r{_ROUND
     SELECT s_.doc_id, round(s_.score * (1 + 0.5 * ln(1 + np * coalesce(pr_.score, 0))), 4) AS score FROM s_ LEFT JOIN pr_ ON pr_.doc_id = s_.doc_id, np_""")
 def query_with_prior(spark, d):
     prior = ranking.Prior(_numbers(links.pagerank(_edges(spark, d), _ROUNDS)))
-    return ranking.run_query(index_of(spark, d), "river", 1_000_000, prior=prior, strength=0.5).select("doc_id", F.round("score", 4).alias("score"))
+    return ranking.run_query(index_of(spark, d), "river", None, prior=prior, strength=0.5).select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query(f"""{O.INDEX}, {_docs_with('river', 'index', 'crawler')}, m AS (SELECT * FROM t0 INTERSECT SELECT * FROM t1 INTERSECT SELECT * FROM t2),
@@ -369,7 +369,7 @@ def query_with_prior(spark, d):
     SELECT doc_id, round(score, 4) AS score FROM s_ WHERE doc_id IN (SELECT doc_id FROM m)""")
 def query_prior_short_only(spark, d):
     prior = ranking.Prior(_numbers(links.home_page_ranking(_urls(spark, d))))
-    return ranking.run_query(index_of(spark, d), "river index crawler", 1_000_000, prior=prior, strength=1.0, max_words=2).select("doc_id", F.round("score", 4).alias("score"))
+    return ranking.run_query(index_of(spark, d), "river index crawler", None, prior=prior, strength=1.0, max_words=2).select("doc_id", F.round("score", 4).alias("score"))
 
 
 # Dictionary

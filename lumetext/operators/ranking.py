@@ -92,15 +92,16 @@ class Prior:
         return score * (1 + strength * F.log1p(self.count * F.coalesce(own, F.lit(0.0))))
 
 
-def run_query(index: Index, query: str, limit: int = 10, scorer: str = "bm25", prior: Prior | None = None, strength: float = 0.0, max_words: int = 0) -> DataFrame:
-    """(doc_id, score) of a query's best documents: the tree decides which match, the scorer orders them. A match without a scored
-    term has score 0. The prior applies if its strength is positive and the query has at most max_words words (0: any)."""
+def run_query(index: Index, query: str, limit: int | None = 10, scorer: str = "bm25", prior: Prior | None = None, strength: float = 0.0, max_words: int = 0) -> DataFrame:
+    """(doc_id, score) of a query's best documents, or with no limit of all that match, in no order: the tree decides which match, the
+    scorer orders them. A match without a scored term has score 0. The prior applies if its strength is positive and the query has at most max_words words (0: any)."""
     found = matches(index, query).join(scored(index, scoring_terms(query), scorer), "doc_id", "left")
     score = F.coalesce("score", F.lit(0.0))
     if prior is not None and strength > 0 and (not max_words or word_count(query) <= max_words):
         found = found.join(prior.rows.select("doc_id", F.col("score").alias("_prior")), "doc_id", "left")
         score = prior.boost(score, F.col("_prior"), strength)
-    return top_k(found.select("doc_id", score.alias("score")), limit)
+    rows = found.select("doc_id", score.alias("score"))
+    return rows if limit is None else top_k(rows, limit)
 
 
 def parsed_queries(queries: DataFrame) -> DataFrame:

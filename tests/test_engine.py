@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from lumetext import catalog
 from lumetext.operators import evaluation, lexicon, links, matching, ranking, snippets
 from lumetext.operators.index import Index, build_index, dense_ranks, index_sizes, load_index, merge_indexes, store_index, update_index, violations
 from lumetext.plans import language as lang
@@ -201,6 +202,19 @@ def test_prior(spark, index):
     assert {r.doc_id: r.score for r in ranking.run_query(index, "boat red", prior=prior, strength=2.0, max_words=1).collect()} == {r.doc_id: r.score for r in ranking.run_query(index, "boat red").collect()}
 
 
+def test_queries_of_all_matches_have_no_cap(spark, index, monkeypatch):
+    rows = ranking.run_query(index, "red OR NOT harbour", None).collect()
+    assert {(r.doc_id, r.score) for r in rows} == {(r.doc_id, r.score) for r in ranking.run_query(index, "red OR NOT harbour", 100).collect()}
+    pages = spark.createDataFrame([("p1", 0.5)], "page string, score double")
+    monkeypatch.setattr(catalog, "index_of", lambda spark, d: index)
+    for name in ("_edges", "_urls"):
+        monkeypatch.setattr(catalog, name, lambda spark, d: None)
+    for name in ("pagerank", "home_page_ranking"):
+        monkeypatch.setattr(catalog.links, name, lambda *a: pages)
+    for name in ("query_boolean_ranked", "query_with_prior", "query_prior_short_only"):
+        assert "Limit" not in catalog.QUERIES[name](spark, "")._jdf.queryExecution().optimizedPlan().toString(), name
+
+
 def test_batches_equal_single_queries(spark, index):
     log = ["red boat", "boat OR hill", '"red boat"', "hill AND NOT red", "the", "(", "harbour boat boat"]
     queries = spark.createDataFrame(list(enumerate(log)), "query_id int, text string")
