@@ -31,9 +31,6 @@ PART_PAGES = 512
 #: Characters from which a line is only compared whole, without slots other than names and numbers.
 LONG = 160
 
-#: Characters by which long lines are compared at first.
-BEGINNING = 32
-
 #: Tokens of a line that may have slots at most.
 SLOTTED = 16
 
@@ -120,9 +117,14 @@ def tokens_of(line: str) -> tuple[str, ...]:
 
 
 def head_of(line: str) -> tuple[str, ...]:
-    """The first four tokens of a long line."""
-    text = line[:80].lower().translate(_BLANKED)
-    return tuple((_ZEROS.sub("0", text) if "0" in text else text).split()[:4])
+    """The first four tokens of a long line, whole however long they are."""
+    most = 80
+    while True:
+        text = line[:most].lower().translate(_BLANKED)
+        found = (_ZEROS.sub("0", text) if "0" in text else text).split()
+        if len(found) > 4 or most >= len(line):
+            return (*found, ".")[:4]
+        most *= 2
 
 
 def masked(tokens: tuple[str, ...], own: frozenset[str], site: frozenset[str]) -> tuple[str, ...]:
@@ -151,7 +153,7 @@ class Wrapper:
         self.repeated: list[bool] = []
         self.exact: dict[tuple[str, ...], int] = {}
         self.near: dict[tuple, list[int]] = {}
-        self.heads: set[tuple[str, ...]] = set()  # of the patterns of long lines
+        self.heads: set[tuple[str, ...]] = set()  # of all patterns, as any can be a long line's
         self.total = 0
 
     def find(self, tokens: tuple[str, ...], fresh: bool = True) -> int | None:
@@ -179,8 +181,7 @@ class Wrapper:
         self.order.append(after + 1e-3)
         self.repeated.append(False)
         self.exact[bare(tokens)] = i
-        if len(tokens) > SLOTTED:
-            self.heads.add(tokens[:4])
+        self.heads.add(tokens[:4])
         if len(tokens) <= SLOTTED and not sentence(tokens):
             tokens = bare(tokens)
             for key in ((len(tokens), 0, tokens[0]), (len(tokens), 1, tokens[-1])):
@@ -372,10 +373,10 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         # A long line whose beginning no other page here has is on one page alone: it is not taken in.
-        begun = Counter(b for _, lines in held for b in {line[:BEGINNING] for line in lines if len(line) > LONG})
+        begun = Counter(b for own, lines in held for b in {masked(head_of(line), own, site) for line in lines if len(line) > LONG})
         least = 1 if len(held) < 16 else 2
         for own, lines in held:
-            wrapper.align(masked(tokens(line), own, site) for line in lines if len(line) <= LONG or begun[line[:BEGINNING]] >= least)
+            wrapper.align(masked(tokens(line), own, site) for line in lines if len(line) <= LONG or begun[masked(head_of(line), own, site)] >= least)
         held.clear()
         if wrapper.total:
             out.append((group[0], "", wrapper.total))

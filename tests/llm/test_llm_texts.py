@@ -121,6 +121,20 @@ def test_union_free_alignment():
     assert wrappers.unify(("a", "b"), ("c", "d")) is None and wrappers.unify(("tags", ":", "x"), ("tags", ":", "y")) == ("tags", ":", wrappers.SLOT)
 
 
+def test_long_notices_are_furniture_whatever_begins_them(spark):
+    rows, body, bad = site_pages()
+    dense = "この場所は本文ではありません" * 14
+    links = " ".join(c * 50 for c in "abcd")
+    dated = "%d %s the reading room of this site is closed to all visitors because of works on the roof, and every letter is answered as soon as the clerks have come back to their desks on the upper floor of the house"
+    months = "January February March April May June".split()
+    rows = [(i, u, t, "\r\n".join([x, dense, links, dated % (i + 1, "of 2020"), f"{months[i % 6]}"])) for i, u, t, x in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, text string")
+    got = {(r.page_id, r.line_no) for r in wrappers.body_lines([df]).collect()}
+    assert len(dense) > wrappers.LONG and {x for x in got if x[1] <= 7} == body
+    late = {(i, x.split("\r\n")[n - 1][:12]) for i, n in got for j, _, _, x in rows if i == j and n > 7}
+    assert not {x for _, x in late} & {dense[:12], links[:12]} and not any("of 2020" in x for _, x in late)
+
+
 def test_salted_hosts_give_the_same(spark, monkeypatch):
     rows, body, bad = site_pages()
     df = spark.createDataFrame(rows, "page_id long, url string, title string, text string")
