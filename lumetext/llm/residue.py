@@ -1,8 +1,9 @@
 """Problem 5: pages whose text is template residue, filler, an error message or a notice that scripts are required.
 
 Method: the address slug, the title and the body terms are compared, and the site's own lines (host evidence, see wrappers) are set
-aside; what is left is flagged if it is short, repeats itself or other pages, says nothing of what the address names, and detectors
-for placeholders, filler, errors and script notices find it. This module holds the detectors and the verdict on one page.
+aside; what is left is flagged if it is short, says nothing of what the address names, and detectors for placeholders, filler, errors
+and script notices find it. Duplication over a host's addresses and mismatch alone flag nothing: that part of the method is left out.
+This module holds the detectors and the verdict on one page.
 """
 
 from __future__ import annotations
