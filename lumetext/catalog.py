@@ -35,7 +35,7 @@ def index_of(spark: SparkSession, d: str) -> Index:
     """The stored index of a folder's documents: built by the session's first query that needs it, read by the others."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        _INDEXES[key] = store_index(corpus(spark, d), f"{shared_folder(spark)}/index-{sha1(d.encode()).hexdigest()[:12]}")
+        _INDEXES[key] = store_index(corpus(spark, d), f"{shared_folder(spark)}/index-{sha1(d.encode()).hexdigest()[:12]}", texts=False)
     return _INDEXES[key]
 
 
@@ -264,11 +264,11 @@ _QUERY_WORDS = rf"""q_ AS (SELECT DISTINCT query_id, text FROM judged_queries WH
     qn_ AS (SELECT query_id, {O._normal("piece")} AS term FROM qw_)"""
 
 
-def _query_stems() -> str:
-    chain = "SELECT term, CASE WHEN left(term, 1) = 'y' THEN 'Y' || substr(term, 2) ELSE term END AS w FROM (SELECT DISTINCT term FROM qn_ WHERE term <> '')"
+def _query_stems(words: str = "qn_", name: str = "qs_") -> str:
+    chain = f"SELECT term, CASE WHEN left(term, 1) = 'y' THEN 'Y' || substr(term, 2) ELSE term END AS w FROM (SELECT DISTINCT term FROM {words} WHERE term <> '')"
     for step in O._STEPS:
         chain = f"SELECT term, {step} AS w FROM ({chain})"
-    return f"qs_ AS (SELECT term, CASE WHEN strlen(term) <= 2 THEN term WHEN left(w, 1) = 'Y' THEN 'y' || substr(w, 2) ELSE w END AS stem FROM ({chain}))"
+    return f"{name} AS (SELECT term, CASE WHEN strlen(term) <= 2 THEN term WHEN left(w, 1) = 'Y' THEN 'y' || substr(w, 2) ELSE w END AS stem FROM ({chain}))"
 
 
 @query(f"""{O.INDEX}, {_QUERY_WORDS}, {_query_stems()},
@@ -278,12 +278,29 @@ def _query_stems() -> str:
     SELECT query_id, doc_id, round(score, 3) AS score, nth::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS nth FROM s_) WHERE nth <= 10""")
 def batch_topk_bm25(spark, d):
     log = table(spark, d, "judged_queries").filter("text IS NOT NULL").dropDuplicates(["query_id", "text"])
-    scores = ranking.batch_scores(index_of(spark, d), evaluation.bags(log)).withColumn("score", F.round("score", 6))
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(window)).filter("rank <= 10").withColumn("score", F.round("score", 3))
-
-
-@query()
+    return ranking.batch_top_k(index_of(spark, d), evaluation.bags(log), 10, digits=6).withColumn("score", F.round("score", 3))
+
+
+# The forms of the judged queries, each taken apart on its own: a phrase, word AND (word OR word), word AND NOT word, NOT word, words.
+# need are the words that must all be there, any those of which one must, not those that must not.
+_FORMS = rf"""b_ AS (SELECT row_number() OVER () AS id, query_id, text, regexp_full_match(text, '\s*"[^"]*"\s*') AS phrased FROM (SELECT DISTINCT query_id, text FROM judged_queries WHERE text IS NOT NULL)),
+    bp_ AS (SELECT id, CASE WHEN phrased THEN 'phrase' ELSE 'need' END AS part, list_filter(regexp_split_to_array(CASE WHEN phrased THEN replace(text, '"', '') ELSE regexp_replace(text, '(AND NOT \S+|AND \([^)]*\)|^NOT \S+)\s*$', '') END, {O._SPLIT}), lambda x: x NOT IN ('', 'AND')) AS p FROM b_
+        UNION ALL SELECT id, 'any', string_split(regexp_extract(text, 'AND \(([^)]*)\)', 1), ' OR ') FROM b_ WHERE regexp_matches(text, 'AND \(') UNION ALL SELECT id, 'not', [regexp_extract(text, 'NOT (\S+)\s*$', 1)] FROM b_ WHERE regexp_matches(text, 'NOT \S+\s*$')),
+    bw_ AS (SELECT id, part, unnest(p) AS piece, generate_subscripts(p, 1) AS place FROM bp_),
+    bn_ AS (SELECT id, part, place, {O._normal("piece")} AS term FROM bw_),
+    {_query_stems("bn_", "bs_")},
+    bt_ AS (SELECT id, part, place, stem AS term FROM bn_ JOIN bs_ USING (term) WHERE term NOT IN ({O.STOP_LIST})),
+    bk_ AS (SELECT id, count(DISTINCT term) FILTER (part = 'need') AS need, count(*) FILTER (part = 'phrase') AS phrase, count(*) FILTER (part = 'any') AS one FROM bt_ GROUP BY id),
+    bm_ AS (SELECT t.id, doc_id, count(DISTINCT t.term) FILTER (part = 'need') AS need, count(*) FILTER (part = 'any') AS one, count(*) FILTER (part = 'not') AS no FROM bt_ t JOIN postings_ p ON p.term = t.term WHERE part <> 'phrase' GROUP BY ALL),
+    bh_ AS (SELECT DISTINCT id, doc_id FROM (SELECT t.id, doc_id, position - place AS start, count(*) AS n FROM bt_ t JOIN tokens k ON k.term = t.term WHERE part = 'phrase' GROUP BY ALL) x JOIN bk_ USING (id) WHERE n = phrase),
+    bf_ AS (SELECT id, doc_id FROM bm_ JOIN bk_ k USING (id) WHERE bm_.need = k.need AND (k.one = 0 OR bm_.one > 0) AND no = 0 UNION SELECT id, doc_id FROM bh_
+        UNION SELECT id, doc_id FROM (SELECT id FROM bk_ WHERE need = 0 AND phrase = 0 AND one = 0) k, docs_ WHERE NOT EXISTS (SELECT 1 FROM bm_ WHERE bm_.id = k.id AND bm_.doc_id = docs_.doc_id))"""
+
+
+@query(f"""{O.INDEX}, {_FORMS}, w_ AS ({O.bm25("p.term IN (SELECT term FROM bt_)")}),
+    s_ AS (SELECT t.id, w_.doc_id, sum(w) AS score FROM bt_ t JOIN w_ USING (term) GROUP BY ALL),
+    r_ AS (SELECT f.id, f.doc_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY f.id ORDER BY round(coalesce(score, 0), 9) DESC, f.doc_id) AS nth FROM bf_ f LEFT JOIN s_ ON s_.id = f.id AND s_.doc_id = f.doc_id)
+    SELECT query_id, doc_id, round(score, 3) AS score, nth::INTEGER AS rank FROM r_ JOIN b_ USING (id) WHERE nth <= 10""")
 def batch_boolean_search(spark, d):
     log = table(spark, d, "judged_queries").dropDuplicates(["query_id", "text"])
     return ranking.batch_search(index_of(spark, d), log).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
@@ -311,7 +328,7 @@ def _urls(spark, d) -> DataFrame:
 
 
 _HOSTS = "h_ AS (SELECT 'p' || p_partkey AS doc_id, 'h' || (p_partkey % 10) || '.test' AS host, p_partkey < 10 AS home FROM part)"
-_ROUNDS = 5
+_ROUNDS = 30
 
 
 @query(f"WITH {O.pagerank(_EDGES, _ROUNDS)} SELECT page, round(score, 9) AS score FROM r{_ROUNDS}_")

@@ -59,7 +59,7 @@ def _correct_word(index: Index, word: str) -> tuple[str, bool] | None:
     term = found[0][1]
     size = len(term.encode())
     near = suggest(index, word, 1 if size <= 4 else 2, 10).collect()
-    own = index.postings.filter(F.col("term") == term).count()
+    own = sum(r.df for r in index.terms.filter(F.col("term") == term).collect())  # one row
     if own and size < 4:
         return None
     for r in near:
@@ -91,7 +91,8 @@ def correct_query(index: Index, query: str) -> str | None:
 
 
 def complete(index: Index, prefix: str, limit: int = 10) -> DataFrame:
-    """Terms that begin with a prefix (normalized, not stemmed), df descending, then term. The filter reaches the scan of a stored index."""
+    """Terms that begin with a prefix (normalized, not stemmed), df descending, then term. The filter reaches the scan of the stored
+    dictionary, which is sorted."""
     start = normalize(prefix)
-    rows = index.postings.filter(F.col("term").startswith(start)) if start else index.postings
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(limit)
+    rows = index.terms.filter(F.col("term").startswith(start)) if start else index.terms
+    return rows.orderBy(F.desc("df"), "term").limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.web import canonical_column, host_column
-from ..storage import cut
+from ..storage import cut, drop_cut
 from .ranking import Prior
 
 
@@ -19,18 +19,23 @@ def pagerank(links: DataFrame, iterations: int = 30, damping: float = 0.85) -> D
     """
     if iterations < 0 or not 0 <= damping <= 1:
         raise ValueError("iterations must not be negative, and damping must lie in 0..1")
+    spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = links.select("src", "dst").dropna().distinct()
     degrees = edges.groupBy("src").agg((1.0 / F.count(F.lit(1))).alias("share"))
-    edges = cut(edges.join(degrees, "src"))
+    # Both stay where their join needs them: the stored tables keep their partitioning, so a round moves only the summed shares.
+    edges = cut(edges.join(degrees, "src").repartition(parts, "src"))
     ends = edges.select(F.col("src").alias("page"), F.lit(True).alias("linking")).union(edges.select("dst", F.lit(False)))
-    nodes = cut(ends.groupBy("page").agg(F.max(F.when(F.col("linking"), True)).alias("linking")))
+    nodes = cut(ends.groupBy("page").agg(F.max(F.when(F.col("linking"), True)).alias("linking")).repartition(parts, "page"))
     n = nodes.count()
     ranks = nodes.withColumn("score", F.lit(1.0 / n if n else 0.0))
-    for _ in range(iterations if n else 0):
-        idle = ranks.filter(F.col("linking").isNull()).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first().s
+    for i in range(iterations if n else 0):
+        idle = ranks.filter(F.col("linking").isNull()).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).scalar()
         given = ranks.join(edges, F.col("page") == F.col("src")).groupBy(F.col("dst").alias("page")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)
-        ranks = cut(nodes.join(given, "page", "left").select("page", "linking", score.alias("score")))
+        before, ranks = ranks, cut(nodes.join(given, "page", "left").select("page", "linking", score.alias("score")))
+        if i:
+            drop_cut(before)
     return ranks.select("page", "score")
 
 

@@ -43,6 +43,22 @@ def _condition(plan: Plan, slots: dict[str, str]) -> Column:
     return reduce((lambda a, b: a & b) if plan.kind == "and" else (lambda a, b: a | b), parts)
 
 
+def decided(index: Index, plan: Plan, rows: DataFrame, *extra: Column) -> DataFrame:
+    """(doc_id, the extra aggregates) of the documents that a plan holds for; ``rows`` are the postings of its terms. An aggregate is
+    null for a document with none of them."""
+    slots = _slots(plan)
+    phrased = {t for leaf in plan.leaves() if len(leaf.terms) > 1 for t in leaf.terms}
+    held = [F.max(F.when(F.col("term") == t, F.col("positions") if t in phrased else F.array(F.lit(0)))).alias(c) for t, c in slots.items()]
+    found = rows.groupBy("doc_id").agg(*held, *extra)
+    if plan.holds(lambda leaf: False):  # a NOT can hold for documents without any of the terms
+        found = index.docs.select("doc_id").join(found, "doc_id", "left")
+    return found.filter(_condition(plan, slots)).drop(*slots.values())
+
+
+def plan_terms(plan: Plan) -> list[str]:
+    return list(_slots(plan))
+
+
 def matches(index: Index, query: str) -> DataFrame:
     """(doc_id) of the documents that a query holds for, in no order.
 
@@ -52,14 +68,7 @@ def matches(index: Index, query: str) -> DataFrame:
     plan = constrained(parse(query))
     if plan is None:
         return index.docs.select("doc_id").limit(0)
-    slots = _slots(plan)
-    phrased = {t for leaf in plan.leaves() if len(leaf.terms) > 1 for t in leaf.terms}
-    rows = index.postings.filter(F.col("term").isin(*slots))
-    held = [F.max(F.when(F.col("term") == t, F.col("positions") if t in phrased else F.array(F.lit(0)))).alias(c) for t, c in slots.items()]
-    found = rows.groupBy("doc_id").agg(*held)
-    if plan.holds(lambda leaf: False):  # a NOT can hold for documents without any of the terms
-        found = index.docs.select("doc_id").join(found, "doc_id", "left")
-    return found.filter(_condition(plan, slots)).select("doc_id")
+    return decided(index, plan, index.postings.filter(F.col("term").isin(*plan_terms(plan))))
 
 
 def match(index: Index, query: str) -> DataFrame:

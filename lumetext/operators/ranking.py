@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from ..functions.text import query_terms
 from ..plans.language import Leaf, Plan, QueryError, constrained, parse, scoring_terms, word_count
 from ..storage import cut
 from .index import Index, dense_ranks
-from .matching import matches
+from .matching import decided
 
 #: Constants of the scorers (fixed values).
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 2.0
@@ -45,26 +47,45 @@ def weight(scorer: str, index: Index, tf: Column, df: Column, length: Column, ti
     return idf(s.n_docs, df) * w / (K1 + w)
 
 
+def _weight(index: Index, scorer: str) -> Column:
+    """weight of joined rows of postings and dictionary."""
+    return weight(scorer, index, F.col("tf"), F.col("df"), F.col("length"), F.col("title_terms"), F.col("title_tf"))
+
+
+def _parts(index: Index, terms: list[str], scorer: str) -> DataFrame:
+    """Postings of the terms with ``parts``: the (place in the list, contribution) of each time that the term is in it. The dictionary
+    answers the terms' numbers of documents; no document is looked up."""
+    if scorer not in SCORERS:
+        raise ValueError(f"unknown scorer '{scorer}'")
+    times = {t: [i for i, x in enumerate(terms) if x == t] for t in dict.fromkeys(terms)}
+    found = index.terms.filter(F.col("term").isin(*times))  # one row for each query term: bounded by the query
+    rows = index.postings.filter(F.col("term").isin(*times)).join(F.broadcast(found), "term")
+    places = F.create_map(*(x for t, i in times.items() for x in (F.lit(t), F.array(*map(F.lit, i)))))
+    w = _weight(index, scorer)
+    return rows.withColumn("_w", w).withColumn("parts", F.transform(places[F.col("term")], lambda i: F.struct(i.alias("i"), F.col("_w").alias("w"))))
+
+
+def _sum() -> Column:
+    """The parts of a document, in the order of the query's terms."""
+    return F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts")
+
+
+def _total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x.w)
+
+
 def scored(index: Index, terms: list[str], scorer: str = "bm25") -> DataFrame:
     """(doc_id, score) of every document with at least one of the terms. A term that comes twice counts twice.
 
     A document's contributions are added in the order of the terms, so its score has the same bits in every run and on any number
-    of executors. Only the terms' postings are read, without positions unless a title weight needs them.
+    of executors. Only the terms' postings are read, without positions, and they move once, by document.
     """
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer '{scorer}'")
     if not terms:
         return index.docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    times = {t: [i for i, x in enumerate(terms) if x == t] for t in dict.fromkeys(terms)}
-    rows = index.postings.filter(F.col("term").isin(*times))
-    found = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row for each query term: bounded by the query
-    docs = index.docs.select("doc_id", "length", "title_terms", "title_span")
-    title_tf = F.size(F.filter("positions", lambda p: p < F.col("title_span"))) if scorer == "bm25f" else F.lit(0)
-    joined = rows.join(F.broadcast(found), "term").join(docs, "doc_id")
-    places = F.create_map(*(x for t, i in times.items() for x in (F.lit(t), F.array(*map(F.lit, i)))))
-    one = joined.select("doc_id", F.explode(places[F.col("term")]).alias("i"), weight(scorer, index, F.col("tf"), F.col("df"), F.col("length"), F.col("title_terms"), title_tf).alias("w"))
-    parts = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("parts"))
-    return parts.select("doc_id", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x.w).alias("score"))
+    rows = _parts(index, terms, scorer).groupBy("doc_id").agg(_sum())
+    return rows.select("doc_id", _total(F.col("parts")).alias("score"))
 
 
 def top_k(rows: DataFrame, k: int) -> DataFrame:
@@ -94,9 +115,15 @@ class Prior:
 
 def run_query(index: Index, query: str, limit: int | None = 10, scorer: str = "bm25", prior: Prior | None = None, strength: float = 0.0, max_words: int = 0) -> DataFrame:
     """(doc_id, score) of a query's best documents, or with no limit of all that match, in no order: the tree decides which match, the
-    scorer orders them. A match without a scored term has score 0. The prior applies if its strength is positive and the query has at most max_words words (0: any)."""
-    found = matches(index, query).join(scored(index, scoring_terms(query), scorer), "doc_id", "left")
-    score = F.coalesce("score", F.lit(0.0))
+    scorer orders them. A match without a scored term has score 0. The prior applies if its strength is positive and the query has at most max_words words (0: any).
+
+    Both the decision and the score come out of one aggregation of the terms' postings by document."""
+    plan = constrained(parse(query))
+    if plan is None:
+        found = index.docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        return found if limit is None else top_k(found, limit)
+    found = decided(index, plan, _parts(index, scoring_terms(query), scorer), _sum())
+    score = F.coalesce(_total(F.col("parts")), F.lit(0.0))
     if prior is not None and strength > 0 and (not max_words or word_count(query) <= max_words):
         found = found.join(prior.rows.select("doc_id", F.col("score").alias("_prior")), "doc_id", "left")
         score = prior.boost(score, F.col("_prior"), strength)
@@ -106,17 +133,22 @@ def run_query(index: Index, query: str, limit: int | None = 10, scorer: str = "b
 
 def parsed_queries(queries: DataFrame) -> DataFrame:
     """(query_id, plan, terms, open, shape, need, error) of (query_id, text): parsed on the executors. ``open`` is a query that holds for
-    documents with none of its terms; ``shape`` is any or all of ``need`` distinct words, or tree for everything else."""
+    documents with none of its terms; ``shape`` is any or all of ``need`` distinct words, a phrase of ``need`` words, words whose
+    presence a truth table decides, or tree for everything else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tree(p):
             return {"t": p.leaf.terms, "o": p.leaf.offsets} if p.leaf else {"k": p.kind, "c": [tree(c) for c in p.children]}
 
         def shape(p: Plan) -> tuple[str, int]:
+            if p.leaf and len(p.leaf.terms) > 1:
+                return "phrase", len(p.leaf.terms)
             parts = [p] if p.leaf else p.children
             words = {x.leaf.terms[0] for x in parts if x.leaf and len(x.leaf.terms) == 1}
             plain = p.kind in ("leaf", "and", "or") and all(x.leaf and len(x.leaf.terms) == 1 for x in parts)
-            return ("tree" if not plain else "any" if p.kind == "or" else "all"), len(words)
+            if plain:
+                return ("any", 1) if p.kind == "or" else ("all", len(words))
+            return ("tree" if truth_table(p) is None else "table"), len(words)
 
         for batch in batches:
             out = []
@@ -134,40 +166,97 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "text").mapInArrow(run, f"query_id {kind}, plan string, terms array<string>, open boolean, shape string, need int, error string")
 
 
+def truth_table(plan: Plan) -> int | None:
+    """Bit i says whether the plan holds for a document whose terms are those of i's bits, in the order of ``words``; None for a plan
+    with a phrase, or with more words than the bits of a long can decide."""
+    terms = words(plan)
+    if len(terms) > 6 or any(len(leaf.terms) > 1 for leaf in plan.leaves()):
+        return None
+    return sum(plan.holds(lambda leaf, i=i: i >> terms.index(leaf.terms[0]) & 1) << i for i in range(1 << len(terms)))
+
+
+def words(plan: Plan) -> list[str]:
+    """The distinct terms of a plan, in order."""
+    return list(dict.fromkeys(t for leaf in plan.leaves() for t in leaf.terms))
+
+
 #: Contributions in a batch are whole multiples of this, so that their sum has the same bits in any order.
 UNIT = 2.0**-40
 
+#: Pairs of queries and postings that one task sums.
+TASK_PAIRS = 500_000
+
+#: Terms of a log's distinct queries up to which they are broadcast to the postings, in rows; beyond it both meet by term.
+BROADCAST_ROWS = 1_000_000
+
+
+def _numbered(queries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct queries by ``columns``, with a number ``n``, and (query_id, n). A text that a log holds a thousand times is run once."""
+    distinct = cut(queries.select(*columns).distinct().withColumn("n", F.monotonically_increasing_id()))
+    other = distinct.select("n", *(F.col(c).alias(f"_{c}") for c in columns))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+    return distinct, queries.select("query_id", *columns).join(other, same).select("query_id", "n")
 
-def _contributions(index: Index, used: DataFrame, scorer: str) -> DataFrame:
-    """(term, doc_id, w): what each posting of the used terms adds to a score, in UNITs."""
-    rows = index.postings.join(used, "term", "left_semi")
-    found = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    docs = index.docs.select("doc_id", "length", "title_terms", "title_span")
-    title_tf = F.size(F.filter("positions", lambda p: p < F.col("title_span"))) if scorer == "bm25f" else F.lit(0)
-    sized = rows.join(found, "term").join(docs, "doc_id")
-    w = weight(scorer, index, F.col("tf"), F.col("df"), F.col("length"), F.col("title_terms"), title_tf)
-    return sized.select("term", "doc_id", F.round(w / UNIT).cast("long").alias("w"))
+
+@dataclass
+class _Load:
+    """How large a log is: the rows of its terms, and the pairs of queries and postings that it makes, by the dictionary."""
+
+    rows: int
+    pairs: int
+
+    @classmethod
+    def of(cls, wanted: DataFrame) -> _Load:
+        row = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
+        return cls(row.rows, row.pairs)
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= BROADCAST_ROWS
+
+    def partitions(self, spark) -> int:
+        """Of the postings, which are few where the pairs are many: by what is made of them, so adaptive execution must not merge them."""
+        return max(spark.sparkContext.defaultParallelism, -(-self.pairs // TASK_PAIRS))
 
 
-def batch_scores(index: Index, queries: DataFrame, scorer: str = "bm25", within: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of a whole log in one job: each query as a bag of its terms, of ``queries`` (query_id, terms).
+def _met(index: Index, wanted: DataFrame, scorer: str, load: _Load, positions: bool = False) -> DataFrame:
+    """The postings of the terms of ``wanted`` (n, term, df, ...), each with every row that wants its term, and its contribution ``w``
+    in UNITs.
 
-    Queries meet postings by term, and contributions are pre-aggregated where they arise and meet by query and document, so no task
-    holds a query's or a document's whole list, and nothing is broadcast. ``within`` (query_id, doc_id) limits what is scored.
+    Postings move once, by document, before they meet the broadcast log: all that a query holds of a document is then in one task, and
+    the pairs of queries and documents, many times the postings, are summed where they arise. A log too large for that meets the
+    postings by term, where adaptive execution splits hot terms, and the pairs are pre-aggregated before they move.
     """
-    wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    parts = _contributions(index, wanted.select("term").distinct(), scorer)
-    if within is None:
-        met = wanted.join(parts, "term")
-    else:
-        met = within.join(wanted, "query_id").join(parts, ["term", "doc_id"])
-    return met.groupBy("query_id", "doc_id").agg((F.sum(F.col("w") * F.col("times")) * UNIT).alias("score"))
+    used = wanted.select("term", "df").distinct()
+    rows = index.postings.join(F.broadcast(used) if load.small else used, "term")
+    rows = rows.select("term", "doc_id", F.round(_weight(index, scorer) / UNIT).cast("long").alias("w"), *(["positions"] if positions else []))
+    wanted = wanted.drop("df")
+    if not load.small:
+        return rows.join(wanted, "term")
+    return rows.repartition(load.partitions(rows.sparkSession), "doc_id").join(F.broadcast(wanted), "term")
 
 
-def batch_top_k(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25") -> DataFrame:
-    """(query_id, doc_id, score, rank) of each query's k best. The window keeps k rows of a query on each task before they meet."""
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return batch_scores(index, queries, scorer).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+def batch_scores(index: Index, bags: DataFrame, scorer: str = "bm25") -> DataFrame:
+    """(n, doc_id, score) of every document with a term of a bag, for all bags (n, terms) in one job."""
+    wanted = bags.select("n", F.explode("terms").alias("term")).groupBy("n", "term").agg(F.count(F.lit(1)).alias("times"))
+    wanted = cut(wanted.join(index.terms, "term"))
+    pairs = _met(index, wanted, scorer, _Load.of(wanted))
+    return pairs.groupBy("doc_id", "n").agg((F.sum(F.col("w") * F.col("times")) * UNIT).alias("score"))
+
+
+def _ranked(rows: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """(n, doc_id, score, rank) of the k best of each n. The window keeps k rows of a query on each task before they meet."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    window = Window.partitionBy("n").orderBy(F.desc("score"), F.asc("doc_id"))
+    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+
+
+def batch_top_k(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25", digits: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best of each query of (query_id, terms), taken as a bag of its terms; with ``digits``
+    scores are rounded before they are ranked. Queries of the same terms are scored once."""
+    bags = queries.select("query_id", F.sort_array("terms").alias("terms")).filter(F.size("terms") > 0)
+    distinct, asked = _numbered(bags, ["terms"])
+    return asked.join(_ranked(batch_scores(index, distinct, scorer), k, digits), "n").drop("n")
 
 
 def _plan_of(x: dict) -> Plan:
@@ -189,102 +278,128 @@ def cover(plan: Plan, df: dict[str, int]) -> list[str] | None:
 
 
 def _first_without(index: Index, asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id): for each query of ``asked`` (query_id) its first k documents in document order that are not among its
-    ``held`` (query_id, doc_id). They are cut from the gaps between the held ones, so nothing is made of queries times documents."""
-    placed = cut(dense_ranks(index.docs.select("doc_id"), "doc_id", "nth"))
-    window = Window.partitionBy("query_id").orderBy("nth")
-    ends = held.join(placed, "doc_id").select("query_id", "nth").unionByName(asked.crossJoin(placed.agg(F.count(F.lit(1)).alias("nth"))))
-    gaps = ends.select("query_id", "nth", (F.lag("nth", 1, -1).over(window) + 1).alias("start"), (F.row_number().over(window) - 1).alias("taken"))
+    """(n, doc_id): for each query of ``asked`` (n) its first k documents in document order that are not among its ``held``
+    (n, doc_id). They are cut from the gaps between the held ones, so nothing is made of queries times documents."""
+    placed = dense_ranks(index.docs.select("doc_id"), "doc_id", "nth")
+    window = Window.partitionBy("n").orderBy("nth")
+    total = index.docs.agg(F.count(F.lit(1)).alias("nth"))  # one row
+    ends = held.join(placed, "doc_id").select("n", "nth").unionByName(asked.crossJoin(total).select("n", "nth"))
+    gaps = ends.select("n", "nth", (F.lag("nth", 1, -1).over(window) + 1).alias("start"), (F.row_number().over(window) - 1).alias("taken"))
     gaps = gaps.withColumn("left", F.lit(k) - (F.col("start") - F.col("taken"))).filter((F.col("left") > 0) & (F.col("start") < F.col("nth")))
-    free = gaps.select("query_id", F.explode(F.sequence("start", F.least(F.col("nth"), F.col("start") + F.col("left")) - 1)).alias("nth"))
-    return free.join(placed, "nth").select("query_id", "doc_id")
-
+    free = gaps.select("n", F.explode(F.sequence("start", F.least(F.col("nth"), F.col("start") + F.col("left")) - 1)).alias("nth"))
+    return free.join(placed, "nth").select("n", "doc_id")
 
-def batch_match(index: Index, parsed: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id) of every query of ``parsed_queries`` and document that it holds for. Of the documents with none of the terms
-    of an open query, which all match and have score 0, only the first k in document order are given: a ranking of k has no others.
 
-    Only documents with a term of a query's cover are looked at, so a conjunction costs its rarest word's list and not its longest; a
-    query without a cover is looked up by all its terms. Words that must all be there, or any, are only counted; other trees are decided
-    with the positions of their phrases' terms.
-    """
-    asked = parsed.filter(F.col("plan").isNotNull()).select("query_id", "plan", "open", "shape", "need")
-    kind = parsed.schema["query_id"].dataType.simpleString()
-    doc_kind = index.postings.schema["doc_id"].dataType.simpleString()
+def _wanted(asked: DataFrame) -> DataFrame:
+    """(n, term, offset, times, phrased, shape, need, bit, truth) of distinct queries: a row for each distinct term, of a phrase one for
+    each of its places. ``times`` is how often the term counts in the query's score, once over for a term with several rows."""
 
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+        names = ["n", "term", "offset", "times", "phrased", "shape", "need", "bit", "truth"]
         for batch in batches:
-            ids, terms, phrased = [], [], []
-            for q, plan in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                leaves = _plan_of(json.loads(plan)).leaves()
+            out = []
+            for n, plan, terms, shape, need in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                plan = _plan_of(json.loads(plan))
+                leaves, left = plan.leaves(), Counter(terms)
+                rows = zip(leaves[0].terms, leaves[0].offsets, strict=True) if shape == "phrase" else ((t, 0) for t in words(plan))
                 long = {t for leaf in leaves if len(leaf.terms) > 1 for t in leaf.terms}
-                for t in {t for leaf in leaves for t in leaf.terms}:
-                    ids.append(q)
-                    terms.append(t)
-                    phrased.append(t in long)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(phrased, pa.bool_())], names=["query_id", "term", "phrased"])
+                truth = truth_table(plan) if shape == "table" else None
+                if truth is not None and truth >> 63:
+                    truth -= 1 << 64  # the same bits as a signed long
+                out += [(n, t, o, left.pop(t, 0), t in long, shape, need, 1 << i if truth is not None else 0, truth) for i, (t, o) in enumerate(rows)]
+            cols = zip(*out, strict=True) if out else ((),) * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    kind = "n long, term string, offset int, times long, phrased boolean, shape string, need int, bit long, truth long"
+    return asked.select("n", "plan", "terms", "shape", "need").mapInArrow(run, kind)
+
 
-    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _covered(asked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(n, term): the terms of each tree's cover, all its terms where it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, terms = [], []
-            for q, plan, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, plan, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 df = {x["term"]: x["df"] for x in found}
                 for t in cover(_plan_of(json.loads(plan)), df) or df:  # NOT has no cover
-                    ids.append(q)
+                    ids.append(n)
                     terms.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string())], names=["query_id", "term"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def has(leaf: Leaf, held: dict) -> bool:
-            if any(t not in held for t in leaf.terms):
-                return False
-            if len(leaf.terms) == 1:
-                return True
-            starts = set(held[leaf.terms[0]])
-            for t, o in zip(leaf.terms[1:], leaf.offsets[1:], strict=True):
-                starts &= {p - o for p in held[t]}
-            return bool(starts)
-
-        plans: dict[str, Plan] = {}
-        for batch in batches:
-            keep = []
-            for plan, held in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if plan not in plans:
-                    if len(plans) > 10_000:
-                        plans.clear()
-                    plans[plan] = _plan_of(json.loads(plan))
-                found = {x["term"]: x["positions"] for x in held}
-                keep.append(plans[plan].holds(lambda leaf, found=found: has(leaf, found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["query_id", "doc_id"]).filter(pa.array(keep, pa.bool_()))
-
-    wanted = cut(asked.select("query_id", "plan").mapInArrow(needed, f"query_id {kind}, term string, phrased boolean"))
-    used = wanted.select("term").distinct()
-    rows = index.postings.join(used, "term", "left_semi")
-    known = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sized = wanted.join(known, "term", "left").groupBy("query_id").agg(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
-    first = asked.join(sized, "query_id").select("query_id", "plan", "found").mapInArrow(covers, f"query_id {kind}, term string")
-    met = first.join(rows.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
-    candidates = cut(met.join(asked.select("query_id", "open", "shape", "need"), "query_id"))  # three kinds of trees are decided from it
-    sure = (F.col("shape") == "any") | (F.col("shape") == "all") & (F.col("need") == 1)
-    easy = candidates.filter(sure).select("query_id", "doc_id")
-    rest = candidates.filter(~sure).join(wanted, "query_id")
-    counted = rest.filter(F.col("shape") == "all").join(rows.select("term", "doc_id"), ["term", "doc_id"]).groupBy("query_id", "doc_id", "need").agg(F.count(F.lit(1)).alias("_n"))
-    full = counted.filter(F.col("_n") == F.col("need")).select("query_id", "doc_id")
-    held = rest.filter(F.col("shape") == "tree").join(rows.select("term", "doc_id", "positions"), ["term", "doc_id"])
-    met = held.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("term", F.when(F.col("phrased"), F.col("positions")).alias("positions"))).alias("held"))
-    decided = met.join(asked.select("query_id", "plan"), "query_id").select("query_id", "doc_id", "plan", "held").mapInArrow(decide, f"query_id {kind}, doc_id {doc_kind}")
-    found = easy.unionByName(full).unionByName(decided)
-    unbound = asked.filter("open").select("query_id")
-    if unbound.isEmpty():
-        return found
-    return found.unionByName(_first_without(index, unbound, candidates.filter("open").select("query_id", "doc_id"), k))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string())], names=["n", "term"])
+
+    sized = wanted.groupBy("n").agg(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
+    return asked.join(sized, "n").select("n", "plan", "found").mapInArrow(run, "n long, term string")
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (n, doc_id, s, plan, held) that their plan holds for."""
+
+    def has(leaf: Leaf, held: dict) -> bool:
+        if any(t not in held for t in leaf.terms):
+            return False
+        if len(leaf.terms) == 1:
+            return True
+        starts = set(held[leaf.terms[0]])
+        for t, o in zip(leaf.terms[1:], leaf.offsets[1:], strict=True):
+            starts &= {p - o for p in held[t]}
+        return bool(starts)
+
+    plans: dict[str, Plan] = {}
+    for batch in batches:
+        keep = []
+        for plan, held in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if plan not in plans:
+                if len(plans) > 10_000:
+                    plans.clear()
+                plans[plan] = _plan_of(json.loads(plan))
+            found = {x["term"]: x["positions"] for x in held}
+            keep.append(plans[plan].holds(lambda leaf, found=found: has(leaf, found)))
+        yield batch.select(["n", "doc_id", "s"]).filter(pa.array(keep, pa.bool_()))
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25") -> DataFrame:
-    """(query_id, doc_id, score, rank): run_query for a whole log of (query_id, text), but for broken queries."""
-    parsed = cut(parsed_queries(queries))
-    found = cut(batch_match(index, parsed, k))
-    scores = batch_scores(index, parsed.filter(F.col("plan").isNotNull()), scorer, within=found)
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    rows = found.join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
-    return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    """(query_id, doc_id, score, rank): run_query for a whole log of (query_id, text), but for broken queries and such as constrain
+    nothing. Queries that hold for documents with none of their terms are answered too: those documents have score 0, so only the first
+    k in document order can be among a query's best.
+
+    Each distinct query is decided and scored once, in one aggregation of its pairs with the documents: words that must all be there, or
+    any, are counted, and a truth table decides other trees of few words. A phrase is the intersection of its words' shifted positions.
+    Only trees with phrases inside, or of many words, are decided in Python, for documents with a term of the tree's cover.
+    """
+    parsed = cut(parsed_queries(queries).filter(F.col("plan").isNotNull()))
+    asked, whose = _numbered(parsed.withColumn("terms", F.sort_array("terms")), ["plan", "terms", "open", "shape", "need"])
+    wanted = cut(_wanted(asked).join(index.terms, "term", "left"))
+    load = _Load.of(wanted)
+    known = wanted.filter(F.col("df").isNotNull())
+    score = F.sum(F.col("w") * F.col("times")).alias("s")
+
+    plain = known.filter(F.col("shape").isin("any", "all", "table")).select("n", "term", "times", "need", "bit", "truth", "df")
+    counted = _met(index, plain, scorer, load).groupBy("doc_id", "n").agg(score, F.count(F.lit(1)).alias("_c"), F.max("need").alias("_need"), F.sum("bit").cast("int").alias("_held"), F.max("truth").alias("_truth"))
+    holds = F.when(F.col("_truth").isNull(), F.col("_c") >= F.col("_need")).otherwise(F.expr("shiftright(_truth, _held) & 1") == 1)
+    found = counted.filter(holds).select("n", "doc_id", "s")
+
+    phrases = known.filter(F.col("shape") == "phrase").select("n", "term", "offset", "times", "need", "df")
+    starts = F.transform("positions", lambda p: p - F.col("offset"))
+    lists = _met(index, phrases, scorer, load, True).withColumn("_starts", starts)
+    lists = lists.groupBy("doc_id", "n").agg(score, F.collect_list("_starts").alias("_lists"), F.max("need").alias("_need")).filter(F.size("_lists") == F.col("_need"))
+    common = F.aggregate("_lists", F.element_at("_lists", 1), lambda a, x: F.array_intersect(a, x))
+    found = found.unionByName(lists.filter(F.size(common) > 0).select("n", "doc_id", "s"))
+
+    trees = wanted.filter(F.col("shape") == "tree")
+    if not trees.isEmpty():
+        covers = _covered(asked, trees).withColumn("_cover", F.lit(True))
+        rows = cut(trees.join(covers, ["n", "term"], "left").filter(F.col("df").isNotNull()).select("n", "term", "times", "phrased", F.coalesce("_cover", F.lit(False)).alias("cover"), "df"))
+        held = F.collect_list(F.struct("term", F.when(F.col("phrased"), F.col("positions")).alias("positions"))).alias("held")
+        met = _met(index, rows, scorer, load, True).groupBy("doc_id", "n").agg(score, F.max("cover").alias("_cover"), held).filter("_cover").drop("_cover")
+        plans = asked.select("n", "plan")
+        doc_kind = index.postings.schema["doc_id"].dataType.simpleString()
+        given = met.join(F.broadcast(plans) if load.small else plans, "n").select("n", "doc_id", "s", "plan", "held")
+        found = found.unionByName(given.mapInArrow(_decide, f"n long, doc_id {doc_kind}, s long"))
+    unbound = asked.filter("open").select("n")
+    if not unbound.isEmpty():
+        terms = known.join(unbound, "n", "left_semi").select("n", "term")
+        touched = index.postings.select("term", "doc_id").join(F.broadcast(terms) if load.small else terms, "term").select("n", "doc_id").distinct()
+        found = found.unionByName(_first_without(index, unbound, touched, k).withColumn("s", F.lit(0).cast("long")))
+    best = _ranked(found.select("n", "doc_id", (F.col("s") * UNIT).alias("score")), k, None)
+    return whose.join(best, "n").drop("n")

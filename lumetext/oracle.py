@@ -111,13 +111,13 @@ def tfidf(where: str) -> str:
 
 def pagerank(edges: str, rounds: int, damping: float = 0.85) -> str:
     """CTEs e_ (src, dst), v_ (page), r0_ .. rN_ (page, score)."""
-    out = f"""e_ AS (SELECT DISTINCT src, dst FROM ({edges}) WHERE src IS NOT NULL AND dst IS NOT NULL),
-    v_ AS (SELECT src AS page FROM e_ UNION SELECT dst FROM e_),
+    out = f"""e_ AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({edges}) WHERE src IS NOT NULL AND dst IS NOT NULL),
+    v_ AS MATERIALIZED (SELECT src AS page FROM e_ UNION SELECT dst FROM e_),
     o_ AS (SELECT src, count(*) AS deg FROM e_ GROUP BY src),
     r0_ AS (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM v_) AS score FROM v_)"""
     for i in range(rounds):
         out += f""",
     i{i}_ AS (SELECT coalesce(sum(score), 0) AS idle FROM r{i}_ WHERE page NOT IN (SELECT src FROM o_)),
     g{i}_ AS (SELECT e.dst AS page, sum(r.score / o.deg) AS got FROM e_ e JOIN o_ o ON o.src = e.src JOIN r{i}_ r ON r.page = e.src GROUP BY e.dst),
-    r{i + 1}_ AS (SELECT v.page, (1 - {damping})::DOUBLE / (SELECT count(*) FROM v_) + {damping}::DOUBLE * (coalesce(got, 0) + idle / (SELECT count(*) FROM v_)) AS score FROM v_ v LEFT JOIN g{i}_ g ON g.page = v.page, i{i}_)"""
+    r{i + 1}_ AS MATERIALIZED (SELECT v.page, (1 - {damping})::DOUBLE / (SELECT count(*) FROM v_) + {damping}::DOUBLE * (coalesce(got, 0) + idle / (SELECT count(*) FROM v_)) AS score FROM v_ v LEFT JOIN g{i}_ g ON g.page = v.page, i{i}_)"""
     return out

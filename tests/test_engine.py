@@ -109,7 +109,7 @@ def test_counts_positions_and_streams(spark, index):
 def test_stored_index_equals_built(spark, index, tmp_path):
     docs = spark.createDataFrame(DOCS, "doc_id string, title string, body string")
     stored = store_index(docs, str(tmp_path / "i"))
-    for name in ("docs", "postings"):
+    for name in ("docs", "postings", "terms"):
         a, b = getattr(index, name), getattr(stored, name)
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
     again = index.save(str(tmp_path / "j"))
@@ -140,8 +140,8 @@ def test_merge_equals_full_build(spark, index):
 
 def test_violations(spark, index):
     assert violations(index).count() == 0
-    bad = spark.createDataFrame([("boat", "a", 3, [3, 2]), ("x", "zz", 1, [0]), ("x", "zz", 1, [-1])], index.postings.schema)
-    assert {r.rule for r in violations(Index(index.docs, index.postings.unionByName(bad))).collect()} == {"frequency", "ascent", "repeated", "unknown", "length"}
+    bad = spark.createDataFrame([("boat", "a", 3, 0, 9, 9, [3, 2]), ("x", "zz", 1, 0, 1, 0, [0]), ("x", "zz", 1, 0, 1, 0, [-1])], index.postings.schema)
+    assert {r.rule for r in violations(Index(index.docs, index.postings.unionByName(bad), None, index.terms)).collect()} == {"frequency", "ascent", "repeated", "unknown", "length", "numbers", "dictionary"}
 
 
 def test_sizes_and_ranks(spark, index):
@@ -150,8 +150,30 @@ def test_sizes_and_ranks(spark, index):
     assert rows["plain", "postings"] == 24 * n and rows["varbyte", "postings"] == 3 * n  # every number here fits one byte
     assert rows["plain", "documents"] == 8 + 5 * 33 and rows["plain", "header"] == 73
     assert rows["varbyte", "dictionary"] == sum(len(t) + 2 for t in terms) == rows["plain", "dictionary"] - 14 * len(terms)
-    ranks = dense_ranks(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), "k", "nth").collect()
-    assert all(r.k == r.nth for r in ranks) and len(ranks) == 1000
+
+
+@pytest.mark.parametrize("adaptive, most", [("true", "64m"), ("true", "256k"), ("false", "64m")])
+def test_dense_ranks_of_wide_rows(spark, adaptive, most):
+    """Each row once, with its own rank, however adaptive execution cuts the partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, (adaptive, most, "16")):
+            spark.conf.set(k, v)
+        wide = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 12).alias("text"))
+        rows = dense_ranks(wide, "k", "nth").select("k", "nth", F.length("text").alias("n")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.k for r in rows) == list(range(20_000)) and all(r.k == r.nth and r.n == 768 for r in rows)
+
+
+def test_gaps_go_on_over_ranges(spark, index, monkeypatch):
+    from lumetext.operators import index as module
+
+    key = lambda: sorted(map(tuple, index_sizes(index).collect()))
+    want = key()
+    monkeypatch.setattr(module, "GAP_RANGE", 2)
+    assert key() == want
 
 
 def test_empty_corpus(spark):
@@ -247,10 +269,10 @@ def test_first_documents_without(spark):
     rng = random.Random(4)
     docs = spark.range(200).selectExpr("id * 3 AS doc_id")
     held = {q: set(rng.sample(range(0, 600, 3), n)) for q, n in enumerate((0, 1, 50, 195, 199, 200))} | {6: set(range(0, 300, 3))}
-    rows = spark.createDataFrame([(q, d) for q, x in held.items() for d in x], "query_id int, doc_id long")
-    found = ranking._first_without(SimpleNamespace(docs=docs), spark.createDataFrame([(q,) for q in held], "query_id int"), rows, 7).collect()
+    rows = spark.createDataFrame([(q, d) for q, x in held.items() for d in x], "n int, doc_id long")
+    found = ranking._first_without(SimpleNamespace(docs=docs), spark.createDataFrame([(q,) for q in held], "n int"), rows, 7).collect()
     for q, x in held.items():
-        assert sorted(r.doc_id for r in found if r.query_id == q) == [d for d in range(0, 600, 3) if d not in x][:7]
+        assert sorted(r.doc_id for r in found if r.n == q) == [d for d in range(0, 600, 3) if d not in x][:7]
 
 
 def test_covers():
