@@ -9,12 +9,11 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut  # noqa: F401  (its modules take it from here)
+
 #: A term is a longest run of letters and numbers. The class equals the categories L and N of Python's Unicode tables.
 TERM = re.compile(r"[^\W_]+")
 
-#: The same for the JVM.
-TERM_SQL = r"[\p{L}\p{N}]+"
-
 #: Share of the total weight from which a key counts as hot: at most HOT keys can reach it, whatever the input.
 HOT = 1000
 
@@ -23,17 +22,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` stored in the shared folder that the cluster names in spark.checkpoint.dir, so that lost executors cost no recomputation.
-
-    A folder of its own is made only where the session names none (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumetext-"))
-    return df.checkpoint()
-
-
 def host_of(url: Column) -> Column:
     """Host of an address in lower case, without scheme, user and port; null for a null address, '' where there is none."""
     rest = F.regexp_replace(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
@@ -67,8 +55,9 @@ def one_per(df: DataFrame, key: str, latest: str | None = None, broadcast_keys:
         best = some.groupBy(key).agg(F.max(F.struct(*order)).alias("_row"))
         return best.select(key, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
-    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key)
-    found = repeated.limit(broadcast_keys + 1).count()
+    # Found once and stored: the number decides the way, the keys are what is broadcast.
+    repeated = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key))
+    found = repeated.count()
     if not found:
         return rows.select(key, *rest)
     if found > broadcast_keys:

@@ -1,7 +1,8 @@
 """Problem 9: a mixture in which each source has its target share of the tokens, as nearly as its repetitions allow.
 
 Method: capped water-filling. Sources that can't reach their share at their most repetitions are clamped there, their excess weight
-goes to the others in proportion, until no further source is clamped; whole repetitions and a seeded sample make up each source.
+goes to the others in proportion, until no further source is clamped; whole repetitions and a last, broken one in seeded order make up
+each source.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -18,6 +19,9 @@ from .tokens import TOKENIZERS, token_counts
 #: Sources of a mixture at most: the bound of what is broadcast. More targets than this are an error.
 MOST_SOURCES = 100_000
 
+#: Ranges of the seeded order of a source's records: its broken repetition ends in one of them, whose records alone are lined up.
+RANGES = 1 << 16
+
 
 def water_fill(share: list[float], cap: list[float], total: float) -> list[float]:
     """Amounts of at most ``cap`` whose sum is ``total`` (or all caps, if they fall short), as proportional to ``share`` as can be."""
@@ -52,13 +56,13 @@ def _plan(total_tokens: int | None):
         t = t.assign(available_tokens=have, planned_tokens=amount, max_repeats=most.astype("int32"))
         t["epochs"] = [a / h if h else 0.0 for a, h in zip(amount, have, strict=True)]
         t["planned_share"] = t["planned_tokens"] / total if total else 0.0
-        yield t[["source", "target_share", "max_repeats", "available_tokens", "planned_tokens", "epochs"]]
+        yield t[["source", "target_share", "max_repeats", "available_tokens", "planned_tokens", "planned_share", "epochs"]]
 
     return run
 
 
 def mixing_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, available_tokens, planned_tokens, epochs) for each target.
+    """(source, target_share, max_repeats, available_tokens, planned_tokens, planned_share, epochs) for each target.
 
     ``sizes`` has (source, n_tokens). A source without tokens gets 0 and its weight goes to the others; a null max_repeats means
     1, a null or non-positive share 0, a null source in the targets is left out, and of repeated targets the largest counts. The
@@ -68,36 +72,58 @@ def mixing_plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     own = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t"))
     bounded = own.limit(MOST_SOURCES + 1).select("source", F.assert_true(F.count(F.lit(1)).over(_all()) <= MOST_SOURCES).alias("ok"), "t.*")
     sides = bounded.filter(F.col("ok").isNull()).drop("ok").join(tokens, "source", "left")
-    return sides.coalesce(1).mapInPandas(_plan(total_tokens), "source string, target_share double, max_repeats int, available_tokens long, planned_tokens double, epochs double")
+    return sides.coalesce(1).mapInPandas(_plan(total_tokens), "source string, target_share double, max_repeats int, available_tokens long, planned_tokens double, planned_share double, epochs double")
 
 
 def _all():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0))
 
 
+def broken_repetition(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(_k, _s, n_tokens) of the records in the last, broken repetition of each source: those that come first in seeded order, as long as
+    a record brings the source's tokens nearer to what the plan leaves after the whole repetitions.
+
+    The tokens of each of RANGES ranges of the order are summed, the range in which the target falls is found from the sums, ranges
+    before it are taken whole, and the records of that one range are lined up: a RANGES-th of a source in one task.
+    """
+    placed = rows.withColumn("_range", F.shiftrightunsigned("_h", 48).cast("int"))
+    sums = placed.groupBy("_s", "_range").agg(F.sum("n_tokens").alias("_t"))
+    upto = sums.withColumn("_upto", F.sum("_t").over(Window.partitionBy("_s").orderBy("_range")))
+    left = plan.select(F.col("source").alias("_s"), (F.col("planned_tokens") - F.floor("epochs") * F.col("available_tokens")).alias("_left"))
+    # The first range that reaches the target, and the tokens before it; none where all ranges stay below.
+    reached = upto.join(F.broadcast(left), "_s").filter((F.col("_left") > 0) & (F.col("_upto") >= F.col("_left")))
+    ends = reached.groupBy("_s").agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_t")).alias("_before"), "_left")).alias("_end"))
+    bounded = placed.join(F.broadcast(ends), "_s")
+    whole = bounded.filter(F.col("_range") < F.col("_end._range")).select("_k", "_s", "n_tokens")
+    line = Window.partitionBy("_s").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = bounded.filter(F.col("_range") == F.col("_end._range")).withColumn("_upto", F.col("_end._before") + F.sum("n_tokens").over(line))
+    near = last.filter(F.col("_upto") - F.col("n_tokens") / 2 <= F.col("_end._left")).select("_k", "_s", "n_tokens")
+    return whole.unionByName(near)
+
+
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42, total_tokens: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """The mixture (key, source, n_tokens, copy from 1) and its shares (source, target_share, max_repeats, available_tokens,
-    planned_tokens, mixture_tokens, reached_share).
+    planned_tokens, planned_share, mixture_tokens, reached_share).
 
-    A source that is taken e times gives every record floor(e) times and once more those whose seeded hash lies under e's
-    fraction; floor(e) + 1 is never over max_repeats, as the plan is not. Records without a source, of one not listed, or without
-    a token are not mixed in. A record's hash hangs on the seed, its key and its text, so neither order nor partitions matter.
+    A source that is taken e times gives every record floor(e) times, and the records that come first in seeded order once more, up to
+    its planned tokens: it misses them by half of its last record at most. No record comes over max_repeats times, as the plan does
+    not. Records without a source, of one not listed, or without a token are not mixed in. A record's place in the order hangs on the
+    seed, its key and its text, so neither the rows' order nor partitions matter.
 
     Texts are read and counted once: the counts are stored (cut), and only they are used afterwards. The plan is broadcast; its
-    rows are the targets' sources, of which more than MOST_SOURCES are an error. No row moves, so no source is hot.
+    rows are the targets' sources, of which more than MOST_SOURCES are an error. No row moves but for the sums of ranges and the one
+    range in which a source ends, so no source is hot.
     """
     own = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_h"), F.col(text).alias("_t"))
     sizes = cut(token_counts(own.filter(F.col("_s").isNotNull()), ["_k", "_s", "_h"], "_t", folder=folder))
     plan = cut(mixing_plan(sizes.select(F.col("_s").alias("source"), "n_tokens"), targets, total_tokens))
-    rows = sizes.filter(F.col("n_tokens") > 0).join(F.broadcast(plan.select(F.col("source").alias("_s"), "epochs")), "_s")
-    chance = (F.shiftrightunsigned("_h", 11)).cast("double") / float(1 << 53)
-    copies = (F.floor("epochs") + (chance < F.col("epochs") - F.floor("epochs")).cast("int")).cast("int")
-    taken = rows.withColumn("_n", copies).filter(F.col("_n") > 0)
-    mixed = taken.select(F.col("_k").alias(key), F.col("_s").alias(source), "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    got = taken.groupBy(F.col("_s").alias("source")).agg(F.sum(F.col("n_tokens") * F.col("_n")).alias("mixture_tokens"))
+    rows = sizes.filter(F.col("n_tokens") > 0)
+    times = rows.join(F.broadcast(plan.select(F.col("source").alias("_s"), F.floor("epochs").cast("int").alias("_n"))), "_s").filter(F.col("_n") > 0)
+    whole = times.select("_k", "_s", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    epochs = F.broadcast(plan.select(F.col("source").alias("_s"), (F.floor("epochs") + 1).cast("int").alias("copy")))
+    mixed = cut(whole.unionByName(broken_repetition(rows, plan).join(epochs, "_s").select("_k", "_s", "n_tokens", "copy")))
+    got = mixed.groupBy(F.col("_s").alias("source")).agg(F.sum("n_tokens").alias("mixture_tokens"))
     full = plan.join(got, "source", "left").fillna(0, ["mixture_tokens"])
     share = F.col("mixture_tokens") / F.sum("mixture_tokens").over(_all())
-    shares = full.select("source", "target_share", "max_repeats", "available_tokens", "planned_tokens", "mixture_tokens", F.coalesce(share, F.lit(0.0)).alias("reached_share"))
-    return mixed, shares
+    shares = full.select("source", "target_share", "max_repeats", "available_tokens", "planned_tokens", "planned_share", "mixture_tokens", F.coalesce(share, F.lit(0.0)).alias("reached_share"))
+    return mixed.select(F.col("_k").alias(key), F.col("_s").alias(source), "n_tokens", "copy"), shares

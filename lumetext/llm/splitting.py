@@ -114,8 +114,7 @@ class Splitter:
     def cuts(before: np.ndarray, cost: np.ndarray, most: int, overlap: int) -> list[int]:
         """The boundaries at which the pieces end, by dynamic programming; nothing if no sequence keeps within the limit."""
         last = len(before) - 1
-        begin = before - overlap
-        begin[0] = 0
+        begin = np.maximum(before - overlap, 0)  # ascends, as before does
         pieces = max(1, -(-(int(before[last]) - overlap) // max(1, most - overlap)))
         even = (int(before[last]) + (pieces - 1) * overlap) / pieces
         best = np.full(last + 1, np.inf)

@@ -14,20 +14,23 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM, TERM_SQL, one_per, scratch
+from .common import TERM, cut, one_per, scratch
 
 #: Terms that a task counts in memory before it hands its counts on.
 HELD_TERMS = 200_000
 
-#: Bytes of counts that one DuckDB aggregation takes; larger parts are split by further hash bits.
-PART_BYTES = 64 << 20
+#: Bytes of counts that one DuckDB aggregation takes, about what a core's own cache holds; larger parts are split by further hash bits.
+PART_BYTES = 256 << 10
 
 #: Parts of one split, and splits at most: below the last, DuckDB itself spills.
 FAN, DEPTH = 16, 4
 
+#: The term under which the records with any term are counted; no text holds it.
+RECORDS = ""
+
 _COUNTS = pa.schema([("radix", pa.int64()), ("term", pa.string()), ("occurrences", pa.int64()), ("documents", pa.int64())])
 
 
@@ -49,10 +52,11 @@ def _tokenizer():
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    words = TERM.findall(text.lower())
+                if text and (words := TERM.findall(text.lower())):
                     often.update(words)
                     inside.update(set(words))
+                    often[RECORDS] += 1
+                    inside[RECORDS] += 1
                     if len(often) >= HELD_TERMS:
                         yield from out()
         if often:
@@ -124,6 +128,15 @@ def _reduce(part_bytes: int):
     return run
 
 
+def _counted(docs: DataFrame, key: str, text: str, latest: str | None, part_bytes: int) -> DataFrame:
+    """term_counts with the row of RECORDS."""
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *([F.col(latest).alias("_at")] if latest else []))
+    texts = one_per(rows.filter(F.col("_t").isNotNull()), "_k", "_at" if latest else None).select("_t")
+    partial = texts.mapInArrow(_tokenizer(), "radix long, term string, occurrences long, documents long")
+    # Spark's partitioner hashes the radix again, so the bits below it stay free for the splits on disk.
+    return partial.repartition("radix").mapInArrow(_reduce(part_bytes), "term string, occurrences long, documents long")
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "body", latest: str | None = "imported_at", part_bytes: int = PART_BYTES) -> DataFrame:
     """(term, occurrences, documents) for every term of the text of all distinct records.
 
@@ -132,25 +145,17 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "body", latest
 
     No key is hot: a term that every record holds arrives once from each task.
     """
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), *([F.col(latest).alias("_at")] if latest else []))
-    texts = one_per(rows.filter(F.col("_t").isNotNull()), "_k", "_at" if latest else None).select("_t")
-    partial = texts.mapInArrow(_tokenizer(), "radix long, term string, occurrences long, documents long")
-    # Spark's partitioner hashes the radix again, so the bits below it stay free for the splits on disk.
-    return partial.repartition("radix").mapInArrow(_reduce(part_bytes), "term string, occurrences long, documents long")
-
-
-def records_with_terms(docs: DataFrame, key: str = "doc_id", text: str = "body") -> Column:
-    """Number of distinct keys whose text holds a term, as a scalar subquery."""
-    held = docs.filter(F.col(key).isNotNull() & F.col(text).rlike(TERM_SQL))
-    return held.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return _counted(docs, key, text, latest, part_bytes).filter(F.col("term") != RECORDS)
 
 
-def term_bands(docs: DataFrame, rare_below: int = 3, common_percent: int = 15, key: str = "doc_id", text: str = "body", latest: str | None = "imported_at") -> DataFrame:
+def term_bands(docs: DataFrame, rare_below: int = 3, common_percent: int = 15, key: str = "doc_id", text: str = "body", latest: str | None = "imported_at", part_bytes: int = PART_BYTES) -> DataFrame:
     """term_counts with ``band``: ``rare`` for fewer than ``rare_below`` records, ``common`` for more than ``common_percent`` of
-    every 100 records that hold any term, else ``useful``. Rare wins where a small table makes both true."""
-    n = records_with_terms(docs, key, text)
+    every 100 records that hold any term, else ``useful``. Rare wins where a small table makes both true. The counts are stored, as
+    their total is one of them: the texts are read once."""
+    counts = cut(_counted(docs, key, text, latest, part_bytes))
+    n = counts.filter(F.col("term") == RECORDS).agg(F.coalesce(F.max("documents"), F.lit(0)).alias("n")).scalar()
     band = F.when(F.col("documents") < rare_below, "rare").when(F.col("documents") * 100 > F.lit(common_percent) * n, "common").otherwise("useful")
-    return term_counts(docs, key, text, latest).withColumn("band", band)
+    return counts.filter(F.col("term") != RECORDS).withColumn("band", band)
 
 
 def refreshed_completions(completions: DataFrame, docs: DataFrame) -> DataFrame:

@@ -236,18 +236,19 @@ def test_dynamic_programme_is_optimal():
     import numpy as np
 
     rng = random.Random(9)
-    for _ in range(60):
+    for _ in range(400):
         n = rng.randint(3, 9)
         before = np.concatenate(([0], np.cumsum([rng.randint(1, 9) for _ in range(n)])))
         cost = np.array([0.0, *[rng.choice([0, 0.3, 1, 4, 10]) for _ in range(n - 1)], 0.0])
-        most, overlap = rng.randint(10, 16), rng.randint(0, 3)
+        most = rng.randint(10, 16)
+        overlap = rng.randint(0, most // 2)
 
         def price(ends, before=before, cost=cost, most=most, overlap=overlap, n=n):
             pieces = max(1, -(-(int(before[n]) - overlap) // max(1, most - overlap)))
             even = (int(before[n]) + (pieces - 1) * overlap) / pieces
             total, start = 0.0, 0
             for j in ends:
-                size = before[j] - (before[start] - overlap if start else 0)
+                size = before[j] - max(before[start] - overlap, 0)
                 if size > most:
                     return np.inf
                 total += splitting.UNEVEN * ((size - even) / most) ** 2 + (cost[j] + 0.01 if j != n else 0)
@@ -257,3 +258,29 @@ def test_dynamic_programme_is_optimal():
         best = min(price((*c, n)) for k in range(n) for c in itertools.combinations(range(1, n), k))
         found = splitting.Splitter.cuts(before, cost, most, overlap)
         assert price(found) == pytest.approx(best) if found else best == np.inf
+
+
+def test_dynamic_programme_is_optimal_over_many_boundaries():
+    """Against the plain recursion over all pairs of boundaries."""
+    import numpy as np
+
+    rng = random.Random(19)
+    for _ in range(300):
+        n = rng.randint(20, 25)
+        before = np.concatenate(([0], np.cumsum([rng.randint(1, 9) for _ in range(n)])))
+        cost = np.array([0.0, *[rng.choice([0, 0.3, 1, 4, 10, 60]) for _ in range(n - 1)], 0.0])
+        most = rng.randint(10, 40)
+        overlap = rng.randint(0, most // 2)
+        pieces = max(1, -(-(int(before[n]) - overlap) // max(1, most - overlap)))
+        even = (int(before[n]) + (pieces - 1) * overlap) / pieces
+
+        def piece(i, j, before=before, cost=cost, most=most, overlap=overlap, even=even, n=n):
+            size = before[j] - max(before[i] - overlap, 0)
+            return splitting.UNEVEN * ((size - even) / most) ** 2 + (cost[j] + 0.01 if j != n else 0) if size <= most else np.inf
+
+        best = [0.0] + [np.inf] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + piece(i, j) for i in range(j))
+        found = splitting.Splitter.cuts(before, cost, most, overlap)
+        total = sum(piece(i, j) for i, j in zip([0, *found], found))
+        assert total == pytest.approx(best[n]) if found else best[n] == np.inf
