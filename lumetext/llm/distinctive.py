@@ -3,6 +3,9 @@
 Method: parsimonious language model. Expectation-maximisation parts each record's term mass into what the background model (the
 term's share of all records) explains and what is the record's own; the converged probabilities rank its terms. The background
 probabilities of the few hundred hottest terms, which most rows belong to, are broadcast; those of all others are joined.
+
+The model's order is not that of the weight (1 + ln tf) * ln(N / df), which is a fixed result of its own: ``top_term`` by weight leaves
+the expectation-maximisation out and chooses by the formula over the same stored records and background counts.
 """
 
 from __future__ import annotations
@@ -20,35 +23,20 @@ from ..storage import spread
 from .common import HOT, TERM, cut, one_per
 
 
-#: Terms that a task counts in memory before it hands its counts on.
-HELD_TERMS = 200_000
-
-
-def _terms(title: str | None, body: str | None) -> Counter:
-    return Counter(TERM.findall(f"{title or ''}\n{body or ''}".lower()))
-
-
-def _background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df, cf) of one task's records, handed on whenever many terms are held; the row of the empty term counts the records."""
-    df: Counter = Counter()
-    cf: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        cols = [pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[t] for t in df], pa.int64())]
-        df.clear()
-        cf.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["term", "df", "cf"])
-
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_k, terms, tfs) of each record that has a term."""
     for batch in batches:
-        for title, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            counts = _terms(title, body)
+        where, terms, tfs, ends = [], [], [], [0]
+        for i, (title, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            counts = Counter(TERM.findall(f"{title or ''}\n{body or ''}".lower()))
             if counts:
-                cf.update(counts)
-                df.update(counts.keys())
-                df[""] += 1
-        if len(df) > HELD_TERMS:
-            yield out()
-    yield out()
+                where.append(i)
+                terms.extend(counts)
+                tfs.extend(counts.values())
+                ends.append(len(terms))
+        ends = pa.array(ends, pa.int32())
+        lists = (pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32())))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), *lists], names=["_k", "terms", "tfs"])
 
 
 def _pairs(hot: dict[str, int]):
@@ -58,9 +46,9 @@ def _pairs(hot: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             join, where, tfs, packed, ends = [], [], [], [], [0]
-            for i, (title, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for i, (terms, counts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 before = len(packed)
-                for term, n in _terms(title, body).items():
+                for term, n in zip(terms, counts, strict=True):
                     if term in hot:
                         packed.append(hot[term] << 32 | n)
                     else:
@@ -138,7 +126,7 @@ def whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _rank(mix: float, top: str | None, n: int, mass: int, hot: list[tuple[str, int, int]]):
+def _rank(mix: float, top: bool, n: int, mass: int, hot: list[tuple[str, int, int]]):
     names = pa.array([t for t, _, _ in hot], pa.string())
     hot_df, hot_cf = (np.array([h[i] for h in hot], float) for i in (1, 2))
 
@@ -162,11 +150,10 @@ def _rank(mix: float, top: str | None, n: int, mass: int, hot: list[tuple[str, i
             weight = (1 + np.log(tf)) * np.log(n / df)
             out = {"_k": key.take(pa.array(record)), "term": term, "tf": pa.array(tf.astype("int32")), "documents": pa.array(df.astype("int64")), "probability": pa.array(p), "weight": pa.array(weight)}
             if top:
-                value = p if top == "probability" else weight
                 most = np.full(len(key), -np.inf)
-                np.maximum.at(most, record, value)
+                np.maximum.at(most, record, p)
                 best: dict[int, tuple[bytes, int]] = {}
-                for i in np.flatnonzero(value == most[record]):
+                for i in np.flatnonzero(p == most[record]):
                     mine = (term[int(i)].as_py().encode("utf-8", "surrogatepass"), int(i))
                     r = int(record[i])
                     if r not in best or mine < best[r]:
@@ -178,36 +165,54 @@ def _rank(mix: float, top: str | None, n: int, mass: int, hot: list[tuple[str, i
     return run
 
 
-def term_weights(docs: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body", latest: str | None = "imported_at", mix: float = 0.1, top: str | None = None) -> DataFrame:
+class _Collection:
+    """The records' terms, tokenized once and stored, and the background counted over all of them."""
+
+    def __init__(self, docs: DataFrame, key: str, title: str, body: str, latest: str | None) -> None:
+        rows = docs.select(F.col(key).alias("_k"), F.col(title).alias("_title"), F.col(body).alias("_body"), *([F.col(latest).alias("_at")] if latest else []))
+        texts = one_per(spread(rows), "_k", "_at" if latest else None).select("_k", "_title", "_body")
+        self.kind = rows.schema["_k"].dataType.simpleString()
+        self.records = cut(texts.mapInArrow(_tokenize, f"_k {self.kind}, terms array<string>, tfs array<int>"))
+        self.pairs = self.records.select("_k", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("term", "tf"))
+        self.background = cut(self.pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+        sums = self.background.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("cf"), F.lit(0)).alias("mass")).first()
+        self.n, self.mass = self.records.count(), sums.mass
+        # A term in a HOT-th of all pairs: HOT of them at most.
+        self.hot = self.background.filter(F.col("df") * HOT >= sums.pairs)
+
+
+def _modelled(c: _Collection, mix: float, top: bool) -> DataFrame:
+    hot = sorted((r.term, r.df, r.cf) for r in c.hot.collect())
+    loose = c.records.mapInArrow(_pairs({term: i for i, (term, _, _) in enumerate(hot)}), f"join string, _k {c.kind}, tf int, hot array<long>")
+    joined = loose.join(c.background.withColumnRenamed("term", "join"), "join", "left")
+    sorted_pairs = joined.select("_k", F.col("join").alias("term"), "tf", "df", "cf", "hot").repartition("_k").sortWithinPartitions("_k")
+    return sorted_pairs.mapInArrow(_rank(mix, top, c.n, c.mass, hot), f"_k {c.kind}, term string, tf int, documents long, probability double, weight double")
+
+
+def term_weights(docs: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body", latest: str | None = "imported_at", mix: float = 0.1) -> DataFrame:
     """(key, term, tf, documents, probability, weight) for every term of every record's title and body.
 
     ``probability`` is the term's converged share of the record's own term mass (``mix`` of a record's text is taken to be its
     own): near 0 for what the whole collection says, large for what this record says. ``weight`` is (1 + ln tf) * ln(N / df) on
     the same joined rows, N the number of records with any term. A null title or body counts as empty, rows of one key count
     once (of different ones the latest), a null key and a record without a term give no row, nor does an empty table.
-    With ``top`` (weight or probability) only the record's first term by it comes out, see top_term.
     """
-    rows = docs.select(F.col(key).alias("_k"), F.col(title).alias("_title"), F.col(body).alias("_body"), *([F.col(latest).alias("_at")] if latest else []))
-    texts = one_per(spread(rows), "_k", "_at" if latest else None).select("_k", "_title", "_body")
-    kind = rows.schema["_k"].dataType.simpleString()
-    known = cut(texts.mapInArrow(_background, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
-    sums = known.agg(F.sum(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.sum(F.when(F.col("term") != "", F.col("df"))).alias("pairs"), F.sum("cf").alias("mass")).first()
-    n, pairs, mass = (x or 0 for x in sums)
-    # A term in a HOT-th of all pairs: HOT of them at most.
-    hot = sorted((r.term, r.df, r.cf) for r in known.filter((F.col("term") != "") & (F.col("df") * HOT >= pairs)).collect())
-    numbers = {term: i for i, (term, _, _) in enumerate(hot)}
-    loose = texts.mapInArrow(_pairs(numbers), f"join string, _k {kind}, tf int, hot array<long>")
-    # A term is one row of the background, so its side is even; hashing it spares sorting all pairs.
-    joined = loose.join(known.withColumnRenamed("term", "join").hint("shuffle_hash"), "join", "left")
-    sorted_pairs = joined.select("_k", F.col("join").alias("term"), "tf", "df", "cf", "hot").repartition("_k").sortWithinPartitions("_k")
-    ranked = sorted_pairs.mapInArrow(_rank(mix, top, n, mass, hot), f"_k {kind}, term string, tf int, documents long, probability double, weight double")
-    return ranked.withColumnRenamed("_k", key)
+    return _modelled(_Collection(docs, key, title, body, latest), mix, False).withColumnRenamed("_k", key)
 
 
-def top_term(docs: DataFrame, by: str = "weight", **args) -> DataFrame:
-    """The one term of highest ``by`` (weight or probability) of each record, ties to the smallest term by bytes.
+def top_term(docs: DataFrame, by: str = "weight", key: str = "doc_id", title: str = "title", body: str = "body", latest: str | None = "imported_at", mix: float = 0.1) -> DataFrame:
+    """(key, term, ``by``): the one term of highest ``by`` (weight or probability) of each record, ties to the smallest term by bytes.
 
-    The parsimonious ranking cannot give the order of the formula, which the exact choice by ``weight`` follows. The choice is
-    made where a record's ranked terms lie together, so it costs no shuffle.
+    By probability the model's ranked terms of a record lie together, so the choice costs no shuffle. By weight a record's hot terms are
+    weighed where it lies and only the best of them moves; its other terms meet their background by term, and the best of each task
+    moves on to the record.
     """
-    return term_weights(docs, top=by, **args).select(args.get("key", "doc_id"), "term", by)
+    c = _Collection(docs, key, title, body, latest)
+    if by == "probability":
+        return _modelled(c, mix, True).select(F.col("_k").alias(key), "term", by)
+    first = F.min(F.struct((-(1 + F.log("tf")) * F.log(F.lit(float(c.n)) / F.col("df"))).alias("minus"), "term")).alias("best")
+    hot = F.broadcast(c.hot.select("term", "df"))
+    common = c.pairs.join(hot, "term").groupBy("_k").agg(first)
+    rest = c.pairs.join(hot, "term", "left_anti").join(c.background.select("term", "df"), "term").groupBy("_k").agg(first)
+    best = common.unionByName(rest).groupBy("_k").agg(F.min("best").alias("best"))
+    return best.select(F.col("_k").alias(key), F.col("best.term").alias("term"), (-F.col("best.minus")).alias(by))

@@ -13,11 +13,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import spread
+from .common import scratch
 
 #: Where the vocabulary files lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +33,10 @@ CALL_WORDS, KEPT_WORDS = 15_000, 300_000
 #: Words longer than this are not kept.
 KEPT_CHARS = 40
 
+#: Bytes from which a word is contracted in windows, bytes of such words in one DuckDB call, and rounds of one recursion of theirs:
+#: a recursion keeps the rows of all its rounds, so it is begun anew from its last ones.
+LONG_BYTES, CALL_BYTES, ROUNDS = 192, 400_000, 12
+
 # In each round all occurrences of a word's least rank are contracted, every other one of a run of equal tokens: the same as the
 # leftmost one again and again, as a merge's product only occurs in merges of higher rank.
 _CONTRACT = """
@@ -60,6 +66,44 @@ WHERE it = last GROUP BY wid ORDER BY wid
 """
 
 
+# A long word is contracted at many places in one round: a pair goes if no pair around it has a lower rank, as far as any token reaches.
+# For a pair to be broken before its turn, one of its tokens must first merge with a token beside it; that token is there already or
+# comes of a pair of lower rank, and both together are a token of the vocabulary and a part of the word, so that pair lies within the
+# bytes of the longest token that the word holds anywhere.
+# Of a run of equal pairs every other one from the run's beginning goes, if nothing around any of them is of lower rank.
+_CONTRACT_LONG = """
+WITH RECURSIVE step(it, wid, pos, tok) AS (
+  SELECT 0::INT, wid, pos, tok FROM words
+  UNION ALL
+  SELECT it + 1, wid, pos, CASE WHEN take THEN merged ELSE tok END
+  FROM (
+    SELECT *, coalesce(lag(take) OVER w, false) AS gone
+    FROM (
+      SELECT *, least_here AND coalesce(max(CASE WHEN NOT least_here THEN nth END) OVER (w ROWS UNBOUNDED PRECEDING), 0) < begun AND (nth - begun) % 2 = 0 AS take
+      FROM (
+        SELECT *, rank IS NOT NULL AND rank = best AS least_here, max(CASE WHEN rank IS DISTINCT FROM before THEN nth END) OVER (w ROWS UNBOUNDED PRECEDING) AS begun
+        FROM (
+          SELECT *, lag(rank) OVER w AS before, bool_or(rank IS NOT NULL) OVER (PARTITION BY wid) AS live, min(rank) OVER (w RANGE BETWEEN {reach} PRECEDING AND {twice} FOLLOWING) AS best
+          FROM (
+            SELECT s.*, m.rank, m.merged
+            FROM (SELECT *, lead(tok) OVER w AS following, row_number() OVER w AS nth FROM step WINDOW w AS (PARTITION BY wid ORDER BY pos)) s
+            LEFT JOIN merges m ON m.first = s.tok AND m.second = s.following
+          )
+          WINDOW w AS (PARTITION BY wid ORDER BY pos)
+        )
+        WHERE live AND it < {rounds}
+        WINDOW w AS (PARTITION BY wid ORDER BY pos)
+      )
+      WINDOW w AS (PARTITION BY wid ORDER BY pos)
+    )
+    WINDOW w AS (PARTITION BY wid ORDER BY pos)
+  )
+  WHERE NOT gone
+)
+SELECT wid, pos, tok, last = {rounds} AS open FROM (SELECT *, max(it) OVER (PARTITION BY wid) AS last FROM step) WHERE it = last ORDER BY wid, pos
+"""
+
+
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: printable bytes stand for themselves, the others for the
     letters from U+0100 on, in their order."""
@@ -83,14 +127,67 @@ class WordEncoder:
         vocab = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.bytes = np.array([vocab[c] for c in byte_letters()], "int32")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.spill = scratch("tokens-")  # gone with the worker
+        self.vocab, self.letters, self.parts = vocab, byte_letters(), None
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": self.spill.name})
         self.con.register("given", pa.table({"first": pa.array([vocab[a] for a, _ in merges], pa.int32()), "second": pa.array([vocab[b] for _, b in merges], pa.int32()), "merged": pa.array([vocab[a + b] for a, b in merges], pa.int32()), "rank": pa.array(range(len(merges)), pa.int32())}))
         self.con.sql("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
         self.known: dict[str, list[int]] = {}
 
     def _contract(self, words: list[str]) -> list[list[int]]:
+        """The ids of words, short and long ones apart."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [i for i, b in enumerate(raw) if len(b) <= LONG_BYTES]
+        out: list[list[int]] = [[]] * len(raw)
+        if short:
+            for i, ids in zip(short, self._contract_short([raw[i] for i in short]), strict=True):
+                out[i] = ids
+        part, held, reach = [], 0, 0
+        for far, i in sorted((self._reach(b), i) for i, b in enumerate(raw) if len(b) > LONG_BYTES):
+            if part and (held >= CALL_BYTES or far > reach + 4):
+                self._contract_long(raw, part, reach, out)
+                part, held = [], 0
+            part.append(i)
+            held += len(raw[i])
+            reach = far
+        if part:
+            self._contract_long(raw, part, reach, out)
+        return out
+
+    def _reach(self, word: bytes) -> int:
+        """Bytes of the longest token that a word holds anywhere."""
+        if self.parts is None:
+            import ahocorasick
+
+            self.parts = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for token in self.vocab:
+                self.parts.add_word(token)
+            self.parts.make_automaton()
+        text = "".join(map(self.letters.__getitem__, word))
+        return max(n for _, n in self.parts.iter(text))
+
+    def _contract_long(self, raw: list[bytes], which: list[int], reach: int, out: list[list[int]]) -> None:
+        size = np.array([len(raw[i]) for i in which])
+        wid = np.repeat(np.array(which, "int32"), size)
+        pos = np.arange(len(wid)) - np.repeat(np.cumsum(size) - size, size)
+        rows = pa.table({"wid": wid, "pos": pos.astype("int32"), "tok": self.bytes[np.frombuffer(b"".join(raw[i] for i in which), "uint8")]})
+        query = _CONTRACT_LONG.format(reach=reach, twice=2 * reach, rounds=ROUNDS)
+        while len(rows):
+            self.con.register("words", rows)
+            got = self.con.sql(query).to_arrow_table()
+            self.con.unregister("words")
+            open_ = got.column("open").combine_chunks()
+            done = got.filter(pc.invert(open_))
+            ids, toks = done.column("wid").to_numpy(), done.column("tok").to_numpy()
+            ends = np.flatnonzero(np.diff(ids, append=-1)) + 1
+            begin = 0
+            for end in ends.tolist():
+                out[int(ids[begin])] = toks[begin:end].tolist()
+                begin = end
+            rows = got.filter(open_).select(["wid", "pos", "tok"])
+
+    def _contract_short(self, raw: list[bytes]) -> list[list[int]]:
         size = np.array([len(b) for b in raw])
         wid = np.repeat(np.arange(len(raw), dtype="int32"), size)
         pos = np.arange(len(wid)) - np.repeat(np.cumsum(size) - size, size)

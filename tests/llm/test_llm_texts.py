@@ -169,6 +169,32 @@ def test_ids_equal_the_library(spark):
     assert tokens.token_ids(df.limit(0)).count() == 0
 
 
+def test_long_words_equal_the_library():
+    """Words that are contracted in windows: runs, near runs, letters at random, tokens in a row."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    e = tokens.WordEncoder(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    rng = random.Random(17)
+    made = ["".join(rng.choices(rng.choice(["ab", "aeiou", "=-", "abcdefgh", "thein", "th e".replace(" ", ""), "xyz", "日本語", "é a".replace(" ", "")]), k=rng.randint(60, 900))) for _ in range(150)]
+    made += ["a" * n + "b" * m + "a" * n for n in (100, 151, 333) for m in (1, 2, 3)] + ["".join(rng.choices(["internation", "alization", "the", "river", "a", "aa", "aaaa"], k=200)) for _ in range(20)]
+    for word, ids in zip(made, e._contract(made), strict=True):
+        assert ids == lib.encode(word, add_special_tokens=False).ids, word[:60]
+
+
+def test_unbroken_texts_take_seconds():
+    import time
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    word = "".join(random.Random(18).choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    e = tokens.WordEncoder(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    began = time.process_time()
+    (ids,) = e._contract([word])
+    assert time.process_time() - began < 60 and ids == lib.encode(word, add_special_tokens=False).ids
+
+
 def test_encoder_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
     e = tokens.WordEncoder(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
