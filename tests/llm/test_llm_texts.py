@@ -11,7 +11,7 @@ SPOILT = [
     ("Path of the river", "Pаth оf thе rіvеr"), ("Path of the river", "Ｐａｔｈ　ｏｆ ｔｈｅ ｒｉｖｅｒ"), ("café crème", "café crème"), ("find a ﬁle", "find a file"), ("soft hyphen", "so­ft hy​phen﻿"),
     ("no break", "no break"), ("Ένα", "Ένα"), ("НОС", "HOC"), ("line\nbreak", "line \r\nbreak "),
 ]
-DIFFERENT = [("Path", "path"), ("café", "cafe"), ("end.", "end!"), ("red boat", "red boot"), ("ab", "a b"), ("1l", "ll"), ("O0", "OO")]
+DIFFERENT = [("Path", "path"), ("café", "cafe"), ("end.", "end!"), ("red boat", "red boot"), ("ab", "a b"), ("1l", "ll"), ("O0", "OO"), ("10 m²", "10 m2"), ("①", "1"), ("½", "1⁄2"), ("info", "ınfo"), ("a-b", "a–b"), ("it's", "it’s")]
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,16 @@ def test_forms_are_stable_and_prefer_one_script(forms):
         assert forms.token(token) == forms.token(other)
 
 
+def test_copies_of_two_forms_meet_once_each(spark):
+    """A class of many copies: as many rows as pairs, and no copy of a form with another of the same."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f"a{i}", "T", "same river", at) for i in range(60)] + [(f"b{i}", "T", "same rivеr", at) for i in range(40)] + [(f"c{i}", "T", "ѕame river", at) for i in range(3)]
+    got = [tuple(r) for r in lookalikes.lookalike_pairs(spark.createDataFrame(rows, "doc_id string, title string, body string, imported_at timestamp")).collect()]
+    assert len(got) == len(set(got)) == 60 * 40 + 100 * 3 and all(a < b and a[0] != b[0] for a, b in got)
+
+
 def test_pairs_equal_brute_force(spark):
     import datetime
 
