@@ -1,9 +1,10 @@
 """Problem 5: pages whose text is template residue, filler, an error message or a notice that scripts are required.
 
 Method: the address slug, the title and the body terms are compared, and the site's own lines (host evidence, see wrappers) are set
-aside; what is left is flagged if it is short, says nothing of what the address names, and detectors for placeholders, filler, errors
-and script notices find it. Duplication over a host's addresses and mismatch alone flag nothing: that part of the method is left out.
-This module holds the detectors and the verdict on one page.
+aside. What is left is flagged in two ways, both for short texts that say nothing of what address or title name: if detectors for
+placeholders, filler, errors and script notices find it, or if several addresses of the host say the same, in whatever words and language
+(fewer addresses are enough where their status is a failure). This module holds the detectors and the verdict on one page; wrappers
+counts what addresses say.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LATIN = frozenset(
 )
 
 _FILLER = re.compile(
-    r"\b(?:(?:your|sample|dummy|example|placeholder|some|add|insert|enter|type|write) (?:text|content|copy|title|paragraph|description|heading)s?(?: (?:goes |is |in )?here)?|text goes here|"
+    r"\b(?:(?:your|sample|dummy|example|placeholder|some|add|insert|enter|type|write) (?:text|content|copy|title|paragraph|description|heading|headline|caption|subtitle)s?(?: (?:goes |is |in )?here)?|text goes here|"
     r"blindtext|platzhalter(?:text)?|hier (?:steht|kommt|folgt|können sie)\b.{0,40}\btext|ihr text|(?:votre|saisissez|insérez|ici votre) texte|texte (?:ici|d.exemple|factice)|"
     r"(?:su|tu|aquí va(?: su| el)?|inserte) texto|texto (?:aquí|de (?:ejemplo|prueba|relleno))|lorem ipsum|placeholder paragraph|replace (?:it|this) with your(?: own)?(?: words?| text)?|click here to edit(?: this text)?|edit this text)\b",
     re.I,
@@ -80,6 +81,14 @@ def placeholder_line(line: str) -> bool:
     return len(_WORDS.findall(PLACEHOLDER.sub(" ", line))) <= 7
 
 
+#: One text with a letter in it again and again, and nothing else.
+_COPIES = re.compile(r"^(?=.*[^\W\d_])(\S.{1,80}?\S)(?:\W{0,3}\1)+\W*$")
+
+
+def copies(line: str) -> bool:
+    return len(line) <= 160 and line.find(line[:3], 3) > 0 and bool(_COPIES.match(line))
+
+
 def filler_line(line: str) -> bool:
     """Whether a line is text that only fills space: the Latin filler, a phrase for it, or few words again and again."""
     words = [w.lower() for w in _WORDS.findall(line)]
@@ -109,15 +118,46 @@ HINTS = frozenset(
     "refusé denegado introuvable gefunden existiert verfügbar vorhanden existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists "
     "wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning notice traceback trace matched try maintenance wartungsarbeiten connection displayed loaded "
     "reached available line http internal interno interner interne page seite javascript script scripts noscript skript skripte cookies browser human text texts texto texte content copy title "
-    "paragraph description heading blindtext platzhalter platzhaltertext lorem ipsum words undefined null none nan n nil tbd todo fixme object array ref name value follow soon here placeholder".split()
+    "paragraph description heading headline caption subtitle blindtext platzhalter platzhaltertext lorem ipsum words undefined null none nan n nil tbd todo fixme object array ref name value follow soon here placeholder "
+    "method moved allowed gone exists n'existe proxy your own at 0 went bad too many service under is salido ido algo temporarily temporary".split()
 )
 
 
+_BLANKED = dict.fromkeys(map(ord, ".,;:!?()[]\"«»„“”…。、"), " ")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])")
+
+#: Words of a sentence up to which it can be a message, and the part of a long line's words that messages make up where it is one.
+MESSAGE_WORDS, MESSAGE_PART = 40, 0.8
+
+
+def _any(line: str) -> bool:
+    return placeholder_line(line) or filler_line(line) or bool(_ERROR.search(line)) or bool(_SCRIPT.search(line)) and not _COMMENTS.search(line)
+
+
+def long_message(line: str, total: int) -> bool:
+    """Whether a long line of ``total`` words is sentences that the detectors find, or that go with such, and little else."""
+    other = (1 - MESSAGE_PART) * total
+    sure = False
+    for part in _SENTENCE.split(line):
+        words = part.lower().translate(_BLANKED).split()
+        if len(words) <= MESSAGE_WORDS and (not HINTS.isdisjoint(words) or _MARKED.search(part)) and _any(part):
+            sure = True
+        elif not _AROUND.search(part):
+            other -= len(words)
+            if other < 0:
+                return False
+    return sure
+
+
 def residue_line(line: str, tokens: tuple[str, ...] = ()) -> bool:
     """Whether any detector finds a line. ``tokens`` are its words in lower case, if the caller has them."""
-    if len(line) > 160:  # messages are short; a long line can only be filler
-        words = tokens or line.lower().split()
-        return (len(set(words)) <= 0.5 * len(words) or sum(w in LATIN for w in words) > 0.3 * len(words)) and filler_line(line)
+    if len(line) > 160:
+        words = line.lower().translate(_BLANKED).split()
+        if (len(set(words)) <= 0.5 * len(words) or sum(w in LATIN for w in words) > 0.3 * len(words)) and filler_line(line):
+            return True
+        return (not HINTS.isdisjoint(words) or bool(_MARKED.search(line))) and long_message(line, len(words))
+    if copies(line):
+        return True
     if tokens and len(tokens) > 1 and HINTS.isdisjoint(tokens) and 2 * len(set(tokens)) > len(tokens) and not _MARKED.search(line) and LATIN.isdisjoint(tokens):
         return False
     return placeholder_line(line) or filler_line(line) or error_line(line) or script_line(line)
@@ -131,6 +171,16 @@ def around_line(line: str) -> bool:
 FREE_WORDS = 6
 
 
+#: Words of its own from which a text says something, whatever others say.
+LOW_WORDS = 40
+
+
+def informative(text: str, own: frozenset[str]) -> bool:
+    """Whether a text is long, or says anything of what the address or title names."""
+    words = [w.lower() for w in _WORDS.findall(text)]
+    return len(words) + sum("぀" <= c <= "鿿" for c in text) // 2 > LOW_WORDS or not own.isdisjoint(words)
+
+
 def verdict(residue: list[str], rest: list[str], own: frozenset[str]) -> bool:
     """Whether a page is residue: ``residue`` its lines that the detectors found, ``rest`` those that neither they nor the site's
     wrapper explain, ``own`` the terms of its address and title.

@@ -1,29 +1,41 @@
 """Problem 6: the lines of a page's own body, without what the site puts around and into it.
 
-Method: union-free regular-expression inference. The token streams of one host's pages are aligned one after the other with the
-wrapper found so far: a line that matches exactly stays literal, unequal tokens of a matching line become text slots, lines that
-only some pages have become optional, those that come again repeated. What a host's wrapper explains is no body; wrappers that many
-hosts share also explain lines of hosts with too few pages of their own. Problem 5's verdict on a page uses the same labels.
+Method: union-free regular-expression inference. A host's wrapper is a sequence of line patterns. The lines of each page are aligned
+with it in order: an equal line stays literal, unequal tokens of a matching line become text slots, lines between two matches that only
+some pages have are put in there as optional groups, and a line that comes again or elsewhere makes its pattern a repeated group.
+Wrappers of some pages are aligned with each other in the same way, so no task sees a whole host. A line is the site's if the wrapper
+has it at its place in the page, or anywhere if the group is repeated; wrappers that many hosts share also explain lines of hosts with
+too few pages of their own. Problem 5's verdict on a page uses the same labels.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, cut, host_of
-from .residue import FREE_WORDS, HINTS, PLACEHOLDER, placeholder_line, residue_line, verdict
+from .common import HOT, cut, host_of, skew_safe_join
+from .residue import HINTS, LOW_WORDS, PLACEHOLDER, informative, placeholder_line, residue_line, verdict
 
 #: A text slot, the page's own name and the site's name in a pattern.
 SLOT, OWN, SITE = "\x00", "\x01", "\x02"
 
-#: Pages that are aligned into one partial wrapper. Partial wrappers of a host are then added up, so its size has no bound.
-ALIGNED_PAGES = 64
+#: A text slot that has held the page's own name.
+MIXED = "\x03"
+_OPEN = frozenset((SLOT, MIXED))
+_NAMES = frozenset((OWN, SITE))
+
+#: Pages that are aligned into one wrapper before it is aligned with the others of its host, and the part of its pages that a pattern
+#: takes to stay in it. A line of the final wrapper is on a larger part of the host's pages (SHARE), so it stays in one at least; where
+#: a literal line does not stay it is counted by its hash, and its pages are added again.
+ALIGNED_PAGES, KEPT_SHARE = 64, 1 / 16
+
+#: Lost lines in one row.
+LOST_ROWS = 20_000
 
 #: Pages of a part of a hot host at least.
 PART_PAGES = 512
@@ -55,7 +67,7 @@ _END = ".?!。？！…"
 #: What no wrapper has to show: notices, bylines, dates, advertisements and prompts by their words, for hosts with few pages. Only lines
 #: without the page's own name are looked at.
 _FURNITURE = re.compile(
-    r"\bcookies?\b|©|\(c\) ?\d{4}|\b(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|privacy policy|datenschutz|mentions légales|aviso legal)\b|"
+    r"\bcookies?\b(?=.{0,400}\b(?:accept|agree|consent|continu|polic|settings|akzept|zustimm|einverstanden|verwend|nutz|accepte|utilis|politique|acept|utiliza|usa|política|experience|visit)|.{0,100}$)|©|\(c\) ?\d{4}|\b(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|privacy policy|datenschutz|mentions légales|aviso legal)\b|"
     r"^\W*(?:(?:written |posted )?by|ein beitrag von|von|un article de|par|un texto de|por)(?: [^\W\d_]+){2}(?:,? (?:staff writer|redaktion|pour|para|for)\b.*)?\W*$|"
     r"^\W*(?:published|posted|(?:last )?updated|veröffentlicht|stand|aktualisiert|publié|mis à jour|publicado|actualizado)\b[^.!?]{0,20}\d[^.!?]*(?:\d\W*|ago.*|read|días|jours|tagen)$|"
     r"^\W*(?:ad|advertisement|sponsored(?: content| links?)?|anzeige|werbung|publicité|publicidad|contenu sponsorisé|contenido patrocinado)\W*$|"
@@ -143,14 +155,42 @@ def bare(tokens: tuple[str, ...]) -> tuple[str, ...]:
     return tokens[:-1] if tokens[-1] == "." else tokens
 
 
+def in_order(places: list[float]) -> list[bool]:
+    """For each of a sequence whether it is in a longest ascending part of it."""
+    if all(a < b for a, b in zip(places, places[1:])):
+        return [True] * len(places)
+    tails: list[float] = []
+    last: list[int] = []
+    back: list[int] = []
+    for k, p in enumerate(places):
+        j = bisect_left(tails, p)
+        tails[j:j + 1] = [p]
+        last[j:j + 1] = [k]
+        back.append(last[j - 1] if j else -1)
+    out = [False] * len(places)
+    k = last[-1]
+    while k >= 0:
+        out[k] = True
+        k = back[k]
+    return out
+
+
+def pattern_hash(pattern: tuple[str, ...]) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(_PATTERN.join(pattern).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Wrapper:
-    """An ordered list of line patterns with the number of pages that have each."""
+    """A sequence of line patterns: the number of pages that have each, its place between 0 and 1, and whether it is a repeated group,
+    which comes again on a page or out of order."""
 
     def __init__(self) -> None:
         self.patterns: list[tuple[str, ...]] = []
         self.pages: list[int] = []
-        self.order: list[float] = []
-        self.repeated: list[bool] = []
+        self.place: list[float] = []
+        self.free: list[bool] = []
         self.exact: dict[tuple[str, ...], int] = {}
         self.near: dict[tuple, list[int]] = {}
         self.heads: set[tuple[str, ...]] = set()  # of all patterns, as any can be a long line's
@@ -163,59 +203,92 @@ class Wrapper:
         if i is not None or len(tokens) > SLOTTED or fresh and sentence(tokens):
             return i
         tokens = bare(tokens)
-        for key in ((len(tokens), 0, tokens[0]), (len(tokens), 1, tokens[-1])):
+        for key in _keys(tokens):
             for i in self.near.get(key, ()):
                 merged = unify(self.patterns[i], tokens)
                 if merged is not None:
                     if fresh and merged != self.patterns[i]:
                         self.patterns[i] = merged
+                        self._index(i)
                     if fresh:
                         self.exact[tokens] = i
                     return i
         return None
 
-    def add(self, tokens: tuple[str, ...], after: float, pages: int = 0) -> int:
+    def _index(self, i: int) -> None:
+        """Finds the item by its marks and its first or its last token."""
+        tokens = bare(self.patterns[i])
+        if tokens and len(tokens) <= SLOTTED and not sentence(self.patterns[i]):
+            for key in _keys(tokens):
+                held = self.near.setdefault(key, [])
+                if i not in held:
+                    held.append(i)
+
+    def add(self, tokens: tuple[str, ...], place: float = 0.0, pages: int = 0, free: bool = False) -> int:
         i = len(self.patterns)
         self.patterns.append(tokens if sentence(tokens) else bare(tokens))
         self.pages.append(pages)
-        self.order.append(after + 1e-3)
-        self.repeated.append(False)
+        self.place.append(place)
+        self.free.append(free)
         self.exact[bare(tokens)] = i
         self.heads.add(tokens[:4])
-        if len(tokens) <= SLOTTED and not sentence(tokens):
-            tokens = bare(tokens)
-            for key in ((len(tokens), 0, tokens[0]), (len(tokens), 1, tokens[-1])):
-                held = self.near.setdefault(key, [])
-                if len(held) < 12:
-                    held.append(i)
+        self._index(i)
         return i
 
-    def align(self, lines: Iterable[tuple[str, ...]]) -> None:
-        """Takes in one page: matched items count, new ones are put in behind the last match as optional."""
-        self.total += 1
-        seen: set[int] = set()
-        at = 0.0
+    def align(self, lines: list[tuple[str, ...]], pages: list[int] | None = None, free: list[bool] | None = None, total: int = 1) -> None:
+        """Takes in one page, or the patterns of another wrapper with their numbers of pages.
+
+        Items that were there before are matched in order along a longest ascending chain; what matches outside it, or again, is a
+        repeated group. What matches nothing is put in between its neighbours in the chain.
+        """
+        self.total += total
+        old = len(self.patterns)
+        found = []
         for tokens in lines:
-            if not tokens:
-                continue
             i = self.find(tokens)
-            if i is None:
-                i = self.add(tokens, at)
-            if i in seen:
-                self.repeated[i] = True
-            else:
+            found.append(self.add(tokens) if i is None else i)
+        known = [k for k, i in enumerate(found) if i < old]
+        chain = [k for k, yes in zip(known, in_order([self.place[found[k]] for k in known]), strict=True) if yes]
+        linked = set(chain)
+        seen: set[int] = set()
+        for k, i in enumerate(found):
+            again = i in seen
+            if again or i < old and k not in linked or free is not None and free[k]:
+                self.free[i] = True
+            if not again or pages is not None:
                 seen.add(i)
-                self.pages[i] += 1
-            if self.order[i] < at:
-                self.repeated[i] = True
-            at = self.order[i] if self.order[i] > at else at + 1e-3
+                self.pages[i] += 1 if pages is None else pages[k]
+        if len(self.patterns) > old:
+            before, at = 0.0, 0
+            for k in [*chain, len(found)]:
+                after = self.place[found[k]] if k < len(found) else 1.0
+                new = [i for i in dict.fromkeys(found[at:k]) if i >= old and not self.place[i]]
+                for n, i in enumerate(new, 1):
+                    self.place[i] = before + (after - before) * n / (len(new) + 1)
+                before, at = after, k + 1
+
+    def merge(self, other: Wrapper) -> None:
+        order = sorted(range(len(other.patterns)), key=other.place.__getitem__)
+        self.align([other.patterns[i] for i in order], [other.pages[i] for i in order], [other.free[i] for i in order], other.total)
+        self.pages = [min(n, self.total) for n in self.pages]  # two patterns of the other may have become one
+
+    def kept(self) -> tuple[Wrapper, list[int]]:
+        """The wrapper of the patterns that enough of its pages have, or that have slots, and the hash of each other one, as often as
+        it has pages."""
+        out, lost = Wrapper(), []
+        out.total = self.total
+        for p, at, n, f in zip(self.patterns, self.place, self.pages, self.free, strict=True):
+            if n >= self.total * KEPT_SHARE or n > 1 and not _OPEN.isdisjoint(p):
+                out.add(p, at, n, f)
+            else:
+                lost += [pattern_hash(p)] * n
+        return out, lost
 
-    def items(self) -> Iterator[tuple[tuple[str, ...], int, float, bool]]:
-        """Patterns that more than one page in sixteen has."""
-        least = 1 if self.total < 16 else 2 if self.total < 48 else 3
-        for p, n, o, r in zip(self.patterns, self.pages, self.order, self.repeated, strict=True):
-            if n >= least:
-                yield p, n, o, r
+
+def _keys(tokens: tuple[str, ...]) -> tuple[tuple, tuple]:
+    """Where lines are that could be unified: what is no word must agree in place and kind, and the first or the last token."""
+    marks = tuple([t if not t[0].isalpha() and t not in _OPEN and t not in _NAMES else "" for t in tokens])
+    return (marks, 0, tokens[0]), (marks, 1, tokens[-1])
 
 
 def unify(pattern: tuple[str, ...], tokens: tuple[str, ...]) -> tuple[str, ...] | None:
@@ -223,21 +296,22 @@ def unify(pattern: tuple[str, ...], tokens: tuple[str, ...]) -> tuple[str, ...]
 
     Half the words that stay literal must be there, and one at least; the own name is no literal. Punctuation must agree.
     """
-    same = slots = 0
+    same = slots = marks = 0
     for a, b in zip(pattern, tokens, strict=True):
-        word = b[0].isalpha() or b in (OWN, SITE)
         if a == b:
-            same += b[0].isalpha() or b == SITE
-        elif word and (a == SLOT or a[0].isalpha() or a in (OWN, SITE)):
+            if a[0].isalpha() or a == SITE:
+                same += 1
+            elif a not in _OPEN and a != OWN and not a[0].isalnum():
+                marks += 1
+        elif (b[0].isalpha() or b in _NAMES or b in _OPEN) and (a[0].isalpha() or a in _OPEN or a in _NAMES):
             slots += 1
         else:
             return None
     if not slots:
         return pattern
-    marks = sum(not t[0].isalnum() and t not in (SLOT, OWN, SITE) for t in pattern)
     if same == 0 or slots > same + (2 if marks else 1) or slots > 4:
         return None
-    return tuple(a if a == b else SLOT for a, b in zip(pattern, tokens, strict=True))
+    return tuple([a if a == b else MIXED if OWN in (a, b) or MIXED in (a, b) else SLOT for a, b in zip(pattern, tokens, strict=True)])
 
 
 def page_lines(text: str) -> list[str]:
@@ -268,65 +342,101 @@ def menu_line(line: str) -> bool:
     return len(items) >= 4 and all(0 < len(x.split()) <= 2 and x[0].isalpha() and not any(c.isdigit() for c in x) for x in items)
 
 
+#: Lines of a page from which a rule of thumb takes short ones on end for a list of links.
+LINKS = 3
+
+
 class Labels:
     """The labels of one host's lines, from its wrapper and the shared one."""
 
     def __init__(self, own: Wrapper, shared: Wrapper, tokens: Tokens) -> None:
         self.own, self.shared, self.tokens = own, shared, tokens
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, int | None]] = {}
 
-    def plain(self, line: str, names: frozenset[str], site: frozenset[str]) -> str:
+    def plain(self, line: str, names: frozenset[str], site: frozenset[str]) -> tuple[str, int | None]:
+        """A line's label, wherever it stands, and the item of the host's wrapper that it matches."""
         if len(line) > LONG:
             head = masked(head_of(line), names, site)
             if len(head) == 4 and head not in self.own.heads and head not in self.shared.heads:
-                return "residue" if residue_line(line) else "body"
+                # No pattern begins like it, so none is equal; it is judged by its words alone.
+                return ("residue" if residue_line(line) else "site" if self.notice(line, head) else "body"), None
         t = self.tokens(line)
         if names.isdisjoint(t):
-            label = self.known.get(line)
-            if label is None:
-                label = self.label(line, masked(t, frozenset(), site))
+            found = self.known.get(line)
+            if found is None:
+                found = self.label(line, masked(t, frozenset(), site))
                 if len(line) <= LONG:
-                    self.known[line] = label
-            return label
+                    self.known[line] = found
+            return found
         return self.label(line, masked(t, names, site))
 
-    def label(self, line: str, tokens: tuple[str, ...]) -> str:
+    @staticmethod
+    def notice(line: str, tokens: tuple[str, ...]) -> bool:
+        """Whether a line is a notice, byline or prompt by its words; for hosts whose wrapper does not show it."""
+        if len(line) > 4 * LONG or OWN in tokens:
+            return False
+        first = tokens[0] in _FIRST or (not _ANY.isdisjoint(tokens) if len(line) <= LONG else any(w in line.lower() for w in ("cookie", "©")))
+        return bool(first and _FURNITURE.search(line))
+
+    def label(self, line: str, tokens: tuple[str, ...]) -> tuple[str, int | None]:
         """site for a line of the wrapper, residue for what the detectors find, notice for what is both, else body. A message that
         many of a host's pages have in place of a body is in its wrapper too."""
         if len(tokens) <= 8:
             words = [t for t in tokens if t[0].isalnum() or t == OWN or t == SITE]
             if not words:
-                return "site"
+                return "site", None
             if words.count(OWN) == len(words):
-                return "body"  # a heading that is only the name
-        known = bare(tokens) in self.own.exact or bare(tokens) in self.shared.exact
+                return "body", None  # a heading that is only the name
+        mine = self.own.exact.get(bare(tokens))
+        exact = mine is not None or bare(tokens) in self.shared.exact
         if residue_line(line, tokens):
-            return "notice" if known else "residue"
-        if known:
-            return "site"
-        if self.own.find(tokens, False) is not None or self.shared.find(tokens, False) is not None:
-            return "site"
-        if len(tokens) <= 24 and (self.menu(tokens) or OWN not in tokens and menu_line(line)):
-            return "site"
-        if (tokens[0] in _FIRST or not _ANY.isdisjoint(tokens)) and len(line) <= 2 * LONG and OWN not in tokens and _FURNITURE.search(line):
-            return "site"
-        return "body"
+            return ("notice", mine) if exact else ("residue", None)
+        if exact:
+            return "site", mine
+        mine = self.own.find(tokens, False)
+        if mine is not None or self.shared.find(tokens, False) is not None:
+            return "site", mine
+        return ("site" if self.worded(line, tokens) else "body"), None
+
+    def worded(self, line: str, tokens: tuple[str, ...]) -> bool:
+        """Whether a line that no wrapper has is furniture by its words."""
+        return len(tokens) <= 24 and (self.menu(tokens) or OWN not in tokens and menu_line(line)) or self.notice(line, tokens)
 
     def menu(self, tokens: tuple[str, ...]) -> bool:
         """Whether a line is only words that are lines of menus and side lists alone (and the own name behind them)."""
         words = [t for t in tokens if t[0].isalnum() or t == SITE]
         return len(words) > 1 and all((t,) in self.own.exact or (t,) in self.shared.exact for t in words)
 
-    def residue(self, lines: list[str], names: frozenset[str], site: frozenset[str]) -> bool:
+    def placed(self, lines: list[str], found: list[tuple[str, int | None]], names: frozenset[str], site: frozenset[str]) -> list[str]:
+        """The labels of a page's lines, after its lines are aligned with the wrapper: a line that has an item's words but stands where
+        the item never does, or comes again where the item never did, is not the site's on that account."""
+        labels = [x for x, _ in found]
+        own = [k for k, (x, i) in enumerate(found) if i is not None and not self.own.free[i]]
+        for k, yes in zip(own, in_order([self.own.place[found[k][1]] for k in own]), strict=True):
+            if not yes:
+                tokens = masked(self.tokens(lines[k]), names, site)
+                if self.shared.find(tokens, False) is None and not self.worded(lines[k], tokens):
+                    labels[k] = "residue" if labels[k] == "notice" else "body"
+        return labels
+
+    def listed(self, run: list[int], lines: list[str], site: frozenset[str]) -> bool:
+        """Whether short lines on end are a list of links: wrappers have one of them, or they come behind a line that leads to links."""
+        known = (self.own.exact, self.shared.exact)
+        return any(bare(masked(self.tokens(lines[k]), frozenset(), site)) in w for k in run for w in known)
+
+    def residue(self, lines: list[str], names: frozenset[str], site: frozenset[str]) -> tuple[bool, int | None, int]:
         """The first part of ``page``. A long line of the body is a body, so such lines are looked at first."""
         for line in lines:
-            if len(line) > LONG and self.plain(line, names, site) == "body" and sum(w.isalpha() for w in line.split()) > FREE_WORDS + len(names):
-                return False
-        return self.page(lines, names, site)[0]
-
-    def page(self, lines: list[str], names: frozenset[str], site: frozenset[str]) -> tuple[bool, list[int]]:
-        """Whether the page is residue, and the numbers of its body lines."""
-        labels = [self.plain(line, names, site) if line else "" for line in lines]
+            if len(line) > LONG and self.plain(line, names, site)[0] == "body" and informative(line, names):
+                return False, None, 0
+        bad, _, mark, seen = self.page(lines, names, site)
+        return bad, mark, seen
+
+    def page(self, lines: list[str], names: frozenset[str], site: frozenset[str]) -> tuple[bool, list[int], int | None, int]:
+        """Whether the page is residue, the numbers of its body lines, and for a page that says little, and nothing of what its address
+        and title name, a hash of what it says and the pages of the host that say it in the wrapper (0 if it is not there)."""
+        found = [self.plain(line, names, site) if line else ("", None) for line in lines]
+        labels = self.placed(lines, found, names, site)
         # Three short lines or more on end, none of them with the own name, are a list of links; headings stand alone.
         run: list[int] = []
         for i, line in enumerate([*lines, "." * 99]):
@@ -335,23 +445,31 @@ class Labels:
             if len(line) <= 32 and line.count(" ") < 2 and labels[i] in ("body", "site") and line[-1] not in _END and line[0].isalpha() and names.isdisjoint(self.tokens(line)):
                 run.append(i)
                 continue
-            if len(run) >= 3:
+            if len(run) >= LINKS and self.listed(run, lines, site):
                 for k in run:
                     labels[k] = "site"
             run = []
         residue = [line for line, x in zip(lines, labels, strict=True) if x in ("residue", "notice")]
         rest = [line for line, x in zip(lines, labels, strict=True) if x == "body"]
         if verdict(residue, rest, names):
-            return True, []
-        return False, [i + 1 for i, x in enumerate(labels) if x == "body" or x == "residue" and not placeholder_line(lines[i])]
-
-
-def belongs(pattern: tuple[str, ...], pages: int, of: int) -> bool:
-    """Whether a pattern with so many pages of a host's is in the host's wrapper. With the own name in it only a path or a labelled
-    list is; headings, list items and table rows begin with the name or have no such marks."""
-    if OWN in pattern:
-        return pages >= PAGES and pages >= OWN_SHARE * of and pattern[0] != OWN and not _MARKS.isdisjoint(pattern)
-    return pages >= (SENTENCE_PAGES if pattern[-1] == "." else PAGES) and pages >= SHARE * of and any(t[0].isalpha() for t in pattern)
+            return True, [], None, 0
+        mark, seen = self.message(lines, found, rest, residue, names, site)
+        return False, [i + 1 for i, x in enumerate(labels) if x == "body" or x == "residue" and not placeholder_line(lines[i])], mark, seen
+
+    def message(self, lines: list[str], found: list[tuple[str, int | None]], rest: list[str], residue: list[str], names: frozenset[str], site: frozenset[str]) -> tuple[int | None, int]:
+        """The last two of ``page``: of a page with a rest the rest, of one without the line of the wrapper that the fewest pages have."""
+        if not names:
+            return None, 0
+        if rest or residue:
+            if sum(line.count(" ") for line in rest) > 2 * LOW_WORDS or informative(" ".join(rest), names):
+                return None, 0
+            return pattern_hash(tuple(t for line in [*rest, *residue] for t in (*self.tokens(line), "\n"))), 0
+        long = lambda p: sum(len(t) * (2 if t[0] >= "\u3040" else 1) for t in p if t.isalpha()) >= 16  # noqa: E731  (more than a menu's word)
+        said = [i for line, (x, i) in zip(lines, found, strict=True) if x == "site" and i is not None and long(self.own.patterns[i])]
+        if not said:
+            return None, 0
+        i = min(said, key=lambda i: (self.own.pages[i], self.own.place[i]))
+        return pattern_hash(self.own.patterns[i]), self.own.pages[i]
 
 
 _PATTERN = "\x1f"
@@ -363,77 +481,148 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+_PARTIAL = "host string, salt int, total long, patterns array<string>, pages array<long>, places array<double>, free array<boolean>, lost array<long>"
+
+
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers of pages that come sorted by host, salt and key: one for each ALIGNED_PAGES of a host."""
+    """The wrapper of each (host, salt) of pages that come sorted by both and by key, and the lines that did not stay in one, which
+    need counting wherever a host's pages are in more than one wrapper."""
     tokens = Tokens()
-    wrapper, group, last, site = Wrapper(), None, None, frozenset()
+    block, whole, group, last, site = Wrapper(), Wrapper(), None, None, frozenset()
     names: set = set()
-    held: list[tuple] = []  # own terms and lines of the pages to be aligned
+    lost: list[int] = []
     out: list[tuple] = []
 
-    def close() -> None:
-        # A long line whose beginning no other page here has is on one page alone: it is not taken in.
-        begun = Counter(b for own, lines in held for b in {masked(head_of(line), own, site) for line in lines if len(line) > LONG})
-        least = 1 if len(held) < 16 else 2
-        for own, lines in held:
-            wrapper.align(masked(tokens(line), own, site) for line in lines if len(line) <= LONG or begun[masked(head_of(line), own, site)] >= least)
-        held.clear()
-        if wrapper.total:
-            out.append((group[0], "", wrapper.total))
-            out.extend((group[0], _PATTERN.join(p), n) for p, n, _, _ in wrapper.items())
+    def rows_of(w: Wrapper) -> tuple:
+        return [_PATTERN.join(p) for p in w.patterns], w.pages, w.place, w.free
+
+    def close(end: bool) -> None:
+        """Aligns the block with the wrapper of its group."""
+        nonlocal block, whole
+        if block.total:
+            kept, gone = block.kept()
+            whole.merge(kept)
+            lost.extend(gone)
+        block = Wrapper()
+        if end and group is not None:
+            if whole.total:
+                out.append((group[0], group[1], whole.total, *rows_of(whole), None))
+            if whole.total <= ALIGNED_PAGES and not group[2]:
+                lost.clear()  # all pages of the host are in this one wrapper
+            whole = Wrapper()
+        while len(lost) >= LOST_ROWS or end and lost:
+            out.append((group[0], group[1], None, None, None, None, None, lost[:LOST_ROWS]))
+            del lost[:LOST_ROWS]
 
     def made() -> pa.RecordBatch:
-        host, pattern, pages = zip(*out, strict=True) if out else ((), (), ())
-        batch = pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(pattern, pa.string()), pa.array(pages, pa.int64())], names=["host", "pattern", "pages"])
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+        cols = zip(*out, strict=True) if out else ((),) * len(kinds)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _PARTIAL.split(", ")])
         out.clear()
         return batch
 
-    for host, salt, key, url, title, text in _rows(batches):
-        if (host, salt) != group or len(held) >= ALIGNED_PAGES:
-            close()
-            wrapper, names = Wrapper(), set()
-            if len(out) > 20_000:
+    for host, salt, salts, key, url, title, text in _rows(batches):
+        new = group is None or (host, salt) != group[:2]
+        if new or block.total >= ALIGNED_PAGES:
+            close(new)
+            names = set()
+            if len(out) > 200:
                 yield made()
-            if (host, salt) != group:
-                group, last, site = (host, salt), None, site_terms(host)
+            if new:
+                group, last, site = (host, salt, salts is not None), None, site_terms(host)
         if key == last:
             continue
         last = key
-        # A page that was fetched again would make its body look like furniture; its copies count once in a partial wrapper.
+        # A page that was fetched again would make its body look like furniture; its copies count once in a block.
         name = page_name(url, text)
         if text and name not in names:
             names.add(name)
-            held.append((own_terms(url, title, site), [line for line in page_lines(text) if line]))
+            own = own_terms(url, title, site)
+            block.align([m for line in page_lines(text) if line and (m := masked(tokens(line), own, site))])
+    close(True)
+    yield made()
+
+
+_MERGED = "host string, of long, pattern string, pages long, place double, free boolean, hash long"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper for each host, of the wrappers of its salts, which come sorted by host and salt and are 2 * HOT at most."""
+    out: list[tuple] = []
+    whole, of = Wrapper(), None
+
+    def made() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+        cols = zip(*out, strict=True) if out else ((),) * len(kinds)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _MERGED.split(", ")])
+        out.clear()
+        return batch
+
+    def close() -> None:
+        if of is not None:
+            out.append((of, whole.total, "", whole.total, 0.0, False, None))
+            out.extend((of, whole.total, _PATTERN.join(p), n, at, f, pattern_hash(p) if _OPEN.isdisjoint(p) else None) for p, n, at, f in zip(whole.patterns, whole.pages, whole.place, whole.free, strict=True))
+
+    for host, _, total, patterns, pages, places, free in _rows(batches):
+        if host != of:
+            close()
+            whole, of = Wrapper(), host
+            if len(out) > 20_000:
+                yield made()
+        one = Wrapper()
+        one.total = total
+        for p, n, at, f in zip(patterns, pages, places, free, strict=True):
+            one.add(tuple(p.split(_PATTERN)), at, n, f)
+        whole.merge(one) if whole.total else None
+        whole = whole if whole.total else one
     close()
     yield made()
 
 
-def _label(shared_patterns: list[str], lines_too: bool):
+_SHARED: dict[int, Wrapper] = {}
+
+
+def _shared_wrapper(broadcast) -> Wrapper:
+    """The shared patterns, parsed once in a worker process, which Spark uses for task after task."""
+    key = hash(tuple(broadcast.value))
+    if key not in _SHARED:
+        _SHARED.clear()
+        w = _SHARED[key] = Wrapper()
+        for p in broadcast.value:
+            w.add(tuple(p.split(_PATTERN)), free=True)
+    return _SHARED[key]
+
+
+def _label(shared_patterns, lines_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = Wrapper()
-        for p in shared_patterns:
-            shared.add(tuple(p.split(_PATTERN)), 0)
+        shared = _shared_wrapper(shared_patterns)
         tokens = Tokens()
         group, last, site = None, None, frozenset()
         labels = Labels(Wrapper(), shared, tokens)
         for batch in batches:
-            keys, bad, lines = [], [], []
-            for host, salt, patterns, key, tag, url, title, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, out = [], []
+            for host, salt, patterns, key, tag, url, title, status, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (host, salt) != group:
                     group, last, site = (host, salt), None, site_terms(host)
                     wrapper = Wrapper()
-                    for p in sorted(patterns or ()):
-                        wrapper.add(tuple(p.split(_PATTERN)), 0)
+                    for at, p, n, free in sorted(tuple(x.values()) for x in patterns or ()):
+                        wrapper.add(tuple(p.split(_PATTERN)), at, n, free)
                     labels = Labels(wrapper, shared, tokens)
                 if patterns is not None or key == last:
                     continue
                 last = key
                 names, parts = own_terms(url, title, site), page_lines(text)
-                residue, body = labels.page(parts, names, site) if lines_too else (labels.residue(parts, names, site), None)
+                body = None
+                if lines_too:
+                    bad, body, mark, seen = labels.page(parts, names, site)
+                else:
+                    bad, mark, seen = labels.residue(parts, names, site)
+                where = None if mark is None else pattern_hash((str(page_name(url, text)),))
                 keys.append(key)
-                bad.append(residue)
-                lines.append((tag, body))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("_k").type), pa.array([t for t, _ in lines], pa.int32()), pa.array(bad, pa.bool_()), pa.array([x for _, x in lines], pa.list_(pa.int32()))], names=["_k", "tag", "residue", "lines"])
+                out.append((host, tag, bad, mark, seen, where, bool(status and status >= 400), body))
+            kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+            cols = zip(*out, strict=True) if out else ((),) * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("_k").type), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["_k", "host", "tag", "residue", "mark", "seen", "place", "failed", "lines"])
 
     return run
 
@@ -442,20 +631,29 @@ def _label(shared_patterns: list[str], lines_too: bool):
 MOST_SHARED = 250_000
 
 
-def page_labels(tables: list[DataFrame], key: str = "page_id", url: str = "url", title: str = "title", text: str = "text", lines: bool = True) -> DataFrame:
+#: Addresses that must give the same message before it counts as residue without a detector; half of them failed: the fewer.
+REPEATS, FAILED_REPEATS = 3, 2
+
+#: Part of the pages with a line of the wrapper that must have nothing else, for the line to be a message in place of a body.
+ALONE = 0.8
+
+
+def page_labels(tables: list[DataFrame], key: str = "page_id", url: str = "url", title: str = "title", text: str = "text", status: str = "status", lines: bool = True) -> DataFrame:
     """(key, tag, residue, lines) for each page with a text: the number of its table, whether it is residue (problem 5), and the
     numbers from 1 of its body's lines (problem 6; none if it is residue), or null with ``lines`` off.
 
     Rows of one key count once. Pages whose text is null or empty, or whose key is null, give no row. A page without a url belongs
-    to no host: only what the hosts share is known of it. Titles may be null.
+    to no host: only what the hosts share is known of it. Titles may be null; a table without a status column has none.
 
     Pages are shuffled by host to be aligned and again, together with their host's wrapper, to be labelled. A host with over a
-    HOT-th of all pages is salted into parts of half that size; which hosts those are is broadcast (HOT at most). Partial wrappers
-    are added up by an ordinary aggregation. The driver gets the shared patterns, whose number the thresholds bound.
+    HOT-th of all pages is salted into parts of half that size; which hosts those are is broadcast (HOT at most). The parts' wrappers
+    are aligned with each other. The driver gets the shared patterns, whose number the thresholds bound. The labels are stored: pages
+    that say the same on several addresses of a host are counted over all of them.
     """
     pages = None
     for i, t in enumerate(tables):
-        own = t.select(F.col(key).alias("_k"), F.lit(i).alias("tag"), F.col(url).alias("_url"), F.col(title).alias("_title"), F.col(text).alias("_text"))
+        state = F.col(status).cast("int") if status in t.columns else F.lit(None).cast("int")
+        own = t.select(F.col(key).alias("_k"), F.lit(i).alias("tag"), F.col(url).alias("_url"), F.col(title).alias("_title"), state.alias("_status"), F.col(text).alias("_text"))
         pages = own if pages is None else pages.unionByName(own)
     pages = pages.filter(F.col("_k").isNotNull() & (F.length("_text") > 0)).withColumn("host", F.coalesce(host_of(F.col("_url")), F.lit("")))
 
@@ -464,31 +662,52 @@ def page_labels(tables: list[DataFrame], key: str = "page_id", url: str = "url",
     hot = cut(counts.filter(F.col("n") * HOT >= total).select("host", F.ceil(F.col("n") / F.greatest(total / (2 * HOT), F.lit(PART_PAGES))).cast("int").alias("salts")))
     salted = pages.join(F.broadcast(hot), "host", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_k"), F.col("salts"))).cast("int"))
 
-    spread = salted.select("host", "salt", "_k", "_url", "_title", "_text").repartition("host", "salt").sortWithinPartitions("host", "salt", "_k")
-    partial = spread.mapInArrow(_infer, "host string, pattern string, pages long")
-    items = cut(partial.groupBy("host", "pattern").agg(F.sum("pages").alias("pages")))
+    spread = salted.select("host", "salt", "salts", "_k", "_url", "_title", "_text").repartition("host", "salt").sortWithinPartitions("host", "salt", "_k")
+    partial = cut(spread.mapInArrow(_infer, _PARTIAL))
+    parts = partial.filter(F.col("total").isNotNull()).drop("lost").repartition("host").sortWithinPartitions("host", "salt")
+    lost = partial.select("host", F.explode("lost").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("more"))
+    merged = parts.mapInArrow(_merge, _MERGED).join(lost, ["host", "hash"], "left")
+    items = cut(merged.select("host", "of", "pattern", F.least(F.col("of"), F.col("pages") + F.coalesce("more", F.lit(0))).alias("pages"), "place", "free"))
 
-    sizes = items.filter(F.col("pattern") == "").select("host", F.col("pages").alias("of"))
     sep = _PATTERN
-    own_name = F.col("pattern").contains(OWN)
+    own_name = F.col("pattern").contains(OWN) & ~F.col("pattern").contains(MIXED)
     marked = F.col("pattern").rlike(f"(^|{sep})[:>›»/|：→]({sep}|$)")
     named = own_name & ~F.col("pattern").startswith(OWN) & marked & (F.col("pages") >= OWN_SHARE * F.col("of"))
     least = F.when(F.col("pattern").endswith(f"{sep}."), SENTENCE_PAGES).otherwise(PAGES)
-    plain = ~own_name & (F.col("pages") >= least) & (F.col("pages") >= SHARE * F.col("of")) & F.col("pattern").rlike(f"(^|{sep})\\p{{L}}")
-    wrappers = items.filter((F.col("pattern") != "") & (F.col("pages") >= PAGES) & (F.col("host") != "")).join(sizes, "host").filter(named | plain)
+    plain = ~own_name & (F.col("pages") >= least) & (F.col("pages") >= SHARE * F.col("of")) & F.col("pattern").rlike(f"(^|{sep})\\p{{L}}") & (marked | ~F.col("pattern").contains(MIXED))
+    wrappers = items.filter((F.col("pattern") != "") & (F.col("pages") >= PAGES) & (F.col("host") != "")).filter(named | plain)
 
-    large = sizes.filter((F.col("of") >= LARGE_HOST) & (F.col("host") != "")).count()
+    large = items.filter((F.col("pattern") == "") & (F.col("of") >= LARGE_HOST) & (F.col("host") != "")).count()
     common = wrappers.filter(F.col("of") >= LARGE_HOST).groupBy("pattern").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= max(HOSTS, HOST_SHARE * large))
     shared = sorted(r.pattern for r in common.select("pattern").limit(MOST_SHARED + 1).collect())
     if len(shared) > MOST_SHARED:
         raise ValueError(f"over {MOST_SHARED} shared line patterns")
 
-    own = wrappers.groupBy("host").agg(F.collect_list("pattern").alias("patterns")).join(F.broadcast(hot), "host", "left")
+    kind = "array<struct<place:double,pattern:string,pages:long,free:boolean>>"
+    own = wrappers.groupBy("host").agg(F.collect_list(F.struct("place", "pattern", "pages", "free")).alias("patterns")).join(F.broadcast(hot), "host", "left")
     heads = own.select("host", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"), "patterns")
-    both = salted.select("host", "salt", F.lit(None).cast("array<string>").alias("patterns"), "_k", "tag", "_url", "_title", "_text").unionByName(heads, allowMissingColumns=True)
+    both = salted.select("host", "salt", F.lit(None).cast(kind).alias("patterns"), "_k", "tag", "_url", "_title", "_status", "_text").unionByName(heads, allowMissingColumns=True)
     sorted_rows = both.repartition("host", "salt").sortWithinPartitions("host", "salt", F.asc_nulls_first("_k"))
-    kind = pages.schema["_k"].dataType.simpleString()
-    return sorted_rows.mapInArrow(_label(shared, lines), f"_k {kind}, tag int, residue boolean, lines array<int>").withColumnRenamed("_k", key)
+    key_kind = pages.schema["_k"].dataType.simpleString()
+    made = f"_k {key_kind}, host string, tag int, residue boolean, mark long, seen long, place long, failed boolean, lines array<int>"
+    labels = cut(sorted_rows.mapInArrow(_label(salted.sparkSession.sparkContext.broadcast(shared), lines), made))
+
+    # What several addresses say, each of them nothing of what it names, is a message in place of a body. A line of a host's wrapper is
+    # counted over the host, anything else over all hosts. A message that a third of all pages give is summed before it moves.
+    scope = F.when(F.col("seen") > 0, F.col("host")).otherwise("").alias("scope")
+    asked = labels.filter(F.col("mark").isNotNull() & (F.col("host") != "")).withColumn("scope", scope)
+    said = asked.groupBy("scope", "mark", "host", "place").agg(F.max("failed").alias("failed"), F.max("seen").alias("seen"))
+    said = said.groupBy("scope", "mark").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("f"), F.max("seen").alias("seen"))
+    needed = F.when(2 * F.col("f") >= F.col("n"), FAILED_REPEATS).otherwise(REPEATS)
+    often = said.filter((F.col("n") >= needed) & (F.col("n") >= ALONE * F.col("seen"))).select("scope", "mark", F.col("n").alias("_often"))
+    marked_pages = asked.agg(F.count(F.lit(1)).alias("t")).scalar()
+    left = skew_safe_join(asked, often.withColumnRenamed("_often", "_weight"), ["scope", "mark"], "_weight", marked_pages)
+    bad = left.select("_k", F.lit(True).alias("_often"))
+    found = asked.join(bad, "_k", "left").withColumn("residue", F.coalesce("_often", F.lit(False)))
+    done = labels.filter(F.col("mark").isNull() | (F.col("host") == "")).select("_k", "tag", "residue", "lines")
+    empty = F.array().cast("array<int>")
+    judged = found.select("_k", "tag", "residue", F.when(F.col("residue") & F.col("lines").isNotNull(), empty).otherwise(F.col("lines")).alias("lines"))
+    return done.unionByName(judged).withColumnRenamed("_k", key)
 
 
 def residue_pages(pages: DataFrame, **columns) -> DataFrame:

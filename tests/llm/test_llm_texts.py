@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lumetext.llm import lookalikes, residue, splitting, tokens, wrappers
+from lumetext.llm import common, lookalikes, residue, splitting, tokens, wrappers
 
 # Problem 4
 
@@ -120,15 +120,125 @@ def test_wrappers_leave_the_bodies(spark):
     assert wrappers.body_lines([df.limit(0)]).count() == 0 and wrappers.residue_pages(df.limit(0)).count() == 0
 
 
+def items_of(w):
+    return {p: (n, f) for p, n, f in zip(w.patterns, w.pages, w.free)}
+
+
 def test_union_free_alignment():
     w = wrappers.Wrapper()
     pages = [["menu", "by ann smith", "one body", "footer", "footer"], ["menu", "ad", "by bob jones", "other words here", "footer"], ["menu", "by cid moss", "footer"]]
     for lines in pages:
-        w.align(wrappers.tokens_of(x) for x in lines)
-    items = {p: (n, r) for p, n, _, r in w.items()}
+        w.align([wrappers.tokens_of(x) for x in lines])
+    items = items_of(w)
     assert items[("menu",)] == (3, False) and items[("footer",)] == (3, True) and items[("ad",)] == (1, False)
-    assert items[("by", wrappers.SLOT, wrappers.SLOT)][0] == 3
+    assert items[("by", wrappers.SLOT, wrappers.SLOT)] == (3, False)
+    place = dict(zip(w.patterns, w.place))
+    # What only some pages have lies between its neighbours.
+    assert place[("menu",)] < place[("ad",)] < place[("by", wrappers.SLOT, wrappers.SLOT)] < place[("one", "body")] < place[("footer",)]
     assert wrappers.unify(("a", "b"), ("c", "d")) is None and wrappers.unify(("tags", ":", "x"), ("tags", ":", "y")) == ("tags", ":", wrappers.SLOT)
+    assert wrappers.unify(("what", "is", wrappers.OWN), ("what", "is", "it")) == ("what", "is", wrappers.MIXED)
+
+
+def test_order_decides_where_a_group_is_not_repeated():
+    assert wrappers.in_order([1, 5, 2, 3, 3, 9]) == [True, False, True, False, True, True] and wrappers.in_order([]) == []
+    w = wrappers.Wrapper()
+    for _ in range(4):
+        w.align([wrappers.tokens_of(x) for x in ("the top menu here", "about this fine place", "bottom line of all pages")])
+    labels = wrappers.Labels(w, wrappers.Wrapper(), wrappers.Tokens())
+    none = frozenset()
+    assert labels.page(["the top menu here", "Some words of the body stand here.", "about this fine place", "bottom line of all pages"], none, none)[1] == [2]
+    # The first line stands where the wrapper never has it, and the last one comes again where it never did.
+    assert labels.page(["bottom line of all pages", "the top menu here", "about this fine place", "bottom line of all pages"], none, none)[1] == [1]
+    for _ in range(2):
+        w.align([wrappers.tokens_of(x) for x in ("bottom line of all pages", "the top menu here", "bottom line of all pages")])
+    assert wrappers.Labels(w, wrappers.Wrapper(), wrappers.Tokens()).page(["bottom line of all pages", "the top menu here", "about this fine place", "bottom line of all pages"], none, none)[1] == []
+
+
+def test_wrappers_of_parts_are_aligned():
+    """Parts merge by alignment: slots of one unite with those of the other, order stays, pages add up."""
+    a, b = wrappers.Wrapper(), wrappers.Wrapper()
+    for x in ("ann lee", "bob lee"):
+        a.align([wrappers.tokens_of(y) for y in ("menu", f"by {x} today", "footer")])
+    for x in ("cid moss", "dan moss"):
+        b.align([wrappers.tokens_of(y) for y in ("menu", "extra", f"by {x} today", "footer")])
+    a.merge(b)
+    items = items_of(a)
+    assert items[("by", wrappers.SLOT, wrappers.SLOT, "today")] == (4, False) and items[("menu",)] == (4, False) and items[("extra",)] == (2, False) and a.total == 4
+    place = dict(zip(a.patterns, a.place))
+    assert place[("menu",)] < place[("extra",)] < place[("by", wrappers.SLOT, wrappers.SLOT, "today")] < place[("footer",)]
+
+
+def test_lost_lines_are_counted(spark, monkeypatch):
+    """A line on an eighth of a host's pages, unevenly spread over its blocks, has all its pages."""
+    monkeypatch.setattr(wrappers, "ALIGNED_PAGES", 32)
+    got = []
+    monkeypatch.setattr(wrappers, "cut", lambda df: got.append(df) or common.cut(df))
+    rows = [(i, f"http://h.example/p/{i}", None, f"Menu\nOwn words number {i} and {'abcdefgh'[i % 8] * 3} {'xyz'[i % 3] * 4} here\n" + ("A rare notice of this site\n" if i < 28 or i in (40, 80, 110, 111) else "") + "Foot") for i in range(128)]
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, text string")
+    wrappers.page_labels([df]).count()
+    items = next(x for x in got if "free" in x.columns and "place" in x.columns and "pattern" in x.columns)
+    counts = {r.pattern.replace(wrappers._PATTERN, " "): r.pages for r in items.collect()}
+    assert counts["a rare notice of this site"] == 32 and counts["menu"] == 128 and counts["foot"] == 128
+
+
+MESSAGES = {
+    "it": "Pagina non trovata. La risorsa richiesta non esiste piu su questo sito.", "pt": "Página não encontrada. O endereço pedido já não existe neste servidor.",
+    "ru": "Страница не найдена. Запрошенный адрес больше не существует на этом сервере.", "zh": "您访问的页面不存在或已被删除",
+}
+
+
+@pytest.mark.parametrize("lang", list(MESSAGES))
+@pytest.mark.parametrize("share", [8, 3])
+def test_messages_in_languages_that_no_list_holds(spark, lang, share):
+    """Addresses that all say the same, and nothing of what they name, in few or many of a host's pages."""
+    rows, body, bad = site_pages()
+    made, said = [], set()
+    for i, u, t, x in rows:
+        lines = x.split("\r\n")
+        if i not in bad and i % share == 1:
+            said.add(i)
+            lines = [*lines[:4], MESSAGES[lang], *lines[7:]]
+        made.append((i, u, t, "\n".join(lines), 200))
+    df = spark.createDataFrame(made, "page_id long, url string, title string, text string, status int")
+    assert {r.page_id for r in wrappers.residue_pages(df).collect()} == bad | said
+    lines = {(r.page_id, r.line_no) for r in wrappers.body_lines([df]).collect()}
+    assert lines == {x for x in body if x[0] not in said}
+
+
+def test_status_needs_fewer_addresses_and_copies_of_a_page_count_once(spark):
+    rows, body, bad = site_pages()
+    text = MESSAGES["it"]
+    extra = [(200 + i, f"http://few.example/a/kadelin{'abcdef'[i]}or", None, text if i < 2 else " ".join(f"{w} near {w[::-1]}{'abcdef'[i]}" for w in "harbour hill lantern river glacier bridge archive schema signal ledger meadow station kettle".split()) + ".", 404 if i < 2 else 200) for i in range(6)]
+    again = [(300 + i, "http://copy.example/a/molverin", None, MESSAGES["pt"], 200) for i in range(5)]
+    df = spark.createDataFrame([(*r, 200) for r in rows] + extra + again, "page_id long, url string, title string, text string, status int")
+    assert {r.page_id for r in wrappers.residue_pages(df).collect()} == bad | {200, 201}
+
+
+@pytest.mark.parametrize(
+    "line, yes",
+    [
+        ("The requested URL /some/long/path/to/a/document/index.html was not found on this server. If you entered the address yourself, please check the spelling and go back to the previous page or to the home page.", True),
+        ("This application needs JavaScript to work and your browser has it turned off at the moment, so that nothing can be shown here; please enable JavaScript in the settings of the browser and load the page again.", True),
+        ("The archive of the harbour was kept in a stone house by the river. In 1904 an error in the ledger was found by the clerk. The document was then moved to the town hall, where the visitors of the museum can see it today.", False),
+        ("TBDTBDTBD", True), ("Example headlineExample headline", True), ("Example headline", True), ("bonbon bar", False), ("The river ran by the river house.", False),
+    ],
+)
+def test_long_messages_and_copies(line, yes):
+    assert residue.residue_line(line) is yes and residue.residue_line(line, wrappers.tokens_of(line)) is yes
+
+
+def test_every_hint_lets_its_pattern_through():
+    """Messages of each kind get past the cheap look at their words."""
+    for line in ("405 Method Not Allowed", "at foo.bar(main.js:12)", "Replace this with your own", "Ce document n'existe plus", "504 Gateway Time-out", "Something went wrong", "Algo ha salido mal", "429 Too Many Requests", "Unauthorised", "Try again later", "Site under maintenance", "410 Gone"):
+        assert residue.residue_line(line, wrappers.tokens_of(line)), line
+
+
+def test_own_lists_stay_and_notices_of_any_length_go(spark):
+    """An ingredients list that no other page has is body; a notice on a host of few pages is none, however long."""
+    cookie = "This site uses cookies and similar means to make your visit as pleasant as it can be and to see which of its pages are read; by going on to the next page you accept that these are stored on your machine until you remove them, as our policy says."
+    text = "\n".join(["Bread of the hills", "Flour", "Water", "Salt", "Knead all of it well and leave the dough alone for a night.", cookie])
+    df = spark.createDataFrame([(1, "http://cook.example/bread-hills", "Bread", text)], "page_id long, url string, title string, text string")
+    assert len(cookie) > wrappers.LONG and {r.line_no for r in wrappers.body_lines([df]).collect()} == {1, 2, 3, 4, 5}
 
 
 def test_long_notices_are_furniture_whatever_begins_them(spark):
