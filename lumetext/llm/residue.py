@@ -112,15 +112,26 @@ def script_line(line: str) -> bool:
 
 _MARKED = re.compile(r"[{\[<%@_$#]")
 
-#: Words of which a line must have one for a detector to look at it: each alternative of the patterns above needs one of them.
+#: Words of which a line must have one for a detector to look at it: each alternative of the patterns above needs one of them, or one of
+#: each of the two sets below, or is seen by ``hinted`` itself.
 HINTS = frozenset(
-    "error errors fehler erreur exception found forbidden unauthorized unauthorised denied permission gateway unavailable timeout time-out out reset refused requests request verweigert "
-    "refusé denegado introuvable gefunden existiert verfügbar vorhanden existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists "
-    "wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning notice traceback trace matched try maintenance wartungsarbeiten connection displayed loaded "
-    "reached available line http internal interno interner interne page seite javascript script scripts noscript skript skripte cookies browser human text texts texto texte content copy title "
-    "paragraph description heading headline caption subtitle blindtext platzhalter platzhaltertext lorem ipsum words undefined null none nan n nil tbd todo fixme object array ref name value follow soon here placeholder "
-    "method moved allowed gone exists n'existe proxy your own at 0 went bad too many service under is salido ido algo temporarily temporary".split()
+    "error errors fehler erreur exception found forbidden unauthorized unauthorised denied permission gateway unavailable timeout timed reset refused requests request verweigert "
+    "refusé denegado introuvable gefunden existiert verfügbar vorhanden existe n'existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists "
+    "doesn't wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning traceback trace matched try maintenance wartungsarbeiten displayed loaded "
+    "reached available interno interner interne allowed javascript script scripts noscript skript skripte browser human blindtext platzhalter platzhaltertext lorem ipsum placeholder "
+    "undefined null none nan nil tbd todo fixme follow soon replace cookies".split()
 )
+_FILLED = frozenset("text texts texto texte content contents copy title titles paragraph paragraphs description descriptions heading headings headline headlines caption captions subtitle subtitles words".split())
+_FILLING = frozenset("your sample dummy example some add insert enter type write edit goes here su tu aquí inserte votre saisissez insérez ici ihr hier exemple d'exemple factice ejemplo prueba relleno own".split())
+
+
+def hinted(line: str, words) -> bool:
+    """Whether a detector can find anything in a line of these words."""
+    if not HINTS.isdisjoint(words):
+        return True
+    if not _FILLED.isdisjoint(words) and not _FILLING.isdisjoint(words):
+        return True
+    return line[:1].isdigit() or line[:3] in ("at ", "At ") and "(" in line or bool(_MARKED.search(line))
 
 
 _BLANKED = dict.fromkeys(map(ord, ".,;:!?()[]\"«»„“”…。、"), " ")
@@ -140,7 +151,7 @@ def long_message(line: str, total: int) -> bool:
     sure = False
     for part in _SENTENCE.split(line):
         words = part.lower().translate(_BLANKED).split()
-        if len(words) <= MESSAGE_WORDS and (not HINTS.isdisjoint(words) or _MARKED.search(part)) and _any(part):
+        if len(words) <= MESSAGE_WORDS and hinted(part, words) and _any(part):
             sure = True
         elif not _AROUND.search(part):
             other -= len(words)
@@ -152,13 +163,17 @@ def long_message(line: str, total: int) -> bool:
 def residue_line(line: str, tokens: tuple[str, ...] = ()) -> bool:
     """Whether any detector finds a line. ``tokens`` are its words in lower case, if the caller has them."""
     if len(line) > 160:
-        words = line.lower().translate(_BLANKED).split()
-        if (len(set(words)) <= 0.5 * len(words) or sum(w in LATIN for w in words) > 0.3 * len(words)) and filler_line(line):
+        words = tokens or line.lower().translate(_BLANKED).split()
+        repeated = len(set(words)) <= 0.5 * len(words)
+        if repeated and tokens:  # in which all numbers are one
+            own = line.lower().translate(_BLANKED).split()
+            repeated = len(set(own)) <= 0.5 * len(own)
+        if (repeated or sum(map(LATIN.__contains__, words)) > 0.3 * len(words)) and filler_line(line):
             return True
-        return (not HINTS.isdisjoint(words) or bool(_MARKED.search(line))) and long_message(line, len(words))
+        return hinted(line, words) and long_message(line, len(words))
     if copies(line):
         return True
-    if tokens and len(tokens) > 1 and HINTS.isdisjoint(tokens) and 2 * len(set(tokens)) > len(tokens) and not _MARKED.search(line) and LATIN.isdisjoint(tokens):
+    if len(tokens) > 3 and not hinted(line, tokens) and 2 * len(set(tokens)) > len(tokens) and LATIN.isdisjoint(tokens):
         return False
     return placeholder_line(line) or filler_line(line) or error_line(line) or script_line(line)
 
@@ -171,14 +186,17 @@ def around_line(line: str) -> bool:
 FREE_WORDS = 6
 
 
+_DENSE = re.compile("[぀-鿿]")
+
 #: Words of its own from which a text says something, whatever others say.
 LOW_WORDS = 40
 
 
 def informative(text: str, own: frozenset[str]) -> bool:
     """Whether a text is long, or says anything of what the address or title names."""
-    words = [w.lower() for w in _WORDS.findall(text)]
-    return len(words) + sum("぀" <= c <= "鿿" for c in text) // 2 > LOW_WORDS or not own.isdisjoint(words)
+    words = _WORDS.findall(text.lower())
+    dense = 0 if text.isascii() else len(_DENSE.findall(text)) // 2
+    return len(words) + dense > LOW_WORDS or not own.isdisjoint(words)
 
 
 def verdict(residue: list[str], rest: list[str], own: frozenset[str]) -> bool:

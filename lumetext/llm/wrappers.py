@@ -128,21 +128,10 @@ def tokens_of(line: str) -> tuple[str, ...]:
     return (*found[a:b], ".") if ended else tuple(found[a:b])
 
 
-def head_of(line: str) -> tuple[str, ...]:
-    """The first four tokens of a long line, whole however long they are."""
-    most = 80
-    while True:
-        text = line[:most].lower().translate(_BLANKED)
-        found = (_ZEROS.sub("0", text) if "0" in text else text).split()
-        if len(found) > 4 or most >= len(line):
-            return (*found, ".")[:4]
-        most *= 2
-
-
 def masked(tokens: tuple[str, ...], own: frozenset[str], site: frozenset[str]) -> tuple[str, ...]:
     if own.isdisjoint(tokens) and site.isdisjoint(tokens):
         return tokens
-    return tuple(OWN if t in own else SITE if t in site else t for t in tokens)
+    return tuple([OWN if t in own else SITE if t in site else t for t in tokens])
 
 
 def sentence(tokens: tuple[str, ...]) -> bool:
@@ -231,7 +220,7 @@ class Wrapper:
         self.place.append(place)
         self.free.append(free)
         self.exact[bare(tokens)] = i
-        self.heads.add(tokens[:4])
+        self.heads.add(bare(tokens)[:4])
         self._index(i)
         return i
 
@@ -255,9 +244,11 @@ class Wrapper:
             again = i in seen
             if again or i < old and k not in linked or free is not None and free[k]:
                 self.free[i] = True
-            if not again or pages is not None:
-                seen.add(i)
-                self.pages[i] += 1 if pages is None else pages[k]
+            if pages is not None:
+                self.pages[i] += pages[k]
+            elif not again:
+                self.pages[i] += 1
+            seen.add(i)
         if len(self.patterns) > old:
             before, at = 0.0, 0
             for k in [*chain, len(found)]:
@@ -342,6 +333,8 @@ def menu_line(line: str) -> bool:
     return len(items) >= 4 and all(0 < len(x.split()) <= 2 and x[0].isalpha() and not any(c.isdigit() for c in x) for x in items)
 
 
+_LINKED = frozenset(("body", "site"))
+
 #: Lines of a page from which a rule of thumb takes short ones on end for a list of links.
 LINKS = 3
 
@@ -355,28 +348,26 @@ class Labels:
 
     def plain(self, line: str, names: frozenset[str], site: frozenset[str]) -> tuple[str, int | None]:
         """A line's label, wherever it stands, and the item of the host's wrapper that it matches."""
+        t = self.tokens(line)
         if len(line) > LONG:
-            head = masked(head_of(line), names, site)
-            if len(head) == 4 and head not in self.own.heads and head not in self.shared.heads:
+            head = masked(bare(t)[:4], names, site)
+            if head not in self.own.heads and head not in self.shared.heads:
                 # No pattern begins like it, so none is equal; it is judged by its words alone.
-                return ("residue" if residue_line(line) else "site" if self.notice(line, head) else "body"), None
-        t = self.tokens(line)
+                return ("residue" if residue_line(line, t) else "site" if self.notice(line, t, names) else "body"), None
+            return self.label(line, masked(t, names, site))
         if names.isdisjoint(t):
             found = self.known.get(line)
             if found is None:
-                found = self.label(line, masked(t, frozenset(), site))
-                if len(line) <= LONG:
-                    self.known[line] = found
+                found = self.known[line] = self.label(line, masked(t, frozenset(), site))
             return found
         return self.label(line, masked(t, names, site))
 
     @staticmethod
-    def notice(line: str, tokens: tuple[str, ...]) -> bool:
+    def notice(line: str, tokens: tuple[str, ...], names: frozenset[str] = frozenset()) -> bool:
         """Whether a line is a notice, byline or prompt by its words; for hosts whose wrapper does not show it."""
-        if len(line) > 4 * LONG or OWN in tokens:
+        if tokens[0] not in _FIRST and _ANY.isdisjoint(tokens) or OWN in tokens or not names.isdisjoint(tokens):
             return False
-        first = tokens[0] in _FIRST or (not _ANY.isdisjoint(tokens) if len(line) <= LONG else any(w in line.lower() for w in ("cookie", "©")))
-        return bool(first and _FURNITURE.search(line))
+        return bool(_FURNITURE.search(line))
 
     def label(self, line: str, tokens: tuple[str, ...]) -> tuple[str, int | None]:
         """site for a line of the wrapper, residue for what the detectors find, notice for what is both, else body. A message that
@@ -442,13 +433,13 @@ class Labels:
         for i, line in enumerate([*lines, "." * 99]):
             if not line:
                 continue
-            if len(line) <= 32 and line.count(" ") < 2 and labels[i] in ("body", "site") and line[-1] not in _END and line[0].isalpha() and names.isdisjoint(self.tokens(line)):
+            if len(line) <= 32 and labels[i] in _LINKED and line.count(" ") < 2 and line[-1] not in _END and line[0].isalpha() and names.isdisjoint(self.tokens(line)):
                 run.append(i)
-                continue
-            if len(run) >= LINKS and self.listed(run, lines, site):
-                for k in run:
-                    labels[k] = "site"
-            run = []
+            elif run:
+                if len(run) >= LINKS and self.listed(run, lines, site):
+                    for k in run:
+                        labels[k] = "site"
+                run = []
         residue = [line for line, x in zip(lines, labels, strict=True) if x in ("residue", "notice")]
         rest = [line for line, x in zip(lines, labels, strict=True) if x == "body"]
         if verdict(residue, rest, names):
