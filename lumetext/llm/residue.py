@@ -119,7 +119,7 @@ HINTS = frozenset(
     "refusé denegado introuvable gefunden existiert verfügbar vorhanden existe n'existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists "
     "doesn't wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning traceback trace matched try maintenance wartungsarbeiten displayed loaded "
     "reached available interno interner interne allowed javascript script scripts noscript skript skripte browser human blindtext platzhalter platzhaltertext lorem ipsum placeholder "
-    "undefined null none nan nil tbd todo fixme follow soon replace cookies".split()
+    "undefined null none nan n nil array tbd todo fixme follow soon replace cookies".split()
 )
 _FILLED = frozenset("text texts texto texte content contents copy title titles paragraph paragraphs description descriptions heading headings headline headlines caption captions subtitle subtitles words".split())
 _FILLING = frozenset("your sample dummy example some add insert enter type write edit goes here su tu aquí inserte votre saisissez insérez ici ihr hier exemple d'exemple factice ejemplo prueba relleno own".split())
@@ -173,7 +173,7 @@ def residue_line(line: str, tokens: tuple[str, ...] = ()) -> bool:
         return hinted(line, words) and long_message(line, len(words))
     if copies(line):
         return True
-    if len(tokens) > 3 and not hinted(line, tokens) and 2 * len(set(tokens)) > len(tokens) and LATIN.isdisjoint(tokens):
+    if tokens and not hinted(line, tokens) and 2 * len(set(tokens)) > len(tokens) and LATIN.isdisjoint(tokens):
         return False
     return placeholder_line(line) or filler_line(line) or error_line(line) or script_line(line)
 

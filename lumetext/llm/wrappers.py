@@ -60,7 +60,7 @@ OWN_SHARE = 0.3
 HOSTS, HOST_SHARE, LARGE_HOST = 2, 0.003, 8
 
 _TOKEN = re.compile(r"\d+(?:[.,:/'-]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|_")
-_WORD = re.compile(r"[^\W\d_]{2}")
+_DIGIT = re.compile(r"\d")
 _GAPS = re.compile(r"\s{2,}|\s+[|·•/>›»]\s+")
 _END = ".?!。？！…"
 
@@ -118,7 +118,9 @@ def tokens_of(line: str) -> tuple[str, ...]:
     if len(line) > LONG:  # parted at white space and edges alone: long lines are only compared whole
         text = line.lower().translate(_BLANKED)
         return (*(_ZEROS.sub("0", text) if "0" in text else text).split(), ".")
-    found = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(line.lower())]
+    found = _TOKEN.findall(line.lower())
+    if _DIGIT.search(line):
+        found = ["0" if t[0].isdigit() else t for t in found]
     a, b = 0, len(found)
     while a < b and not found[a][0].isalnum():
         a += 1
