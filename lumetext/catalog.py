@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as tx
-from .functions.web import canonical_column, collapse_column, host_column, parsed_html, resolved_links
+from .functions.web import canonical_column, collapse_column, host_column, parsed_html
 from .operators import crawl, evaluation, lexicon, links, matching, ranking, snippets
 from .operators.index import Index, index_sizes, store_index, update_index, violations
 from .plans.language import scoring_terms
@@ -306,9 +306,15 @@ def batch_boolean_search(spark, d):
     return ranking.batch_search(index_of(spark, d), log).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
-@query()
+@query(f"""WITH {_FORMS.split(", bk_ AS")[0] if ", bk_ AS" in _FORMS else _FORMS.split("bk_ AS")[0].rstrip().rstrip(",")},
+    n_ AS (SELECT b_.id, any_value(query_id) AS query_id, any_value(text) AS text, count(DISTINCT term) FILTER (part = 'need') AS need, count(term) FILTER (part = 'phrase') AS phrase, count(term) FILTER (part = 'any') AS one, count(term) FILTER (part = 'not') AS no,
+        string_agg(term, ' ' ORDER BY CASE part WHEN 'need' THEN 0 WHEN 'phrase' THEN 0 ELSE 1 END, place) AS terms FROM b_ LEFT JOIN bt_ USING (id) GROUP BY b_.id)
+    SELECT query_id, coalesce(terms, '') AS terms, no > 0 AND need + phrase + one = 0 AS open,
+        CASE WHEN need + phrase + one + no = 0 THEN NULL WHEN phrase > 1 THEN 'phrase' WHEN no > 0 OR one > 1 AND need > 0 THEN 'table' WHEN one > 1 THEN 'any' ELSE 'all' END AS shape,
+        CASE WHEN regexp_full_match(text, '\\s*') THEN 'empty query' END AS error FROM n_ UNION ALL SELECT DISTINCT query_id, '', false, NULL, 'empty query' FROM judged_queries WHERE text IS NULL""")
 def parse_query_log(spark, d):
-    return ranking.parsed_queries(table(spark, d, "judged_queries").dropDuplicates(["query_id", "text"])).select("query_id", "plan", "terms", "open", "error")
+    rows = ranking.parsed_queries(table(spark, d, "judged_queries").dropDuplicates(["query_id", "text"]))
+    return rows.select("query_id", F.array_join("terms", " ").alias("terms"), "open", "shape", "error")
 
 
 # Links: a graph of keys, as in the oracle
@@ -462,12 +468,6 @@ def content_dedup(spark, d):
     return crawl.first_bodies(table(spark, d, "crawled_pages").select("page_id", "text").distinct()).select("page_id")
 
 
-@query()
-def html_link_graph(spark, d):
-    found = resolved_links(table(spark, d, "html_pages").dropDuplicates(["page_id"]))
-    return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x08]+', ' ', 'g'), ' ') AS text FROM documents")
 def collapse_whitespace(spark, d):
     return table(spark, d, "documents").select("doc_id", collapse_column(F.coalesce("text", F.lit(""))).alias("text"))
@@ -482,11 +482,14 @@ def json_string_field(spark, d):
 
 # Evaluation
 
-_JUDGED = """r AS (SELECT query_id, document_id AS doc_id, max(score) AS score FROM query_results WHERE query_id IS NOT NULL AND document_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY ALL),
+#: CTEs h (query_id, dcg, top, found) and i (query_id, best, relevant) of a ranking k and judgements j.
+_JUDGED_METRICS = """h AS (SELECT query_id, sum(grade / log2(rank + 1)) FILTER (rank <= 10) AS dcg, count(*) FILTER (rank <= 10) AS top, count(*) FILTER (rank <= 100) AS found FROM k JOIN j USING (query_id, doc_id) GROUP BY query_id),
+    i AS (SELECT query_id, sum(grade / log2(n + 1)) FILTER (n <= 10) AS best, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS n FROM j) GROUP BY query_id)"""
+
+_JUDGED = f"""r AS (SELECT query_id, document_id AS doc_id, max(score) AS score FROM query_results WHERE query_id IS NOT NULL AND document_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r),
     j AS (SELECT query_id, document_id AS doc_id, max(shard % 4) AS grade FROM query_results WHERE query_id IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL HAVING max(shard % 4) > 0),
-    h AS (SELECT query_id, sum(grade / log2(rank + 1)) FILTER (rank <= 10) AS dcg, count(*) FILTER (rank <= 10) AS top, count(*) FILTER (rank <= 100) AS found FROM k JOIN j USING (query_id, doc_id) GROUP BY query_id),
-    i AS (SELECT query_id, sum(grade / log2(n + 1)) FILTER (n <= 10) AS best, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS n FROM j) GROUP BY query_id)"""
+    {_JUDGED_METRICS}"""
 
 
 @query(f"WITH {_JUDGED} SELECT query_id, round(coalesce(dcg / best, 0), 6) AS ndcg_10, round(coalesce(top / 10.0, 0), 6) AS precision_10, round(coalesce(found / relevant, 0), 6) AS recall_100 FROM i LEFT JOIN h USING (query_id)")
@@ -494,7 +497,8 @@ def eval_metrics(spark, d):
     rows = table(spark, d, "query_results").filter("query_id IS NOT NULL AND document_id IS NOT NULL")
     sane = rows.filter("score IS NOT NULL AND NOT isnan(score) AND abs(score) < double('infinity')")
     best = sane.groupBy("query_id", F.col("document_id").alias("doc_id")).agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))))
+    # No measure looks below rank 100, so each task keeps so many rows of a query before they meet.
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id")))).filter("rank <= 100")
     qrels = rows.groupBy("query_id", F.col("document_id").alias("doc_id")).agg(F.max(F.col("shard") % 4).alias("grade"))
     return evaluation.metrics(ranked, qrels).select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg_10", "precision_10", "recall_100")))
 

@@ -20,6 +20,7 @@ from .operators.snippets import snippet
 from .plans import language as lang
 from .searcher import Prompt, Searcher, Service, Settings, lines_of, open_index, rendered
 from .sources import corpus as sources
+from .storage import replace_folder
 
 COMMANDS: dict[str, tuple[Callable, Callable[[argparse.ArgumentParser], None]]] = {}
 
@@ -211,10 +212,9 @@ def index_update(a):
     spark = session()
     new, tally = update_index(open_index(spark, a.file), sources.open_corpus(spark, a.corpus))
     t = tally.first()
-    new.save(a.file + ".new")  # the old tables are read while the new ones are written
-    from .operators.index import load_index
-
-    load_index(spark, a.file + ".new").save(a.file)
+    # The old tables are read while the new ones are written; the new version takes their place by renames at the end.
+    new.save(f"{a.file}.new")
+    replace_folder(spark, f"{a.file}.new", a.file, ("docs", "postings", "terms", "corpus"))
     return [f"added {t.added}", f"updated {t.updated}", f"removed {t.removed}", f"unchanged {t.unchanged}"]
 
 
@@ -407,31 +407,46 @@ def html_links(a):
     return [str(u) for ref in web.parse_html(_text(a.file)).links if (u := web.resolve_url(base, ref))]
 
 
-def _online(agent: str, delay_ms: int) -> Callable[[web.Url], crawling.Fetched]:
+#: Redirects that are followed for one page.
+REDIRECTS = 5
+
+
+def _online(agent: str) -> Callable[[web.Url], crawling.Fetched]:
     import urllib.error
     import urllib.request
 
-    last: dict[str, float] = {}
+    class Redirects(urllib.request.HTTPRedirectHandler):
+        max_redirections = REDIRECTS
+
+    opener = urllib.request.build_opener(Redirects)
 
     def get(u: web.Url) -> crawling.Fetched:
-        time.sleep(max(0.0, last.get(u.host, 0.0) + delay_ms / 1000 - time.monotonic()))
         try:
-            with urllib.request.urlopen(urllib.request.Request(str(u), headers={"User-Agent": agent}), timeout=10) as r:
+            with opener.open(urllib.request.Request(str(u), headers={"User-Agent": agent}), timeout=10) as r:
                 return crawling.Fetched(r.status, r.headers.get_content_type(), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"))
         except urllib.error.HTTPError as e:
             return crawling.Fetched(e.code)
         except OSError:
             return crawling.Fetched(0)
-        finally:
-            last[u.host] = time.monotonic()
 
     return get
 
 
+def _pauses(delay_ms: int) -> Callable[[str, web.Robots], None]:
+    """Waits until a host's last fetch is as long ago as the delay or the host's own rule asks, whichever is longer."""
+    last: dict[str, float] = {}
+
+    def pause(host: str, rules: web.Robots) -> None:
+        time.sleep(max(0.0, last.get(host, -1e9) + rules.wait(delay_ms) / 1000 - time.monotonic()))
+        last[host] = time.monotonic()
+
+    return pause
+
+
 @command("crawl", "seed", delay=1000, mirror=str, out=str, max_pages=100, max_depth=3, user_agent="lumetext", all_hosts=False, prefix="/", max_per_host=0, concurrency=1)
 def crawl(a):
-    get = crawling.mirror_fetcher(a.mirror) if a.mirror else _online(a.user_agent, a.delay)
-    found = crawling.crawl(_url(a.seed), get, a.user_agent, a.max_pages, a.max_depth, not a.all_hosts, a.prefix, a.max_per_host)
+    get, pause = (crawling.mirror_fetcher(a.mirror), None) if a.mirror else (_online(a.user_agent), _pauses(a.delay))
+    found = crawling.crawl(_url(a.seed), get, a.user_agent, a.max_pages, a.max_depth, not a.all_hosts, a.prefix, a.max_per_host, a.concurrency, pause)
     if a.out:
         folder = Path(a.out)
         folder.mkdir(parents=True, exist_ok=True)

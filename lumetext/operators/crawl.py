@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from hashlib import sha1
 from pathlib import Path
 
 import pyarrow as pa
@@ -66,47 +68,84 @@ class Crawl:
     links: list[tuple[str, str]] = field(default_factory=list)
 
 
-def crawl(seed: Url, get: Callable[[Url], Fetched], agent: str = "lumetext", max_pages: int = 100, max_depth: int = 3, same_host: bool = True, prefix: str = "/", max_per_host: int = 0) -> Crawl:
+def crawl(
+    seed: Url,
+    get: Callable[[Url], Fetched],
+    agent: str = "lumetext",
+    max_pages: int = 100,
+    max_depth: int = 3,
+    same_host: bool = True,
+    prefix: str = "/",
+    max_per_host: int = 0,
+    concurrency: int = 1,
+    pause: Callable[[str, Robots], None] | None = None,
+) -> Crawl:
     """Breadth first from a seed, under the robots rules of each host. A body that was seen is skipped; numbers count every page that
-    came back, but only those of status 200 keep a document and links."""
+    came back, but only those of status 200 keep a document and links.
+
+    Up to ``concurrency`` pages, each of another host, are fetched at the same time and then taken in, in the order of the frontier, so
+    the result is that of one at a time. ``pause`` is called before each fetch with the host and its rules, and may wait. Of bodies only
+    digests are kept.
+    """
     frontier, out = Frontier(max_depth, max_pages), Crawl()
     robots: dict[str, Robots] = {}
     queued = {seed.host: 1}
-    bodies: set[str] = set()
+    bodies: set[bytes] = set()
     frontier.push(seed, 0)
     number = 0
-    while entry := frontier.pop():
-        url, depth = entry
+
+    def rules_of(url: Url) -> Robots:
+        page = get(Url(url.scheme, url.host, url.port, "/robots.txt"))
+        return parse_robots(page.body, agent) if page.status == 200 else Robots()
+
+    def fetch(url: Url) -> Fetched | None:
         if url.host not in robots:
-            rules = get(Url(url.scheme, url.host, url.port, "/robots.txt"))
-            robots[url.host] = parse_robots(rules.body, agent) if rules.status == 200 else Robots()
+            robots[url.host] = rules_of(url)
         if not robots[url.host].allows(url.path):
-            continue
-        page = get(url)
-        if page.status == 200:
-            if page.body in bodies:
-                continue
-            bodies.add(page.body)
-        title = text = ""
-        targets = []
-        if page.status == 200 and page.content_type.startswith("text/html"):
-            parsed = parse_html(page.body)
-            title, text = parsed.title, parsed.text
-            for ref in parsed.links:
-                target = resolve_url(url, ref)
-                if target is None or same_host and target.host != seed.host or not target.path.startswith(prefix):
-                    continue
-                targets.append(str(target))
-                if max_per_host and queued.get(target.host, 0) >= max_per_host:
+            return None
+        if pause:
+            pause(url.host, robots[url.host])
+        return get(url)
+
+    held: tuple[Url, int] | None = None
+    with ThreadPoolExecutor(max(1, concurrency)) as pool:
+        while True:
+            batch: list[tuple[Url, int]] = []
+            while len(batch) < max(1, concurrency) and (entry := held or frontier.pop()):
+                held = None
+                if any(entry[0].host == url.host for url, _ in batch):
+                    held = entry  # waits for its host
+                    break
+                batch.append(entry)
+            if not batch:
+                return out
+            for (url, depth), page in zip(batch, pool.map(fetch, [url for url, _ in batch]), strict=True):
+                if page is None:
                     continue
-                if frontier.push(target, depth + 1):
-                    queued[target.host] = queued.get(target.host, 0) + 1
-        number += 1
-        name = f"doc_{number:04d}" if page.status == 200 else None
-        out.pages.append((name, str(url), page.status, title, text, depth))
-        if name:
-            out.links += [(str(url), t) for t in targets]
-    return out
+                if page.status == 200:
+                    digest = sha1(page.body.encode("utf-8", "surrogatepass")).digest()
+                    if digest in bodies:
+                        continue
+                    bodies.add(digest)
+                title = text = ""
+                targets = []
+                if page.status == 200 and page.content_type.startswith("text/html"):
+                    parsed = parse_html(page.body)
+                    title, text = parsed.title, parsed.text
+                    for ref in parsed.links:
+                        target = resolve_url(url, ref)
+                        if target is None or same_host and target.host != seed.host or not target.path.startswith(prefix):
+                            continue
+                        targets.append(str(target))
+                        if max_per_host and queued.get(target.host, 0) >= max_per_host:
+                            continue
+                        if frontier.push(target, depth + 1):
+                            queued[target.host] = queued.get(target.host, 0) + 1
+                number += 1
+                name = f"doc_{number:04d}" if page.status == 200 else None
+                out.pages.append((name, str(url), page.status, title, text, depth))
+                if name:
+                    out.links += [(str(url), t) for t in targets]
 
 
 def crawl_tables(spark: SparkSession, result: Crawl) -> tuple[DataFrame, DataFrame]:

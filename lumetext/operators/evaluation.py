@@ -18,13 +18,16 @@ def metrics(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """(query_id, ndcg_10, precision_10, recall_100) of each judged query; ``ranked`` is (query_id, doc_id, rank from 1), ``qrels``
     (query_id, doc_id, grade). Gains are the grades, discounts 1 / log2(rank + 1). Grades of 0 or less are no judgement."""
     judged = qrels.filter(F.col("grade") > 0)
+    ranked = ranked.filter(F.col("rank") <= 100)
     gain = lambda nth: F.col("grade") / F.log2(nth + 1.0)
     hits = ranked.join(judged, ["query_id", "doc_id"])
     got = hits.groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= 10, gain(F.col("rank")))).alias("dcg"), F.count_if(F.col("rank") <= 10).alias("top"), F.count_if(F.col("rank") <= 100).alias("found")
     )
+    # The ideal gain needs a query's ten best grades, which each task keeps before they meet; the number of judgements is only counted.
     order = Window.partitionBy("query_id").orderBy(F.desc("grade"))
-    ideal = judged.withColumn("n", F.row_number().over(order)).groupBy("query_id").agg(F.sum(F.when(F.col("n") <= 10, gain(F.col("n")))).alias("best"), F.count(F.lit(1)).alias("relevant"))
+    first = judged.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 10).groupBy("query_id").agg(F.sum(gain(F.col("n"))).alias("best"))
+    ideal = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant")).join(first, "query_id")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return ideal.join(got, "query_id", "left").select(
         "query_id", zero(F.col("dcg") / F.col("best")).alias("ndcg_10"), zero(F.col("top") / 10.0).alias("precision_10"), zero(F.col("found") / F.col("relevant")).alias("recall_100")
@@ -73,6 +76,22 @@ def query_set_report(results: DataFrame, bounds: tuple[float, ...] = (0, 1, 2, 5
     return best.select(F.when(F.col("best").isNull(), "none").otherwise(bucket).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("queries"))
 
 
+def without_results(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id) of the queries that no result names."""
+    return queries.select("query_id").filter(F.col("query_id").isNotNull()).distinct().join(results.select("query_id"), "query_id", "left_anti")
+
+
+def result_percentiles(queries: DataFrame, results: DataFrame, percents: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
+    """(percent, results): nearest-rank percentiles of the number of results of each query, those without one too. The numbers are
+    counted first, so the ranks are taken over one row for each distinct number of results."""
+    counts = results.filter(F.col("query_id").isNotNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    known = queries.select("query_id").filter(F.col("query_id").isNotNull()).distinct().join(counts, "query_id", "left")
+    sizes = known.groupBy(F.coalesce("n", F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("of"))
+    upto = sizes.select("n", F.sum("of").over(Window.orderBy("n")).alias("upto"), F.sum("of").over(Window.partitionBy(F.lit(0))).alias("total"))
+    asked = upto.select("n", "upto", "total", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    return asked.filter(F.col("upto") >= F.ceil(F.col("percent") * F.col("total") / 100)).groupBy("percent").agg(F.min("n").alias("results"))
+
+
 def pool_sum(spark, n: int, parts: int = 8) -> DataFrame:
     """The sum of the squares below n, by as many tasks as asked for."""
     return spark.range(0, n, 1, parts).agg(F.coalesce(F.sum(F.col("id") * F.col("id")), F.lit(0)).alias("total"))

@@ -113,16 +113,25 @@ def _weight(text: str) -> float | None:
     return w if math.isfinite(w) and w >= 0 else None
 
 
-HELP = """queries use AND, OR, NOT, parentheses and "phrases"
-:limit <n>               results to show
-:scorer <name>           bm25, bm25f or tfidf
-:snippet <on|off>        excerpts under the results
-:pagerank <w>            weight of link authority, 0 for none
-:pagerank-graph <g>      page, site or home
-:pagerank-max-words <n>  link authority for queries of so many words at most, 0 for any
-:complete <p>            terms that begin with a prefix
-:settings                the current settings
-:quit"""
+#: The prompt's commands: the value that each takes, and what it does.
+PROMPT = {
+    ":limit": ("<n>", "show at most n results"),
+    ":scorer": ("<name>", "rank by " + ", ".join(ranking.SCORERS)),
+    ":snippet": ("<on|off>", "show or hide excerpts"),
+    ":pagerank": ("<w>", "let link authority count with weight w (0: not at all)"),
+    ":pagerank-graph": ("<g>", "take the authority of " + ", ".join(GRAPHS)),
+    ":pagerank-max-words": ("<n>", "use authority only in queries of at most n words (0: in all)"),
+    ":complete": ("<p>", "list terms that start with p"),
+    ":settings": ("", "list what is set"),
+    ":help": ("", "list these commands"),
+    ":quit": ("", "leave"),
+}
+
+
+def help_lines() -> list[str]:
+    heads = {k: f"{k} {v}".rstrip() for k, (v, _) in PROMPT.items()}
+    width = max(map(len, heads.values())) + 2
+    return [*(f"{heads[k]:{width}}{what}" for k, (_, what) in PROMPT.items()), 'Anything else is a query: words, "phrases", AND, OR, NOT, parentheses.']
 
 
 @dataclass
@@ -153,7 +162,7 @@ class Prompt:
         if name in (":quit", ":q"):
             self.done = True
         elif name == ":help":
-            return HELP.split("\n")
+            return help_lines()
         elif name == ":settings":
             x = s.settings
             return [f"limit {x.limit}", f"scorer {x.scorer}", f"snippet {'on' if x.snippets else 'off'}", f"pagerank {x.pagerank:g}", f"pagerank-graph {x.graph}", f"pagerank-max-words {x.max_words}"]

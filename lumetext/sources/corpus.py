@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.web import collapse_column
+from ..storage import exists, is_folder, names_in
 
 BLANKS = " \t\r\n\x0b\f"
 
@@ -119,16 +120,15 @@ def read_parquet(spark: SparkSession, path: str, key: str = "doc_id", title: str
 
 def open_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus of any kind: a stored index, a Parquet table, a folder of texts, a packed file."""
-    p = Path(path)
-    if p.is_dir() and (p / "corpus").is_dir():
-        return spark.read.parquet(f"{path}/corpus")
-    if p.is_dir() and any(p.glob("*.parquet")) or path.endswith(".parquet"):
-        return read_parquet(spark, path)
-    if p.is_dir():
-        return read_directory(spark, path)
-    if p.is_file():
-        return read_packed(spark, path)
-    raise CorpusError(f"no corpus at {path}")
+    if not exists(spark, path):
+        raise CorpusError(f"no corpus at {path}")
+    if is_folder(spark, path):
+        inside = names_in(spark, path)
+        if "corpus" in inside and is_folder(spark, f"{path}/corpus"):
+            return spark.read.parquet(f"{path}/corpus")
+        table = path.endswith(".parquet") or any(n.endswith(".parquet") for n in inside)
+        return read_parquet(spark, path) if table else read_directory(spark, path)
+    return read_parquet(spark, path) if path.endswith(".parquet") else read_packed(spark, path)
 
 
 def json_field(line: Column, key: str) -> Column:
@@ -150,7 +150,9 @@ def read_wikipedia(spark: SparkSession, path: str, abstracts: bool = False, limi
     """Articles of a JSON-lines dump of alternating action and document lines. A line counts if it has a string title; one whose text is
     empty is left out; ids number the kept ones in the order of the file. ``limit`` keeps the first so many."""
     field = "opening_text" if abstracts else "text"
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
+    # A line's place: its file, the block of it that a task reads, and its number in there. Tasks come in no order of the file.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("_line"))
     parsed = lines.select("_line", F.from_json("value", f"title string, `{field}` string").alias("j"))
     kept = parsed.filter(F.col("j.title").isNotNull()).select("_line", collapse_column(F.col("j.title")).alias("title"), collapse_column(F.coalesce(F.col(f"j.{field}"), F.lit(""))).alias("body")).filter(F.col("body") != "")
     if limit:

@@ -100,6 +100,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(new, at)
 
 
+def replace_folder(spark: SparkSession, new: str, old: str, names: tuple[str, ...]) -> None:
+    """Moves folders from ``new`` into ``old``; what was there is kept beside them until all are in place, so nothing is lost if this
+    ends half-way."""
+    fs, _ = _at(spark, old)
+    path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    moved = [n for n in names if exists(spark, f"{new}/{n}")]
+    for n in moved:
+        remove(spark, f"{old}/{n}.before")
+        if exists(spark, f"{old}/{n}"):
+            fs.rename(path(f"{old}/{n}"), path(f"{old}/{n}.before"))
+        fs.rename(path(f"{new}/{n}"), path(f"{old}/{n}"))
+    for n in moved:
+        remove(spark, f"{old}/{n}.before")
+    remove(spark, new)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a scan before costly work, over all cores if its files give fewer tasks than there are cores. What then moves is bounded
     by a scan's partition for each core; an input with a partition for each core never moves."""

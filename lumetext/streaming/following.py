@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.index import Index, build_index, load_index, update_index
+from ..storage import read_text, write_text
 
 
 def apply_changes(index: Index, changes: DataFrame) -> tuple[Index, DataFrame]:
@@ -25,8 +24,8 @@ def apply_changes(index: Index, changes: DataFrame) -> tuple[Index, DataFrame]:
 
 def current(root: str) -> str | None:
     """The newest complete version under a root."""
-    mark = Path(root, "CURRENT")
-    return mark.read_text().strip() if mark.exists() else None
+    found = read_text(SparkSession.active(), f"{root}/CURRENT")
+    return found.strip() if found else None
 
 
 def follow(changes: DataFrame, root: str, checkpoint: str):
@@ -46,7 +45,7 @@ def follow(changes: DataFrame, root: str, checkpoint: str):
                 batch = batch.filter(~F.coalesce("removed", F.lit(False)))
             index = build_index(batch.select("doc_id", "title", "body").dropDuplicates(["doc_id"]))
         index.save(target)
-        Path(root, "CURRENT").write_text(target)
+        write_text(spark, f"{root}/CURRENT", target)
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
