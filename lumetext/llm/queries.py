@@ -79,6 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
+#: CTEs k (page_id, host, line_no, letters) of the lines and c (host, letters) of those that come back.
+_LINES = r"""WITH p AS (
+            SELECT page_id, any_value(text) AS text,
+                   any_value(lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//', ''), '^[^/?#\\]*'), '^.*@', ''), ':\d*\s*$', ''))) AS host
+            FROM crawled_pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND text IS NOT NULL GROUP BY page_id),
+        s AS (SELECT page_id, host, string_split(text, chr(10)) AS lines FROM p),
+        l AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM s),
+        k AS (SELECT page_id, host, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS letters FROM l WHERE trim(host) <> ''),
+        c AS (SELECT host, letters FROM k WHERE letters <> '' GROUP BY host, letters HAVING count(DISTINCT page_id) >= 8)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""
         WITH d AS (SELECT doc_id, any_value(body) AS body FROM docs WHERE doc_id IS NOT NULL AND body IS NOT NULL GROUP BY doc_id),
@@ -106,14 +116,11 @@ ORACLES: dict[str, str] = {
         n AS (SELECT count(DISTINCT doc_id) AS n FROM f),
         w AS (SELECT doc_id, f.term, (1 + ln(tf)) * ln(n / df) AS weight FROM f JOIN c ON c.term = f.term, n)
         SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS nth FROM w) WHERE nth = 1""",
-    "p7_found": r"""
-        WITH p AS (
-            SELECT page_id, any_value(text) AS text,
-                   any_value(lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//', ''), '^[^/?#\\]*'), '^.*@', ''), ':\d*\s*$', ''))) AS host
-            FROM crawled_pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND text IS NOT NULL GROUP BY page_id),
-        s AS (SELECT page_id, host, string_split(text, chr(10)) AS lines FROM p),
-        l AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM s),
-        k AS (SELECT page_id, host, line_no, regexp_replace(lower(line), '\P{L}+', '', 'g') AS letters FROM l WHERE trim(host) <> ''),
-        c AS (SELECT host, letters FROM k WHERE letters <> '' GROUP BY host, letters HAVING count(DISTINCT page_id) >= 8)
+    "p7_found": f"""{_LINES}
         SELECT page_id, line_no::INTEGER AS line_no FROM k SEMI JOIN c ON c.host = k.host AND c.letters = k.letters""",
+    "p7_rebuilt": f"""{_LINES},
+        m AS (SELECT page_id, list(line_no) AS gone FROM k SEMI JOIN c ON c.host = k.host AND c.letters = k.letters GROUP BY page_id),
+        w AS (SELECT page_id, any_value(text) AS text FROM crawled_pages WHERE page_id IS NOT NULL GROUP BY page_id)
+        SELECT page_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text, coalesce(len(gone), 0)::INTEGER AS dropped
+        FROM w LEFT JOIN m USING (page_id)""",
 }
