@@ -113,21 +113,23 @@ def script_line(line: str) -> bool:
 _MARKED = re.compile(r"[{\[<%@_$#]")
 
 #: Words of which a line must have one for a detector to look at it: each alternative of the patterns above needs one of them, or one of
-#: each of the two sets below, or is seen by ``hinted`` itself.
+#: each of two of the sets below, or is seen by ``hinted`` itself.
 HINTS = frozenset(
-    "error errors fehler erreur exception found forbidden unauthorized unauthorised denied permission gateway unavailable timeout timed reset refused requests request verweigert "
-    "refusé denegado introuvable gefunden existiert verfügbar vorhanden existe n'existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists "
-    "doesn't wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning traceback trace matched try maintenance wartungsarbeiten displayed loaded "
-    "reached available interno interner interne allowed javascript script scripts noscript skript skripte browser human blindtext platzhalter platzhaltertext lorem ipsum placeholder "
-    "undefined null none nan n nil array tbd todo fixme follow soon replace cookies".split()
+    "error errors fehler erreur exception forbidden unauthorized unauthorised denied permission gateway unavailable timeout timed reset refused requests request verweigert refusé denegado introuvable "
+    "n'existe doesn't wrong schief mal occurred aufgetreten survenue produite producido ocurrido ocurrió warning traceback trace matched try maintenance wartungsarbeiten interno interner interne allowed "
+    "javascript script scripts noscript skript skripte browser human blindtext platzhalter platzhaltertext lorem ipsum placeholder undefined null none nan n nil array tbd todo fixme follow soon replace cookies".split()
 )
+_GONE = frozenset(
+    "found gefunden existiert verfügbar vorhanden existe encontrado encontrada encontró encontra disponible moved removed deleted suspended gone missing exist exists longer displayed loaded reached available".split()
+)
+_SUBJECT = frozenset("page file document resource url site address content account article seite datei página recurso not nothing pages files documents".split())
 _FILLED = frozenset("text texts texto texte content contents copy title titles paragraph paragraphs description descriptions heading headings headline headlines caption captions subtitle subtitles words".split())
 _FILLING = frozenset("your sample dummy example some add insert enter type write edit goes here su tu aquí inserte votre saisissez insérez ici ihr hier exemple d'exemple factice ejemplo prueba relleno own".split())
 
 
 def hinted(line: str, words) -> bool:
     """Whether a detector can find anything in a line of these words."""
-    if not HINTS.isdisjoint(words):
+    if not HINTS.isdisjoint(words) or not _GONE.isdisjoint(words) and not _SUBJECT.isdisjoint(words):
         return True
     if not _FILLED.isdisjoint(words) and not _FILLING.isdisjoint(words):
         return True
@@ -173,8 +175,8 @@ def residue_line(line: str, tokens: tuple[str, ...] = ()) -> bool:
         return hinted(line, words) and long_message(line, len(words))
     if copies(line):
         return True
-    if tokens and not hinted(line, tokens) and 2 * len(set(tokens)) > len(tokens) and LATIN.isdisjoint(tokens):
-        return False
+    if tokens and not hinted(line, tokens):  # then only words again and again, or the Latin ones, can make it one
+        return (2 * len(set(tokens)) <= len(tokens) or 3 * sum(map(LATIN.__contains__, tokens)) >= len(tokens)) and filler_line(line)
     return placeholder_line(line) or filler_line(line) or error_line(line) or script_line(line)
 
 

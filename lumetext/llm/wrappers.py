@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,8 +83,9 @@ _FIRST = frozenset(
     "aller haut saltar volver".split()
 )
 _ANY = frozenset("cookie cookies © (c) rights rechte droits derechos privacy datenschutz légales legal".split())
-_BLANKED = dict.fromkeys(map(ord, ".,;:!?()[]\"'«»„“”‘’…。、"), " ") | dict.fromkeys(map(ord, "123456789"), "0")
-_ZEROS = re.compile("00+")
+_BLANKS = ".,;:!?()[]\"'«»„“”‘’…。、"
+_BLANKED = dict.fromkeys(map(ord, _BLANKS), " ")
+_NUMBER = re.compile("[0-9]+")
 _MARKS = frozenset(":>›»/|：→")
 
 
@@ -91,9 +93,11 @@ def own_terms(url: str | None, title: str | None, site: frozenset[str]) -> froze
     """The terms that name a page: the last segment of its address and its title without the site's name."""
     own: set[str] = set()
     if url:
-        path = re.sub(r"^[^/]*//[^/]*", "", url.split("?")[0].split("#")[0]).rstrip("/")
-        slug = re.sub(r"\.\w{1,5}$", "", path.rsplit("/", 1)[-1])
-        own.update(w.lower() for w in re.findall(r"[^\W\d_]+", slug))
+        slug = _path(url).rsplit("/", 1)[-1]
+        base, dot, kind = slug.rpartition(".")
+        if dot and kind.isalnum() and len(kind) <= 5:
+            slug = base
+        own.update((slug.lower(),) if slug.isalpha() else [w.lower() for w in _LETTERS.findall(slug)])
     if title and not PLACEHOLDER.search(title):
         head = re.split(r" [-|–—·»:] ", title)[0]
         words = [w.lower() for w in re.findall(r"[^\W\d_]+", head)]
@@ -102,10 +106,19 @@ def own_terms(url: str | None, title: str | None, site: frozenset[str]) -> froze
     return frozenset(w for w in own - site - HINTS if len(w) >= 5)  # a title may be an error's
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _path(url: str) -> str:
+    """An address without scheme, host, query, fragment and last slashes."""
+    at = url.find("//")
+    at = url.find("/", at + 2 if at >= 0 else 0)
+    return "" if at < 0 else url[at:].split("?", 1)[0].split("#", 1)[0].rstrip("/")
+
+
 def page_name(url: str | None, text: str | None) -> str | int:
     """What is the same for a page that was fetched twice: its path, or its text where it has none."""
-    path = re.sub(r"^[^/]*//[^/]*", "", (url or "").split("?")[0].split("#")[0]).rstrip("/")
-    return path or hash(text)
+    return _path(url or "") or hash(text)
 
 
 def site_terms(host: str | None) -> frozenset[str]:
@@ -116,8 +129,14 @@ def tokens_of(line: str) -> tuple[str, ...]:
     """A line's tokens in lower case, without the marks around it; every number is 0. A line of a sentence's length that ends with a
     sentence's mark has a dot at its end, whatever the mark."""
     if len(line) > LONG:  # parted at white space and edges alone: long lines are only compared whole
-        text = line.lower().translate(_BLANKED)
-        return (*(_ZEROS.sub("0", text) if "0" in text else text).split(), ".")
+        text = line.lower()
+        if text.isascii():
+            text = text.translate(_BLANKED)
+        else:  # then a table is slower than looking for each mark
+            for mark in _BLANKS:
+                if mark in text:
+                    text = text.replace(mark, " ")
+        return (*(_NUMBER.sub("0", text) if _DIGIT.search(text) else text).split(), ".")
     found = _TOKEN.findall(line.lower())
     if _DIGIT.search(line):
         found = ["0" if t[0].isdigit() else t for t in found]
@@ -194,11 +213,15 @@ class Wrapper:
         if i is not None or len(tokens) > SLOTTED or fresh and sentence(tokens):
             return i
         tokens = bare(tokens)
-        for key in _keys(tokens):
+        keys = _keys(tokens)
+        n, marks = len(tokens), len(tokens) - keys[0][0].count("")
+        least = max(n - 4, (n + marks - 1) // 2, marks + 1)  # equal tokens that unify asks for at least
+        for key in keys:
             for i in self.near.get(key, ()):
-                merged = unify(self.patterns[i], tokens)
+                pattern = bare(self.patterns[i])
+                merged = unify(pattern, tokens) if sum(map(eq, pattern, tokens)) >= least else None
                 if merged is not None:
-                    if fresh and merged != self.patterns[i]:
+                    if fresh and merged != pattern:
                         self.patterns[i] = merged
                         self._index(i)
                     if fresh:
@@ -313,21 +336,32 @@ def page_lines(text: str) -> list[str]:
 
 
 class Tokens:
-    """tokens_of with a memory for short lines: most of a site's lines come again."""
+    """tokens_of, and whether the detectors find a line, with a memory for short lines: most of a site's lines come again, and many of
+    other sites'."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[str, ...]] = {}
+        self.found: dict[str, bool] = {}
 
     def __call__(self, line: str) -> tuple[str, ...]:
-        if len(line) > LONG:
-            return tokens_of(line)
         t = self.known.get(line)
         if t is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            t = self.known[line] = tokens_of(line)
+            t = tokens_of(line)
+            if len(line) <= LONG:
+                if len(self.known) > 50_000:
+                    self.known.clear()
+                    self.found.clear()
+                self.known[line] = t
         return t
 
+    def residue(self, line: str) -> bool:
+        found = self.found.get(line)
+        if found is None:
+            found = residue_line(line, self(line))
+            if len(line) <= LONG:
+                self.found[line] = found
+        return found
+
 
 def menu_line(line: str) -> bool:
     """Whether a line is four items or more of one or two words without a number, parted by marks or wide gaps."""
@@ -382,7 +416,7 @@ class Labels:
                 return "body", None  # a heading that is only the name
         mine = self.own.exact.get(bare(tokens))
         exact = mine is not None or bare(tokens) in self.shared.exact
-        if residue_line(line, tokens):
+        if self.tokens.residue(line):
             return ("notice", mine) if exact else ("residue", None)
         if exact:
             return "site", mine
