@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from operator import eq
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,8 +150,9 @@ def tokens_of(line: str) -> tuple[str, ...]:
     return (*found[a:b], ".") if ended else tuple(found[a:b])
 
 
-def masked(tokens: tuple[str, ...], own: frozenset[str], site: frozenset[str]) -> tuple[str, ...]:
-    if own.isdisjoint(tokens) and site.isdisjoint(tokens):
+def masked(tokens: tuple[str, ...], own: frozenset[str], site: frozenset[str], both: frozenset[str] | None = None) -> tuple[str, ...]:
+    """Tokens with marks in place of the page's own terms and the site's; ``both`` are all of them, if the caller has them."""
+    if (own | site if both is None else both).isdisjoint(tokens):
         return tokens
     return tuple([OWN if t in own else SITE if t in site else t for t in tokens])
 
@@ -186,8 +188,6 @@ def in_order(places: list[float]) -> list[bool]:
 
 
 def pattern_hash(pattern: tuple[str, ...]) -> int:
-    import xxhash
-
     h = xxhash.xxh64_intdigest(_PATTERN.join(pattern).encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
@@ -231,22 +231,22 @@ class Wrapper:
 
     def _index(self, i: int) -> None:
         """Finds the item by its marks and its first or its last token."""
-        tokens = bare(self.patterns[i])
-        if tokens and len(tokens) <= SLOTTED and not sentence(self.patterns[i]):
-            for key in _keys(tokens):
-                held = self.near.setdefault(key, [])
-                if i not in held:
-                    held.append(i)
+        for key in _keys(bare(self.patterns[i])):
+            held = self.near.setdefault(key, [])
+            if i not in held:
+                held.append(i)
 
     def add(self, tokens: tuple[str, ...], place: float = 0.0, pages: int = 0, free: bool = False) -> int:
         i = len(self.patterns)
-        self.patterns.append(tokens if sentence(tokens) else bare(tokens))
+        key, read = bare(tokens), sentence(tokens)
+        self.patterns.append(tokens if read else key)
         self.pages.append(pages)
         self.place.append(place)
         self.free.append(free)
-        self.exact[bare(tokens)] = i
-        self.heads.add(bare(tokens)[:4])
-        self._index(i)
+        self.exact[key] = i
+        self.heads.add(key[:4])
+        if not read and len(key) <= SLOTTED:
+            self._index(i)
         return i
 
     def align(self, lines: list[tuple[str, ...]], pages: list[int] | None = None, free: list[bool] | None = None, total: int = 1) -> None:
@@ -313,6 +313,7 @@ def unify(pattern: tuple[str, ...], tokens: tuple[str, ...]) -> tuple[str, ...]
     Half the words that stay literal must be there, and one at least; the own name is no literal. Punctuation must agree.
     """
     same = slots = marks = 0
+    new = False  # whether a slot is to be made or marked
     for a, b in zip(pattern, tokens, strict=True):
         if a == b:
             if a[0].isalpha() or a == SITE:
@@ -321,13 +322,14 @@ def unify(pattern: tuple[str, ...], tokens: tuple[str, ...]) -> tuple[str, ...]
                 marks += 1
         elif (b[0].isalpha() or b in _NAMES or b in _OPEN) and (a[0].isalpha() or a in _OPEN or a in _NAMES):
             slots += 1
+            new = new or a not in _OPEN or b == OWN or b == MIXED
         else:
             return None
     if not slots:
         return pattern
     if same == 0 or slots > same + (2 if marks else 1) or slots > 4:
         return None
-    return tuple([a if a == b else MIXED if OWN in (a, b) or MIXED in (a, b) else SLOT for a, b in zip(pattern, tokens, strict=True)])
+    return pattern if not new else tuple([a if a == b else MIXED if OWN in (a, b) or MIXED in (a, b) else SLOT for a, b in zip(pattern, tokens, strict=True)])
 
 
 def page_lines(text: str) -> list[str]:
@@ -394,7 +396,7 @@ class Labels:
         if names.isdisjoint(t):
             found = self.known.get(line)
             if found is None:
-                found = self.known[line] = self.label(line, masked(t, frozenset(), site))
+                found = self.known[line] = self.label(line, masked(t, frozenset(), site, site))
             return found
         return self.label(line, masked(t, names, site))
 
@@ -565,7 +567,8 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if text and name not in names:
             names.add(name)
             own = own_terms(url, title, site)
-            block.align([m for line in page_lines(text) if line and (m := masked(tokens(line), own, site))])
+            both = own | site
+            block.align([m for line in page_lines(text) if line and (m := masked(tokens(line), own, site, both))])
     close(True)
     yield made()
 
