@@ -182,3 +182,58 @@ def test_stored_graph_levels_and_dedup(spark):
     assert sorted(map(tuple, levels.collect())) == [("a", 0), ("b", 1), ("c", 2)]
     pages = spark.createDataFrame([(3, "x"), (1, "x"), (2, None), (4, None)], "page_id int, text string")
     assert sorted(r.page_id for r in crawl.first_bodies(pages).collect()) == [1, 2, 4]
+
+
+def test_concurrent_crawls_equal_sequential_ones(tmp_path):
+    """Several hosts at a time, in the frontier's order; each fetch waits by its host's rules."""
+    for i in range(4):
+        host = tmp_path / f"h{i}.test"
+        host.mkdir()
+        links = "".join(f"<a href='http://h{j}.test/{p}'>x</a>" for j in range(4) for p in ("", "a.html", "b.html"))
+        for name in ("index.html", "a.html", "b.html"):
+            (host / name).write_text(f"<title>{i}{name}</title>{links}")
+        (host / "robots.txt").write_text(f"User-agent: *\nCrawl-delay: {i}\nDisallow: /b" if i else "")
+    seed = web.parse_url("http://h0.test/")
+    waits = []
+    runs = [crawl.crawl(seed, crawl.mirror_fetcher(str(tmp_path)), same_host=False, concurrency=n, pause=lambda host, rules: waits.append((host, rules.wait(10)))) for n in (1, 3, 16)]
+    assert runs[0].pages == runs[1].pages == runs[2].pages and runs[0].links == runs[1].links == runs[2].links
+    assert len(runs[0].pages) == 9 and ("h3.test", 3000) in waits and ("h0.test", 10) in waits and not any(p[1].endswith("b.html") and "h0" not in p[1] for p in runs[0].pages)
+
+
+def test_wide_dumps_lose_nothing(spark, tmp_path):
+    """Every article of a dump of wide lines in several files and splits, numbered in their order."""
+    rows = spark.range(12_000).repartitionByRange(3, "id").sortWithinPartitions("id").selectExpr("to_json(struct(concat('T', id) AS title, concat(id, ' ', repeat(sha2(cast(id AS string), 256), 10)) AS text))")
+    rows.write.text(str(tmp_path / "dump"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        got = src.read_wikipedia(spark, str(tmp_path / "dump")).select("doc_id", "title", F.length("body").alias("n")).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.doc_id, r.title) for r in got] == [(f"doc_{i + 1:08d}", f"T{i}") for i in range(12_000)] and all(r.n > 640 for r in got)
+
+
+def test_folders_are_replaced_and_clusters_need_a_shared_one(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from lumetext import storage
+
+    for place, n in (("old", 1), ("old.new", 2)):
+        spark.range(n).write.parquet(str(tmp_path / place / "docs"))
+    storage.replace_folder(spark, str(tmp_path / "old.new"), str(tmp_path / "old"), ("docs", "none"))
+    assert spark.read.parquet(str(tmp_path / "old" / "docs")).count() == 2 and not storage.exists(spark, str(tmp_path / "old.new")) and storage.names_in(spark, str(tmp_path / "old")) == ["docs"]
+    storage.write_text(spark, str(tmp_path / "t"), "é")
+    storage.write_text(spark, str(tmp_path / "t"), "ü")
+    assert storage.read_text(spark, str(tmp_path / "t")) == "ü" and storage.read_text(spark, str(tmp_path / "u")) is None
+    for master, alone in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False), ("yarn", False)):
+        assert storage.one_machine(SimpleNamespace(sparkContext=SimpleNamespace(master=master))) is alone
+
+
+def test_spread_goes_by_partitions(spark, tmp_path):
+    from lumetext.storage import spread
+
+    spark.range(10, numPartitions=1).write.parquet(str(tmp_path / "one"))
+    spark.range(100, numPartitions=9).write.parquet(str(tmp_path / "nine"))
+    assert spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100, numPartitions=9)
+    assert spread(many) is many
