@@ -420,10 +420,29 @@ def correct_queries(spark, d):
     return spark.createDataFrame([("lanten AND rivr", found)], "query string, corrected string")
 
 
-@query()
+_WORDISH = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
+
+# The excerpt of each match: its words with their places in bytes, every window of 160 bytes, the best of them, and its words with marks.
+_EXCERPTS = rf"""x_ AS (SELECT doc_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(text, '') AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM m_)),
+    a_ AS (SELECT doc_id, x, regexp_extract_all(x, '[^ \n\r\t\x0B\f]+') AS t, regexp_extract_all(x, '[ \n\r\t\x0B\f]+') AS w, regexp_matches(x, '^[ \n\r\t\x0B\f]') AS led FROM x_),
+    k_ AS (SELECT doc_id, x, i, t[i] AS token, coalesce(CASE WHEN led THEN w[i] WHEN i > 1 THEN w[i - 1] END, '') AS gap FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM a_)),
+    o_ AS (SELECT *, sum(strlen(gap) + strlen(token)) OVER (PARTITION BY doc_id ORDER BY i) AS till FROM k_),
+    hw_ AS (SELECT token, unnest(list_filter(regexp_split_to_array(token, {O._SPLIT}), lambda p: p <> '')) AS piece FROM (SELECT DISTINCT token FROM k_)),
+    hit_ AS (SELECT token, min(CASE stem WHEN 'river' THEN 0 ELSE 1 END) AS hit FROM (SELECT token, {O._normal("piece")} AS term FROM hw_) JOIN stems USING (term) WHERE term NOT IN ({O.STOP_LIST}) AND stem IN ('river', 'lantern') GROUP BY token),
+    e_ AS (SELECT o_.*, till - strlen(token) AS start, hit FROM o_ LEFT JOIN hit_ USING (token)),
+    v_ AS (SELECT a.doc_id, a.i, a.start, max(b.i) AS j, max(b.till) AS till, count(DISTINCT b.hit) FILTER (b.till - a.start <= 160) AS kinds, count(b.hit) FILTER (b.till - a.start <= 160) AS hits
+        FROM e_ a JOIN e_ b ON b.doc_id = a.doc_id AND b.i >= a.i AND (b.till - a.start <= 160 OR b.i = a.i) GROUP BY ALL),
+    best_ AS (SELECT * FROM v_ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kinds DESC, hits DESC, i) = 1),
+    cut_ AS (SELECT b.doc_id, CASE WHEN any_value(b.start) > 0 THEN '...' ELSE '' END
+        || string_agg(CASE WHEN e.i = b.i THEN '' ELSE gap END || CASE WHEN hit IS NOT NULL AND regexp_matches(token, '[{_WORDISH}]') THEN regexp_replace(token, '^([^{_WORDISH}]*)(.*?)([^{_WORDISH}]*)$', '\1[\2]\3', 's') ELSE token END, '' ORDER BY e.i)
+        || CASE WHEN any_value(b.till) < any_value(strlen(x)) THEN '...' ELSE '' END AS snippet FROM best_ b JOIN e_ e ON e.doc_id = b.doc_id AND e.i BETWEEN b.i AND b.j GROUP BY b.doc_id)"""
+
+
+@query(f"""{O.INDEX}, {_docs_with('river', 'lantern')}, m_ AS (SELECT * FROM t0 INTERSECT SELECT * FROM t1), {_EXCERPTS},
+    s_ AS (SELECT doc_id, sum(w) AS score FROM ({O.bm25("p.term IN ('river', 'lantern')")}) GROUP BY doc_id) SELECT cut_.doc_id, round(score, 4) AS score, snippet FROM cut_ JOIN s_ USING (doc_id)""")
 def query_with_snippets(spark, d):
     ix = index_of(spark, d)
-    return snippets.with_snippets(ranking.run_query(ix, "river lantern"), ix.corpus, scoring_terms("river lantern")).withColumn("score", F.round("score", 4))
+    return snippets.with_snippets(ranking.run_query(ix, "river lantern", None), ix.corpus, scoring_terms("river lantern")).withColumn("score", F.round("score", 4))
 
 
 # Web
