@@ -414,10 +414,18 @@ def edit_distance_pairs(spark, d):
     return table(spark, d, "part").select("p_partkey", lexicon.edit_distance_column(c("p_name"), c("p_brand")).alias("distance"))
 
 
-@query()
+@query(f"""{O.INDEX}, {_QUERY_WORDS}, {_query_stems()},
+    typed_ AS (SELECT DISTINCT substr(piece, 1, 2) || substr(piece, 4) AS piece FROM qw_ UNION SELECT DISTINCT piece FROM qw_), tn_ AS (SELECT piece AS word, {O._normal("piece")} AS term FROM typed_), {_query_stems("tn_", "ts_")},
+    own_ AS (SELECT word, stem AS own, coalesce(df, 0) AS own_df FROM tn_ JOIN ts_ USING (term) LEFT JOIN df_ ON df_.term = stem WHERE tn_.term NOT IN ({O.STOP_LIST})),
+    dn_ AS (SELECT term AS raw, {O._normal("term")} AS term FROM df_), {_query_stems("dn_", "ds_")}, fix_ AS (SELECT raw FROM dn_ JOIN ds_ USING (term) WHERE stem = raw AND dn_.term NOT IN ({O.STOP_LIST})),
+    near_ AS (SELECT own, df_.term, df, levenshtein(own, df_.term) AS distance FROM (SELECT DISTINCT own FROM own_) o JOIN df_ ON abs(strlen(own) - strlen(df_.term)) <= 2 WHERE levenshtein(own, df_.term) <= CASE WHEN strlen(own) <= 4 THEN 1 ELSE 2 END),
+    ten_ AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY distance, df DESC, term) AS nth FROM near_ QUALIFY nth <= 10)
+    SELECT word, arg_min(term, nth) AS better, own_df > 0 AS known FROM own_ JOIN ten_ USING (own) WHERE (own_df = 0 OR strlen(own) >= 4) AND distance > 0 AND df >= 100 * own_df AND term IN (SELECT raw FROM fix_) GROUP BY word, own_df""")
 def correct_queries(spark, d):
-    found = lexicon.correct_query(index_of(spark, d), "lanten AND rivr")
-    return spark.createDataFrame([("lanten AND rivr", found)], "query string, corrected string")
+    """Every word of the query log, as it is and without its third letter."""
+    clean = F.regexp_replace(F.lower("text"), '["()]', "")
+    typed = table(spark, d, "judged_queries").filter("text IS NOT NULL").select(F.explode(tx.pieces_column(clean)).alias("word")).distinct()
+    return lexicon.correct_words(index_of(spark, d), typed.unionByName(typed.select(F.expr("concat(substring(word, 1, 2), substring(word, 4))").alias("word"))))
 
 
 _WORDISH = "0-9A-Za-z\\x{80}-\\x{10FFFF}"

@@ -333,6 +333,31 @@ def test_dictionary(spark, index):
         lexicon.suggest(index, "red boat")
 
 
+def test_words_are_corrected_alone_and_together(spark, index):
+    words = ["harbuor", "bot", "boats", "hlil", "zebra", "the", "rde", "blue-boat", "masterr", "", "é", "sial", "a", "gren"]
+    frame = spark.createDataFrame([(w,) for w in [*words, "harbuor", None]], "word string")
+    got = {r.word: (r.better, r.known) for r in lexicon.correct_words(index, frame).collect()}
+    assert got == {w: found for w in words if (found := lexicon._correct_word(index, w))} and got["harbuor"] == ("harbour", False)
+
+
+def test_long_words_are_corrected(spark):
+    """Terms over SHORT_TERM bytes meet by their parts, whatever the edits and wherever they are."""
+    rng = random.Random(21)
+    long = ["".join(rng.choices("bcdfghjklmnp", k=n)) for n in (39, 40, 41, 42, 43, 60, 600)]
+    ix = build_index(spark.createDataFrame([(str(i), "", w) for i, w in enumerate(long)], "doc_id string, title string, body string"))
+    typed = set()
+    for w in long:
+        for _ in range(6):
+            t = list(w)
+            for _ in range(rng.randint(1, 2)):
+                i = rng.randrange(len(t))
+                rng.choice([lambda: t.pop(i), lambda: t.insert(i, "z"), lambda: t.__setitem__(i, "z")])()
+            typed.add("".join(t))
+    got = {r.word: r.better for r in lexicon.correct_words(ix, spark.createDataFrame([(w,) for w in typed], "word string")).collect()}
+    want = {w: min(near)[1] for w in typed if (near := [(d, x) for x in long if (d := lexicon.edit_distance(w, x)) <= 2 and abs(len(w) - len(x)) <= 2])}
+    assert got == want and len(want) == len(typed)
+
+
 # Snippets
 
 
