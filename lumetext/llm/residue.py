@@ -10,6 +10,7 @@ counts what addresses say.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 _NAME = r"[a-z_][\w.\- ]{0,40}"
 
@@ -71,12 +72,26 @@ _AROUND = re.compile(
     re.I,
 )
 
+#: Of these a text in ASCII must have one for _AROUND to find anything, or one of the second with a digit.
+_LEADS = ("contact ", "load", "try", "learn", "back", "return", "go to ", "retour", "volver", "check ", "refresh ", "problem", "cookies")
+_NUMBERED = ("error", "request", "reference", "incident", "trace", "ray", "event", "session", "support", "transaction", "fehler", "code", "server", "apache", "nginx", "iis", "proxy", "php", "version", "openresty")
+_DIGIT = re.compile("[0-9]")
+
+
+def around(text: str) -> bool:
+    """Whether _AROUND finds anything in a text."""
+    if text.isascii():
+        low = text.lower()
+        if not any(x in low for x in _LEADS) and not (_DIGIT.search(low) and any(x in low for x in _NUMBERED)):
+            return False
+    return bool(_AROUND.search(text))
+
 
 def placeholder_line(line: str) -> bool:
     """Whether a line is a template's fields and little else."""
     if _UNSET.match(line):
         return True
-    if not _MARKED.search(line) or not PLACEHOLDER.search(line):
+    if not marked_text(line) or not PLACEHOLDER.search(line):
         return False
     return len(_WORDS.findall(PLACEHOLDER.sub(" ", line))) <= 7
 
@@ -110,7 +125,10 @@ def script_line(line: str) -> bool:
     return len(line) <= 160 and bool(_SCRIPT.search(line)) and not _COMMENTS.search(line)
 
 
-_MARKED = re.compile(r"[{\[<%@_$#]")
+def marked_text(line: str) -> bool:
+    """Whether a text has a mark of which each placeholder has one."""
+    return "_" in line or "[" in line or "{" in line or "<" in line or "%" in line or "$" in line or "#" in line or "@" in line
+
 
 #: Words of which a line must have one for a detector to look at it: each alternative of the patterns above needs one of them, or one of
 #: each of two of the sets below, or is seen by ``hinted`` itself.
@@ -126,6 +144,9 @@ _SUBJECT = frozenset("page file document resource url site address content accou
 _FILLED = frozenset("text texts texto texte content contents copy title titles paragraph paragraphs description descriptions heading headings headline headlines caption captions subtitle subtitles words".split())
 _FILLING = frozenset("your sample dummy example some add insert enter type write edit goes here su tu aquí inserte votre saisissez insérez ici ihr hier exemple d'exemple factice ejemplo prueba relleno own".split())
 
+#: All words that the detectors look for in a line's words: a line is looked through once, and then what it has of these.
+_TOLD = HINTS | _GONE | _SUBJECT | _FILLED | _FILLING | LATIN
+
 
 def hinted(line: str, words) -> bool:
     """Whether a detector can find anything in a line of these words."""
@@ -133,7 +154,7 @@ def hinted(line: str, words) -> bool:
         return True
     if not _FILLED.isdisjoint(words) and not _FILLING.isdisjoint(words):
         return True
-    return line[:1].isdigit() or line[:3] in ("at ", "At ") and "(" in line or bool(_MARKED.search(line))
+    return line[:1].isdigit() or line[:3] in ("at ", "At ") and "(" in line or marked_text(line)
 
 
 _BLANKED = dict.fromkeys(map(ord, ".,;:!?()[]\"«»„“”…。、"), " ")
@@ -147,18 +168,34 @@ def _any(line: str) -> bool:
     return placeholder_line(line) or filler_line(line) or bool(_ERROR.search(line)) or bool(_SCRIPT.search(line)) and not _COMMENTS.search(line)
 
 
+def _sentences(line: str) -> Iterator[str]:
+    at = 0
+    for gap in _SENTENCE.finditer(line):
+        yield line[at:gap.start()]
+        at = gap.end()
+    yield line[at:]
+
+
 def long_message(line: str, total: int) -> bool:
     """Whether a long line of ``total`` words is sentences that the detectors find, or that go with such, and little else."""
     other = (1 - MESSAGE_PART) * total
-    sure = False
-    for part in _SENTENCE.split(line):
+    asked = []
+    for part in _sentences(line):
         words = part.lower().translate(_BLANKED).split()
-        if len(words) <= MESSAGE_WORDS and hinted(part, words) and _any(part):
-            sure = True
-        elif not _AROUND.search(part):
+        if len(words) <= MESSAGE_WORDS and hinted(part, words):
+            asked.append((part, len(words)))  # the detectors cost most and come last
+        elif not around(part):
             other -= len(words)
             if other < 0:
                 return False
+    sure = False
+    for part, words in asked:
+        if _any(part):
+            sure = True
+        elif not around(part):
+            other -= words
+            if other < 0:
+                return False
     return sure
 
 
@@ -166,22 +203,28 @@ def residue_line(line: str, tokens: tuple[str, ...] = ()) -> bool:
     """Whether any detector finds a line. ``tokens`` are its words in lower case, if the caller has them."""
     if len(line) > 160:
         words = tokens or line.lower().translate(_BLANKED).split()
-        repeated = len(set(words)) <= 0.5 * len(words)
+        distinct = set(words)
+        told = distinct & _TOLD
+        repeated = len(distinct) <= 0.5 * len(words)
         if repeated and tokens:  # in which all numbers are one
             own = line.lower().translate(_BLANKED).split()
             repeated = len(set(own)) <= 0.5 * len(own)
-        if (repeated or sum(map(LATIN.__contains__, words)) > 0.3 * len(words)) and filler_line(line):
+        latin = len(LATIN & told)
+        if latin and len(words) - len(distinct) + latin <= 0.3 * len(words):
+            latin = 0  # each other word comes once at least
+        if (repeated or latin and sum(map(LATIN.__contains__, words)) > 0.3 * len(words)) and filler_line(line):
             return True
-        return hinted(line, words) and long_message(line, len(words))
+        return hinted(line, told) and long_message(line, len(words))
     if copies(line):
         return True
-    if tokens and not hinted(line, tokens):  # then only words again and again, or the Latin ones, can make it one
-        return (2 * len(set(tokens)) <= len(tokens) or 3 * sum(map(LATIN.__contains__, tokens)) >= len(tokens)) and filler_line(line)
+    told = _TOLD.intersection(tokens)
+    if tokens and not hinted(line, told):  # then only words again and again, or the Latin ones, can make it one
+        return (2 * len(set(tokens)) <= len(tokens) or not LATIN.isdisjoint(told) and 3 * sum(map(LATIN.__contains__, tokens)) >= len(tokens)) and filler_line(line)
     return placeholder_line(line) or filler_line(line) or error_line(line) or script_line(line)
 
 
 def around_line(line: str) -> bool:
-    return len(line) <= 120 and bool(_AROUND.search(line))
+    return len(line) <= 120 and around(line)
 
 
 #: Words of its own that a page may hold beside residue and count as one without a body.

@@ -430,3 +430,45 @@ def test_dynamic_programme_is_optimal_over_many_boundaries():
         found = splitting.Splitter.cuts(before, cost, most, overlap)
         total = sum(piece(i, j) for i, j in zip([0, *found], found))
         assert total == pytest.approx(best[n]) if found else best[n] == np.inf
+
+
+def test_lines_that_share_only_the_own_name_are_not_unified(monkeypatch):
+    compared, unify = [], wrappers.unify
+    monkeypatch.setattr(wrappers, "unify", lambda p, t: compared.append((p, t)) or unify(p, t))
+    w = wrappers.Wrapper()
+    w.align([(wrappers.OWN, *(chr(97 + i) + x for x in "xyz")) for i in range(20)])
+    assert len(w.patterns) == 20 and not compared
+    w.align([(wrappers.OWN, "ax", "ay", "new")])
+    assert len(w.patterns) == 20 and w.patterns[0] == (wrappers.OWN, "ax", "ay", wrappers.SLOT) and len(compared) == 1
+
+
+def test_short_lines_have_the_tokens_of_the_pattern():
+    def plain(line):
+        found = wrappers._TOKEN.findall(line.lower())
+        found = ["0" if t[0].isdigit() else t for t in found] if wrappers._DIGIT.search(line) else found
+        words = [k for k, t in enumerate(found) if t[0].isalnum()]
+        a, b = (words[0], words[-1] + 1) if words else (0, 0)
+        return (*found[a:b], *(["."] if b - a >= 5 and b < len(found) and found[b] in wrappers._END else []))
+
+    rng = random.Random(5)
+    parts = ["word", "Émile", "İx", "straße", "a1", "1,5", "2.", "12:30", "٣", "²", "don't", "_", "日本", "•", "-", "¿", "*", ",", ".", ":", "...", "'", "|", "\t", " ", "0", "00", "K"]
+    for _ in range(5000):
+        line = rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 9))).strip()[:160]
+        assert wrappers.tokens_of(line) == plain(line), line
+
+
+def test_pages_are_aligned_as_their_masked_lines():
+    rng = random.Random(6)
+    site, tokens = frozenset(("rivers",)), wrappers.Tokens()
+    a, b = wrappers.Wrapper(), wrappers.Wrapper()
+    for _ in range(60):
+        own = frozenset(rng.sample(["alpha", "beta", "gamma", "delta"], rng.randint(0, 2)))
+        lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "rivers", "menu", "top", "5", ":", "by"]) for _ in range(rng.randint(1, 4))) for _ in range(12)] + [""]
+        a.align_page(lines, tokens, own, site)
+        b.align([m for x in lines if (m := wrappers.masked(wrappers.tokens_of(x), own, site))])
+    assert (a.patterns, a.pages, a.place, a.free, a.total) == (b.patterns, b.pages, b.place, b.free, b.total)
+
+
+@pytest.mark.parametrize("line", ["Error code: 0x12", "Apache/2.4 Server", "Please contact our system administrator", "Reloading this page", "Go to the homepage", "zurück zur Seite", "Check your spelling", "Refresh the page", "If the problem persists", "Cookies must be on", "Learn more", "REQUEST ID 77-ab", "volver", "Code 5"])
+def test_what_goes_with_messages_is_found_behind_the_cheap_look(line):
+    assert residue.around(line) and residue._AROUND.search(line)
