@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
-from ..plans.language import Leaf, Plan, QueryError, constrained, parse, scoring_terms, word_count
-from ..storage import cut
+from ..plans.language import Plan, QueryError, constrained, parse, scoring_terms, word_count
+from ..storage import cut, stored
+from . import blocks
+from .blocks import cover  # noqa: F401
 from .index import Index, dense_ranks
 from .matching import decided
 
@@ -180,12 +181,6 @@ def words(plan: Plan) -> list[str]:
     return list(dict.fromkeys(t for leaf in plan.leaves() for t in leaf.terms))
 
 
-#: Contributions in a batch are whole multiples of this, so that their sum has the same bits in any order.
-UNIT = 2.0**-40
-
-#: Pairs of queries and postings that one task sums.
-TASK_PAIRS = 500_000
-
 #: Terms of a log's distinct queries up to which they are broadcast to the postings, in rows; beyond it both meet by term.
 BROADCAST_ROWS = 1_000_000
 
@@ -198,57 +193,43 @@ def _numbered(queries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFr
     return distinct, queries.select("query_id", *columns).join(other, same).select("query_id", "n")
 
 
-@dataclass
-class _Load:
-    """How large a log is: the rows of its terms, and the pairs of queries and postings that it makes, by the dictionary."""
-
-    rows: int
-    pairs: int
-
-    @classmethod
-    def of(cls, wanted: DataFrame) -> _Load:
-        row = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
-        return cls(row.rows, row.pairs)
-
-    @property
-    def small(self) -> bool:
-        return self.rows <= BROADCAST_ROWS
-
-    def partitions(self, spark) -> int:
-        """Of the postings, which are few where the pairs are many: by what is made of them, so adaptive execution must not merge them."""
-        return max(spark.sparkContext.defaultParallelism, -(-self.pairs // TASK_PAIRS))
-
-
-def _met(index: Index, wanted: DataFrame, scorer: str, load: _Load, positions: bool = False) -> DataFrame:
-    """The postings of the terms of ``wanted`` (n, term, df, ...), each with every row that wants its term, and its contribution ``w``
-    in UNITs.
-
-    Postings move once, by document, before they meet the broadcast log: all that a query holds of a document is then in one task, and
-    the pairs of queries and documents, many times the postings, are summed where they arise. A log too large for that meets the
-    postings by term, where adaptive execution splits hot terms, and the pairs are pre-aggregated before they move.
-    """
-    used = wanted.select("term", "df").distinct()
-    rows = index.postings.join(F.broadcast(used) if load.small else used, "term")
-    rows = rows.select("term", "doc_id", F.round(_weight(index, scorer) / UNIT).cast("long").alias("w"), *(["positions"] if positions else []))
-    wanted = wanted.drop("df")
-    if not load.small:
-        return rows.join(wanted, "term")
-    return rows.repartition(load.partitions(rows.sparkSession), "doc_id").join(F.broadcast(wanted), "term")
-
-
-def batch_scores(index: Index, bags: DataFrame, scorer: str = "bm25") -> DataFrame:
-    """(n, doc_id, score) of every document with a term of a bag, for all bags (n, terms) in one job."""
-    wanted = bags.select("n", F.explode("terms").alias("term")).groupBy("n", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = cut(wanted.join(index.terms, "term"))
-    pairs = _met(index, wanted, scorer, _Load.of(wanted))
-    return pairs.groupBy("doc_id", "n").agg((F.sum(F.col("w") * F.col("times")) * UNIT).alias("score"))
-
-
-def _ranked(rows: DataFrame, k: int, digits: int | None) -> DataFrame:
-    """(n, doc_id, score, rank) of the k best of each n. The window keeps k rows of a query on each task before they meet."""
-    score = F.col("score") if digits is None else F.round("score", digits)
+def _first_try(k: int, blocks: int) -> int:
+    """How many of a query's k best a block gives at first: its share, and so many more that it hardly ever has others of them."""
+    share = k / blocks
+    return min(k, int(share + 5 * share**0.5) + 5)
+
+
+def _best(index: Index, asked: DataFrame, k: int, scorer: str, digits: int | None, whole: bool) -> DataFrame:
+    """(n, doc_id, score, rank): the k best of each query (n, plan, terms), by score and document; ``whole`` if queries can hold for
+    documents with none of their terms. The log's terms and their numbers of documents are all that the driver's choice of blocks hangs
+    on. A query of which a block may have more than it gave at first is answered again."""
+    used = cut(blocks.used_terms(asked).join(index.terms, "term"))
+    size = used.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
+    count = blocks.block_count(size.postings, asked.sparkSession.sparkContext.defaultParallelism)
+    plain = used.filter("phrased").isEmpty()
+    rows = index.postings.join(F.broadcast(used) if size.rows <= BROADCAST_ROWS else used, "term")
+    positions = [] if plain else [F.when(F.col("phrased"), F.col("positions")).alias("positions")]
+    rows = rows.select("term", "doc_id", F.round(_weight(index, scorer) / blocks.UNIT).cast("long").alias("w"), *positions)
+
+    def answers(some: DataFrame, most: int) -> DataFrame:
+        return _ranked(blocks.answered(rows, index.docs if whole else None, some, count, most, digits), k)
+
+    first = _first_try(k, count)
+    if first == k:
+        return answers(asked, k).drop("more")
+    found, _ = stored(answers(asked, first))
+    again = found.filter(F.col("more") & (F.col("rank") < k)).select("n").distinct()
+    if again.isEmpty():
+        return found.drop("more")
+    again = cut(again)
+    rest = answers(asked.join(again, "n", "left_semi"), k)
+    return found.join(again, "n", "left_anti").unionByName(rest).drop("more")
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (n, doc_id, score, ...) with the ``rank`` of the k best of each n."""
     window = Window.partitionBy("n").orderBy(F.desc("score"), F.asc("doc_id"))
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
 def batch_top_k(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25", digits: int | None = None) -> DataFrame:
@@ -256,25 +237,8 @@ def batch_top_k(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm
     scores are rounded before they are ranked. Queries of the same terms are scored once."""
     bags = queries.select("query_id", F.sort_array("terms").alias("terms")).filter(F.size("terms") > 0)
     distinct, asked = _numbered(bags, ["terms"])
-    return asked.join(_ranked(batch_scores(index, distinct, scorer), k, digits), "n").drop("n")
-
-
-def _plan_of(x: dict) -> Plan:
-    return Plan("leaf", Leaf(tuple(x["t"]), tuple(x["o"]))) if "t" in x else Plan(x["k"], children=[_plan_of(c) for c in x["c"]])
-
-
-def cover(plan: Plan, df: dict[str, int]) -> list[str] | None:
-    """The fewest postings' terms of which every match has one at least, or None if there are none: a leaf's rarest term, an AND's
-    cheapest part, all parts of an OR."""
-    if plan.leaf:
-        return [min(plan.leaf.terms, key=lambda t: (df.get(t, 0), t))]
-    if plan.kind == "not":
-        return None
-    parts = [cover(c, df) for c in plan.children]
-    if plan.kind == "or":
-        return None if any(p is None for p in parts) else sorted({t for p in parts for t in p})
-    held = [p for p in parts if p is not None]
-    return min(held, key=lambda p: (sum(df.get(t, 0) for t in p), p)) if held else None
+    distinct = distinct.withColumn("plan", F.lit(None).cast("string"))
+    return asked.join(_best(index, distinct, k, scorer, digits, False), "n").drop("n")
 
 
 def _first_without(index: Index, asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
@@ -290,116 +254,15 @@ def _first_without(index: Index, asked: DataFrame, held: DataFrame, k: int) -> D
     return free.join(placed, "nth").select("n", "doc_id")
 
 
-def _wanted(asked: DataFrame) -> DataFrame:
-    """(n, term, offset, times, phrased, shape, need, bit, truth) of distinct queries: a row for each distinct term, of a phrase one for
-    each of its places. ``times`` is how often the term counts in the query's score, once over for a term with several rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        names = ["n", "term", "offset", "times", "phrased", "shape", "need", "bit", "truth"]
-        for batch in batches:
-            out = []
-            for n, plan, terms, shape, need in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                plan = _plan_of(json.loads(plan))
-                leaves, left = plan.leaves(), Counter(terms)
-                rows = zip(leaves[0].terms, leaves[0].offsets, strict=True) if shape == "phrase" else ((t, 0) for t in words(plan))
-                long = {t for leaf in leaves if len(leaf.terms) > 1 for t in leaf.terms}
-                truth = truth_table(plan) if shape == "table" else None
-                if truth is not None and truth >> 63:
-                    truth -= 1 << 64  # the same bits as a signed long
-                out += [(n, t, o, left.pop(t, 0), t in long, shape, need, 1 << i if truth is not None else 0, truth) for i, (t, o) in enumerate(rows)]
-            cols = zip(*out, strict=True) if out else ((),) * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    kind = "n long, term string, offset int, times long, phrased boolean, shape string, need int, bit long, truth long"
-    return asked.select("n", "plan", "terms", "shape", "need").mapInArrow(run, kind)
-
-
-def _covered(asked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(n, term): the terms of each tree's cover, all its terms where it has none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, terms = [], []
-            for n, plan, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                df = {x["term"]: x["df"] for x in found}
-                for t in cover(_plan_of(json.loads(plan)), df) or df:  # NOT has no cover
-                    ids.append(n)
-                    terms.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string())], names=["n", "term"])
-
-    sized = wanted.groupBy("n").agg(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0)).alias("df"))).alias("found"))
-    return asked.join(sized, "n").select("n", "plan", "found").mapInArrow(run, "n long, term string")
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (n, doc_id, s, plan, held) that their plan holds for."""
-
-    def has(leaf: Leaf, held: dict) -> bool:
-        if any(t not in held for t in leaf.terms):
-            return False
-        if len(leaf.terms) == 1:
-            return True
-        starts = set(held[leaf.terms[0]])
-        for t, o in zip(leaf.terms[1:], leaf.offsets[1:], strict=True):
-            starts &= {p - o for p in held[t]}
-        return bool(starts)
-
-    plans: dict[str, Plan] = {}
-    for batch in batches:
-        keep = []
-        for plan, held in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            if plan not in plans:
-                if len(plans) > 10_000:
-                    plans.clear()
-                plans[plan] = _plan_of(json.loads(plan))
-            found = {x["term"]: x["positions"] for x in held}
-            keep.append(plans[plan].holds(lambda leaf, found=found: has(leaf, found)))
-        yield batch.select(["n", "doc_id", "s"]).filter(pa.array(keep, pa.bool_()))
-
-
 def batch_search(index: Index, queries: DataFrame, k: int = 10, scorer: str = "bm25") -> DataFrame:
     """(query_id, doc_id, score, rank): run_query for a whole log of (query_id, text), but for broken queries and such as constrain
     nothing. Queries that hold for documents with none of their terms are answered too: those documents have score 0, so only the first
     k in document order can be among a query's best.
 
-    Each distinct query is decided and scored once, in one aggregation of its pairs with the documents: words that must all be there, or
-    any, are counted, and a truth table decides other trees of few words. A phrase is the intersection of its words' shifted positions.
-    Only trees with phrases inside, or of many words, are decided in Python, for documents with a term of the tree's cover.
+    Each distinct query is decided and scored once in each block of documents (see ``blocks``), its tree over the documents that can be
+    among the best: words by their lists, phrases by intersecting shifted positions.
     """
     parsed = cut(parsed_queries(queries).filter(F.col("plan").isNotNull()))
-    asked, whose = _numbered(parsed.withColumn("terms", F.sort_array("terms")), ["plan", "terms", "open", "shape", "need"])
-    wanted = cut(_wanted(asked).join(index.terms, "term", "left"))
-    load = _Load.of(wanted)
-    known = wanted.filter(F.col("df").isNotNull())
-    score = F.sum(F.col("w") * F.col("times")).alias("s")
-
-    plain = known.filter(F.col("shape").isin("any", "all", "table")).select("n", "term", "times", "need", "bit", "truth", "df")
-    counted = _met(index, plain, scorer, load).groupBy("doc_id", "n").agg(score, F.count(F.lit(1)).alias("_c"), F.max("need").alias("_need"), F.sum("bit").cast("int").alias("_held"), F.max("truth").alias("_truth"))
-    holds = F.when(F.col("_truth").isNull(), F.col("_c") >= F.col("_need")).otherwise(F.expr("shiftright(_truth, _held) & 1") == 1)
-    found = counted.filter(holds).select("n", "doc_id", "s")
-
-    phrases = known.filter(F.col("shape") == "phrase").select("n", "term", "offset", "times", "need", "df")
-    starts = F.transform("positions", lambda p: p - F.col("offset"))
-    lists = _met(index, phrases, scorer, load, True).withColumn("_starts", starts)
-    lists = lists.groupBy("doc_id", "n").agg(score, F.collect_list("_starts").alias("_lists"), F.max("need").alias("_need")).filter(F.size("_lists") == F.col("_need"))
-    common = F.aggregate("_lists", F.element_at("_lists", 1), lambda a, x: F.array_intersect(a, x))
-    found = found.unionByName(lists.filter(F.size(common) > 0).select("n", "doc_id", "s"))
-
-    trees = wanted.filter(F.col("shape") == "tree")
-    if not trees.isEmpty():
-        covers = _covered(asked, trees).withColumn("_cover", F.lit(True))
-        rows = cut(trees.join(covers, ["n", "term"], "left").filter(F.col("df").isNotNull()).select("n", "term", "times", "phrased", F.coalesce("_cover", F.lit(False)).alias("cover"), "df"))
-        held = F.collect_list(F.struct("term", F.when(F.col("phrased"), F.col("positions")).alias("positions"))).alias("held")
-        met = _met(index, rows, scorer, load, True).groupBy("doc_id", "n").agg(score, F.max("cover").alias("_cover"), held).filter("_cover").drop("_cover")
-        plans = asked.select("n", "plan")
-        doc_kind = index.postings.schema["doc_id"].dataType.simpleString()
-        given = met.join(F.broadcast(plans) if load.small else plans, "n").select("n", "doc_id", "s", "plan", "held")
-        found = found.unionByName(given.mapInArrow(_decide, f"n long, doc_id {doc_kind}, s long"))
-    unbound = asked.filter("open").select("n")
-    if not unbound.isEmpty():
-        terms = known.join(unbound, "n", "left_semi").select("n", "term")
-        touched = index.postings.select("term", "doc_id").join(F.broadcast(terms) if load.small else terms, "term").select("n", "doc_id").distinct()
-        found = found.unionByName(_first_without(index, unbound, touched, k).withColumn("s", F.lit(0).cast("long")))
-    best = _ranked(found.select("n", "doc_id", (F.col("s") * UNIT).alias("score")), k, None)
-    return whose.join(best, "n").drop("n")
+    asked, whose = _numbered(parsed.withColumn("terms", F.sort_array("terms")), ["plan", "terms", "open"])
+    whole = not asked.filter("open").isEmpty()
+    return whose.join(_best(index, asked, k, scorer, None, whole), "n").drop("n")
