@@ -47,8 +47,10 @@ def bags(queries: DataFrame) -> DataFrame:
 
 
 def evaluate(index: Index, queries: DataFrame, qrels: DataFrame, scorer: str = "bm25") -> DataFrame:
-    """(ndcg_10, precision_10, recall_100, judged, unjudged): means over the queries that have a judgement. All queries run in one job."""
-    own = metrics(batch_top_k(index, bags(queries), 100, scorer), qrels)
+    """(ndcg_10, precision_10, recall_100, judged, unjudged): means over the queries that have a judgement. These run in one job; the
+    others count without being ranked."""
+    judged = queries.join(qrels.filter(F.col("grade") > 0).select("query_id").distinct(), "query_id", "left_semi")
+    own = metrics(batch_top_k(index, bags(judged), 100, scorer), qrels)
     known = queries.select("query_id").distinct()
     means = own.join(known, "query_id", "left_semi").agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("ndcg_10", "precision_10", "recall_100")), F.count(F.lit(1)).alias("judged"))
     rest = known.join(qrels.filter(F.col("grade") > 0), "query_id", "left_anti").agg(F.count(F.lit(1)).alias("unjudged"))

@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumetext.operators import blocks
+from lumetext.operators import blocks, evaluation
+from lumetext.operators.index import build_index
 from lumetext.plans import language as lang
 
 TERMS = {"hot": 12_000, "warm": 9_000, "mild": 3_000, "rare": 40}
@@ -69,3 +70,23 @@ def test_few_documents_are_scored_for_common_words(monkeypatch):
     monkeypatch.setattr(blocks._Query, "scored", lambda self, at: seen.append(len(at)) or scored(self, at))
     at, _ = blocks._Query(block, None, ["hot", "warm"], 10, None).best()
     assert len(at) == 10 and sum(seen) < len(block.joined(["hot", "warm"])) / 4
+
+
+WORDS = "red boat hill harbour lamp stone river light".split()
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(WORDS), " ".join(rng.choices(WORDS, k=rng.randrange(3, 30)))) for i in range(300)]
+    return build_index(spark.createDataFrame(rows, "doc_id int, title string, body string"))
+
+
+def test_only_judged_queries_are_ranked(spark, small, monkeypatch):
+    asked = []
+    top = evaluation.batch_top_k
+    monkeypatch.setattr(evaluation, "batch_top_k", lambda index, bags, *a: asked.extend(r.query_id for r in bags.collect()) or top(index, bags, *a))
+    queries = spark.createDataFrame([("a", "red boat"), ("b", "hill"), ("c", "lamp")], "query_id string, text string")
+    qrels = spark.createDataFrame([("a", 1, 2), ("b", 2, 0), ("x", 3, 1)], "query_id string, doc_id int, grade int")
+    row = evaluation.evaluate(small, queries, qrels).first()
+    assert (row.judged, row.unjudged) == (1, 2) and asked == ["a"]
