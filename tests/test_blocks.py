@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumetext.operators import blocks, evaluation
+from lumetext.operators import blocks, evaluation, ranking
 from lumetext.operators.index import build_index
 from lumetext.plans import language as lang
 
@@ -82,6 +82,23 @@ def small(spark):
     return build_index(spark.createDataFrame(rows, "doc_id int, title string, body string"))
 
 
+@pytest.mark.parametrize("first", [1, 100])
+def test_blocks_that_have_more_are_asked_again(spark, small, monkeypatch, first):
+    monkeypatch.setattr(blocks, "block_count", lambda postings, cores: 3)
+    monkeypatch.setattr(ranking, "_first_try", lambda k, n: min(k, first))
+    log = ["red boat", "boat OR hill", '"red boat"', "hill AND NOT red", "NOT lamp", "stone stone light", 'river OR NOT "red boat"']
+    queries = spark.createDataFrame(list(enumerate(log)), "query_id int, text string")
+    rows = ranking.batch_search(small, queries, 10).collect()
+    for i, text in enumerate(log):
+        single = ranking.run_query(small, text, 10).collect()
+        got = sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)
+        assert [r.doc_id for r in got] == [r.doc_id for r in single], text
+        assert [r.score for r in got] == pytest.approx([r.score for r in single], abs=1e-9), text
+    bags = ranking.batch_top_k(small, evaluation.bags(queries.filter("query_id IN (0, 5)")), 10).collect()
+    for i, words in ((0, ["red", "boat"]), (5, ["stone", "stone", "light"])):
+        assert [r.doc_id for r in sorted((r for r in bags if r.query_id == i), key=lambda r: r.rank)] == [r.doc_id for r in ranking.rank_words(small, words, k=10).collect()]
+
+
 def test_only_judged_queries_are_ranked(spark, small, monkeypatch):
     asked = []
     top = evaluation.batch_top_k
